@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import P, fresh_path, staged
 
+#: Digests that one state store is sized for. A store has about 4 MB of files however little it holds, so their number
+#: follows the rows, not the shuffle partitions; it stays as it is for the life of a checkpoint.
+STORE_ROWS = 20_000
 #: State store of the streaming query; memory of all its instances in an executor is bounded together.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -44,16 +47,17 @@ def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(norm).alias("digest"), F.octet_length(norm).cast("bigint").alias("n_bytes"))
 
 
-def update_state(spark: SparkSession, arrived_path: str, state_dir: str, partitions: int | None = None) -> DataFrame:
+def update_state(spark: SparkSession, arrived_path: str, state_dir: str, stores: int = 8) -> DataFrame:
     """Feeds new files of arrivals to the state kept under state_dir and returns all groups so far.
 
     Call it again when more files have come: the checkpoint remembers the files that were read, and the state, without
-    expiry, what they held. Each run writes the groups that it touched; of a digest the largest row count is the latest.
+    expiry, what they held. stores: number of state stores, fixed by the first run. Each run writes the groups that it touched; of a digest the largest row count is the latest.
     """
     own = spark.newSession()
     for k, v in STATE_CONF.items():
         own.conf.set(k, v)
-    own.conf.set("spark.sql.shuffle.partitions", str(partitions) if partitions else spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(stores))
     schema = "doc_id bigint, digest string, n_bytes bigint"
     keyed = (
         own.readStream.schema(schema).parquet(arrived_path).groupBy("digest", "n_bytes")
@@ -82,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrived = fresh_path(spark, "arrivals")
     arrivals(docs, id_col, text_col, digest).write.parquet(arrived)
     told = spark.read.parquet(arrived)
-    groups = update_state(spark, arrived, fresh_path(spark, "dedup-state"))
+    groups = update_state(spark, arrived, fresh_path(spark, "dedup-state"), max(8, told.count() // STORE_ROWS))
     found = staged(told.join(groups, ["digest", "n_bytes"]), "dedup-found")
     # Hits: the ids whose digest the state held more than once. Their texts meet by id, then by digest; the partial
     # aggregation leaves one text per digest and task, so a huge group of copies costs no more than a small one.
