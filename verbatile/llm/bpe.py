@@ -90,10 +90,11 @@ class Codec:
         for rank, slot in enumerate(self.perfect(keys).tolist()):
             self.by_slot[slot] = rank
         rank_of = {t: i for i, t in enumerate(tokens)}
+        self.narrow = len(tokens) < 1 << 16
         self.byte = [rank_of[bytes([b])] for b in range(256)]
         #: Rank of the token that two tokens make, by their ranks.
         self.pair = {a << 32 | b: i for i, t in enumerate(tokens) for k in range(1, len(t)) if (a := rank_of.get(t[:k])) is not None and (b := rank_of.get(t[k:])) is not None}
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: a heap of mergeable neighbours over a linked list of its bytes."""
@@ -136,13 +137,14 @@ class Codec:
                 ids = [rank]
             else:
                 ids = self.merge(data)
-            self.memo[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            self.memo[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids), np.array(ids, dtype="<u2").tobytes() if self.narrow else b"")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
-        """For each text its pre-tokens' ids (decimal, joined by one space), their number and the decoded bytes."""
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes, bytes]]]:
+        """For each text its pre-tokens' ids (decimal, joined by one space), their number, the decoded bytes, and the ids as
+        little-endian 16-bit numbers if the vocabulary has room in those."""
         found = [self.find(t) for t in texts]
         new = set().union(*found).difference(self.memo)
         if len(self.memo) + len(new) > MEMO_ENTRIES:

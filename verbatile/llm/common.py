@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Column names that the operators make carry this prefix, so that callers' extra columns never clash.
 P = "__v_"
@@ -19,6 +21,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
+#: Everything of ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
@@ -88,7 +92,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class Words:
     """The words of a slice of texts: bytes, spans, the first word of each text, and 64-bit hashes on demand."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, spaces: np.ndarray = _IS_SPACE):
+        """lower: A-Z lowered first. spaces: for each byte value whether it separates words."""
         texts = texts.cast(pa.large_string())
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=texts.offset + n + 1)[texts.offset :]
@@ -103,7 +108,7 @@ class Words:
         self.data = data
         # Spans come from the places where "in a word" changes; a text's end counts as a space.
         inside = np.zeros(hi - lo + 1, dtype=bool)
-        np.logical_not(_IS_SPACE[data[: hi - lo]], out=inside[: hi - lo])
+        np.logical_not(spaces[data[: hi - lo]], out=inside[: hi - lo])
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         begin = self.cuts[:-1][self.cuts[:-1] < hi - lo]
@@ -160,3 +165,39 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def dense_sum(parts: DataFrame, chunks: int, width: int) -> np.ndarray:
+    """Sum of the arrays that tasks have emitted as rows (chunk int, data binary: zlib of width little-endian int64).
+
+    Each chunk is summed in one stream, whatever the number of tasks; what comes to the driver is the sum, chunks * width * 8
+    bytes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                values = np.frombuffer(zlib.decompress(data), dtype="<i8")
+                sums[chunk] = sums[chunk] + values if chunk in sums else values
+        for chunk, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())], ["chunk", "data"])
+
+    total = np.zeros(chunks * width, dtype=np.int64)
+    for chunk, data in parts.repartition("chunk").mapInArrow(run, "chunk int, data binary").collect():
+        total[chunk * width : (chunk + 1) * width] = np.frombuffer(zlib.decompress(data), dtype="<i8")
+    return total
+
+
+def dense_parts(values: np.ndarray, chunks: int) -> pa.RecordBatch:
+    """The rows that dense_sum reads, of one task's array."""
+    data = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in np.split(values, chunks)]
+    return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
+
+
+def hashed_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> tuple[DataFrame, dict]:
+    """About per_class rows of each value of the column by (all of a smaller class), chosen by a hash of doc_id, and the
+    number of rows of each class. Needs the columns doc_id and by; the values of by are taken to be few."""
+    total = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    share = F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(min(1.0, per_class / n))) for k, n in sorted(total.items())]) if total else F.lit(0.0)
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return df.where(place < share), total
