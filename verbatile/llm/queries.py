@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .lid_crf import identify
 from .mixing import mix_documents
@@ -52,6 +53,10 @@ def op6_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(5, 0))
 
@@ -65,5 +70,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_crf_language_id, op2_exact_dedup, op3_separator_scan, op4_winnowing, op5_super_kmer_dedup, op6_weighted_fair_mix, op8_kneser_ney_toxicity, op9_license_scan, op10_byte_bpe)
+    made = (op1_crf_language_id, op2_exact_dedup, op3_separator_scan, op4_winnowing, op5_super_kmer_dedup, op6_weighted_fair_mix, op7_ngram_jaccard, op8_kneser_ney_toxicity, op9_license_scan, op10_byte_bpe)
     return {f.__name__: f for f in made}

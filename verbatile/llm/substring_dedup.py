@@ -228,7 +228,7 @@ def bucket_windows(kmers: DataFrame, window: int) -> DataFrame:
             go_on = np.zeros(len(marked), dtype=bool)
             go_on[1:] = (marked[1:] == marked[:-1] + 1) & (row[marked[1:]] == row[marked[:-1]])
             begin = np.flatnonzero(~go_on)
-            end = np.append(begin[1:], len(marked)) - 1
+            end = np.append(begin[1:], len(marked))[: len(begin)] - 1
             ids, ties = batch.column("doc_id"), batch.column("tie")
             r = pa.array(row[marked[begin]]) if len(marked) else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(r), ties.take(r), pa.array(place[marked[begin]]), pa.array(place[marked[end]]), pa.nulls(len(r), pa.string())], ["doc_id", "tie", "first", "last", "words"])
