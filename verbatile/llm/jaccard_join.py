@@ -3,9 +3,9 @@
 1. Every text is lower-cased (A-Z), cut into words and shingled; equal sets become one class (two 64-bit sums tell sets
    apart), represented by the smallest id.
 2. Candidate classes. If two sets are similar, their first n - ceil(0.8 n) + 1 shingles, in any order that is the same for
-   all, share one. The order puts shingles that are common in the corpus last. A bit table of fixed size drops the prefix
-   shingles that surely occur once. Shingles of two or more classes tie classes together; the connected components of these
-   ties hold all links.
+   all, share one. The order puts shingles first that surely occur once (a bit table of fixed size tells), and the common
+   ones last, so that most documents have nothing in their prefix that another could share. Prefix shingles of two or more
+   classes tie them together; the connected components of these ties hold all links.
 3. Each component is joined by signature trees (see signature_trees), which give a forest of its links. A component beyond
    GROUP classes is first cut into blocks at random, which joins nearly all of its near copies; only what is still apart
    from something that it shares a shingle with goes on, in smaller components or, if need be, in pairs of blocks.
@@ -34,6 +34,8 @@ from .components import components
 K, PERCENT = 5, 80
 #: Classes that are joined in one task at most; common shingles that are told apart (a bound of what is broadcast).
 GROUP, COMMON = 5_000, 200_000
+#: Slots of the table of repeated shingles, as a power of two (64 MB of bits).
+TABLE_BITS = 29
 #: A shingle is a candidate for the common ones if that many texts of one task have it.
 OFTEN = 4
 
@@ -66,65 +68,69 @@ def sums(s: np.ndarray) -> tuple[int, int]:
     return (a - 2**64 if a >= 2**63 else a), (b - 2**64 if b >= 2**63 else b)
 
 
-def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of which two similar sets share one: common ones last (by rank), others in order of hash."""
+def prefix(s: np.ndarray, table: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Of the shingles of which two similar sets share one, those that may occur more than once in the corpus. The order is
+    that of the hashes, but first come all that surely occur once, and last the common ones by rank."""
     n = len(s)
     if not n:
         return s
-    keep = n - -(-percent * n // 100) + 1
-    if not len(common):
-        return s[:keep]
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    order = np.where(common[at] == s, rank[at], -1)
-    return s[np.argsort(order, kind="stable")[:keep]] if (order >= 0).any() else s[:keep]
+    again = s[repeats.maybe_repeated(table, s)]
+    left = (n - -(-percent * n // 100) + 1) - (n - len(again))
+    if left <= 0:
+        return again[:0]
+    if len(common):
+        at = np.minimum(np.searchsorted(common, again), len(common) - 1)
+        again = again[np.argsort(np.where(common[at] == again, rank[at], -1), kind="stable")]
+    return again[:left]
 
 
 def _scan(texts: DataFrame, schema: str, each, finish=None) -> DataFrame:
-    """mapInArrow over (doc_id, text): each(part, sets) gives a batch or None, finish the last one of the task."""
+    """mapInArrow over (doc_id, text): each(part, sets, state) gives batches, finish(state) the last ones of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                made = each(part, shingle_sets(Words(part.column(1), lower=True), state_k), state)
-                if made is not None:
-                    yield made
-        if finish is not None and (made := finish(state)) is not None:
-            yield made
+                yield from each(part, shingle_sets(Words(part.column(1), lower=True)), state)
+        if finish is not None:
+            yield from finish(state)
 
-    state_k = K
     return texts.mapInArrow(run, schema)
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """doc_id, n, s1, s2 of each text; and rows with a shingle that is frequent in a task (shingle, n)."""
+    """doc_id, n, s1, s2 of each text; rows with a shingle that is frequent in a task (shingle, n); and a task's part of the
+    table of repeated shingles (chunk, data)."""
+    names = ["doc_id", "n", "s1", "s2", "shingle", "chunk", "data"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+
+    def rows(count: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, kind) for c, kind in zip(names, kinds, strict=True)], names)
+
+    def tell(state):
+        value, n = np.unique(np.concatenate(state["sets"]), return_counts=True)
+        parts = repeats.task_parts(np.repeat(value, np.minimum(n, 2)), TABLE_BITS)
+        state["told"].append(rows(len(parts), chunk=pa.array([c for c, _ in parts], pa.int32()), data=pa.array([d for _, d in parts], pa.binary())))
+        often = n >= OFTEN
+        state["told"].append(rows(int(often.sum()), shingle=pa.array(value[often].view(np.int64)), n=pa.array(n[often].astype(np.int64))))
+        state["sets"], state["held"] = [], 0
 
     def each(part, sets, state):
-        found = [sums(s) for s in sets]
-        state.setdefault("all", []).extend(sets)
+        state.setdefault("told", [])
+        state.setdefault("sets", []).extend(sets)
         state["held"] = state.get("held", 0) + sum(map(len, sets))
-        if state["held"] > 8_000_000:  # bounded memory: what has been frequent so far is told at once
-            state.setdefault("told", []).append(_frequent(state.pop("all")))
-            state["held"] = 0
-        return pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.nulls(len(sets), pa.int64())],
-            ["doc_id", "n", "s1", "s2", "shingle"],
-        )
+        found = [sums(s) for s in sets]
+        yield rows(len(sets), doc_id=part.column(0), n=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([a for a, _ in found], pa.int64()), s2=pa.array([b for _, b in found], pa.int64()))
+        if state["held"] > 8_000_000:  # bounded memory
+            tell(state)
+            yield from state.pop("told")
 
     def finish(state):
-        told = state.get("told", []) + ([_frequent(state["all"])] if state.get("all") else [])
-        if not told:
-            return None
-        value, n = np.concatenate([v for v, _ in told]), np.concatenate([c for _, c in told])
-        blank = pa.nulls(len(value), pa.int64())
-        return pa.RecordBatch.from_arrays([blank, pa.array(n.astype(np.int64)), blank, blank, pa.array(value.view(np.int64))], ["doc_id", "n", "s1", "s2", "shingle"])
-
-    return staged(_scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingle bigint", each, finish), "shingle-profiles")
-
+        if state.get("sets"):
+            tell(state)
+            yield from state["told"]
 
-def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    value, n = np.unique(np.concatenate(sets), return_counts=True)
-    return value[n >= OFTEN], n[n >= OFTEN]
+    return staged(_scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingle bigint, chunk int, data binary", each, finish), "shingle-profiles")
 
 
 def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -135,27 +141,14 @@ def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value[order], (len(top) - order).astype(np.int64)
 
 
-def candidates(texts: DataFrame, classes: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """node, n, prefix (shingles that may be in the prefix of another class) and set, of the classes that have such a shingle."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)
-
-    def told(part, sets, state):
-        state.setdefault("values", []).extend([prefix(s, *sent.value, percent) for s in sets])
-        return None
-
-    def finish(state):
-        if not state.get("values"):
-            return None
-        parts = repeats.task_parts(np.concatenate(state["values"]))
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], ["chunk", "data"])
-
-    bits = texts.sparkSession.sparkContext.broadcast(repeats.table(staged(_scan(texts, "chunk int, data binary", told, finish), "prefix-survey")))
+def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """node, n, prefix (its shingles that may be in the prefix of another class) and set, of the classes that have such a one."""
+    sent = texts.sparkSession.sparkContext.broadcast((table, *common))
 
     def each(part, sets, state):
         rows, n, s1, s2, first, data = [], [], [], [], [], []
         for i, s in enumerate(sets):
             p = prefix(s, *sent.value, percent)
-            p = p[repeats.maybe_repeated(bits.value, p)] if len(p) else p
             if len(p):
                 a, b = sums(s)
                 rows.append(i)
@@ -164,10 +157,9 @@ def candidates(texts: DataFrame, classes: DataFrame, common: tuple[np.ndarray, n
                 s2.append(b)
                 first.append(p.view(np.int64))
                 data.append(s.astype("<u8").tobytes())
-        if not rows:
-            return None
-        columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(data, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "prefix", "set"])
+        if rows:
+            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "prefix", "set"])
 
     found = _scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, set binary", each)
     same = [F.col(c).eqNullSafe(F.col(P + c)) for c in ("doc_id", "s1", "s2")]
@@ -224,14 +216,13 @@ def _joined(held: dict, percent: int) -> Iterator[pa.RecordBatch]:
 
 def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
     """A forest of all links between candidate classes."""
-    sets = found.select("node", "set")
     links, labels, rounds = None, None, 0
     while True:
         edges = ties(found, labels)
         if edges.isEmpty():
             break
         groups = staged(grouped(edges), "join-members")
-        rows = groups.withColumnRenamed("label", "grp").join(sets, "node")
+        rows = groups.withColumnRenamed("label", "grp").join(found.select("node", "set"), "node")
         if labels is not None:
             rows = rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
@@ -253,6 +244,8 @@ def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
         links = made if links is None else links.unionByName(made)
         if rounds >= 3 or not big:
             break
+        # Components that were joined whole are done; the others go on with what the links have told.
+        found = found.join(groups.where(F.col("members") > group).select("node"), "node")
         labels = staged(components(links), "join-labels")
         rounds += 1
     return links if links is not None else found.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -262,11 +255,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     told = profiles(texts)
-    rows = told.where("shingle IS NULL").select("doc_id", "n", "s1", "s2")
+    rows = told.where("s1 IS NOT NULL").select("doc_id", "n", "s1", "s2")
     # A class for each set; nulls first, so that min() would skip them.
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-    found = candidates(texts, classes, common_shingles(told), percent)
+    found = candidates(texts, classes, repeats.table(told, TABLE_BITS), common_shingles(told), percent)
     linked = components(links_of(found, percent, group)).select("node", "label")
     met = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = met.groupBy("label").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("component_id"))

@@ -14,25 +14,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Slots (bits: 16 MB) and the chunks in which they are summed.
+#: Slots of a table, as a power of two (16 MB of bits), and of the chunks in which they are summed.
 BITS, CHUNK_BITS = 27, 21
 
 
-def slots(values: np.ndarray) -> np.ndarray:
-    return (values & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def task_parts(values: np.ndarray) -> list[tuple[int, bytes]]:
+def task_parts(values: np.ndarray, bits: int = BITS) -> list[tuple[int, bytes]]:
     """What a task tells of its values (uint64, repeats included): for each chunk its slots, those seen more often twice."""
-    found, n = np.unique(slots(values), return_counts=True)
+    found, n = np.unique(slots(values, bits), return_counts=True)
     both = np.concatenate([found, found[n > 1]])
     both.sort(kind="stable")
-    cut = np.searchsorted(both, np.arange((1 << BITS >> CHUNK_BITS) + 1) << CHUNK_BITS)
+    cut = np.searchsorted(both, np.arange((1 << bits >> CHUNK_BITS) + 1) << CHUNK_BITS)
     local = (both & ((1 << CHUNK_BITS) - 1)).astype("<i4")
     return [(c, zlib.compress(np.diff(local[a:b], prepend=np.int32(0)).astype("<i4").tobytes(), 1)) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
-def table(parts: DataFrame) -> np.ndarray:
+def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
     """The bits, packed, from rows (chunk int, data binary) of all tasks. Each chunk is summed in one stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,13 +47,13 @@ def table(parts: DataFrame) -> np.ndarray:
         for chunk, count in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["chunk", "data"])
 
-    bits, width = np.zeros(1 << BITS >> 3, dtype=np.uint8), 1 << CHUNK_BITS >> 3
+    out, width = np.zeros(1 << bits >> 3, dtype=np.uint8), 1 << CHUNK_BITS >> 3
     summed = parts.where(F.col("data").isNotNull()).select("chunk", "data").repartition("chunk").mapInArrow(run, "chunk int, data binary")
     for chunk, data in summed.collect():
-        bits[chunk * width : (chunk + 1) * width] = np.frombuffer(data, dtype=np.uint8)
-    return bits
+        out[chunk * width : (chunk + 1) * width] = np.frombuffer(data, dtype=np.uint8)
+    return out
 
 
-def maybe_repeated(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = slots(values)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+def maybe_repeated(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = slots(values, len(table).bit_length() + 2)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
