@@ -77,12 +77,14 @@ def page_artifacts(spark, sf_dir):
     return corpus.repeated_lines(read(spark, sf_dir, "documents"), 3)
 
 
-@query(f"""WITH l AS ({LINES}), m AS (SELECT doc_id, n AS line, trim(line) AS t FROM l), s AS (SELECT *, length(t) AS len,
+@query(f"""WITH documents AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'a @@#### $$%%%% b' ELSE '' END AS text FROM documents), l AS ({LINES}), m AS (SELECT doc_id, n AS line, trim(line) AS t FROM l), s AS (SELECT *, length(t) AS len,
 length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS alpha,
 coalesce(list_sum([length(x) FOR x IN regexp_extract_all(t, '(?i)[bcdfghjklmnpqrstvwxz]{{8,}}')]), 0) AS clusters FROM m)
 SELECT doc_id, line FROM s WHERE len >= 10 AND ((alpha / len < 0.12 AND regexp_matches(t, '[^\\p{{L}}\\p{{N}}\\s]{{4,}}')) OR clusters / len > 0.5)""")
 def noise_lines(spark, sf_dir):
-    return corpus.lines(read(spark, sf_dir, "documents")).where(T.is_ocr_noise(F.col("text"))).select("doc_id", "line")
+    noise = F.when(F.col("doc_id") % 3 == 0, "\na @@#### $$%%%% b").otherwise("")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", noise).alias("text"))
+    return corpus.lines(docs).where(T.is_ocr_noise(F.col("text"))).select("doc_id", "line")
 
 
 @query(f"""WITH l AS ({LINES}), f AS (SELECT doc_id, n AS line, n % 7 = 3 AS fence FROM l)
@@ -212,10 +214,10 @@ def interval_union(spark, sf_dir):
     return intervals.union(cues(spark, sf_dir), "user_id", 30.0).select("user_id", "start", "end")
 
 
-@query(f"""WITH {CUES}, p AS (SELECT user_id, start AS at, 1 AS a, 0 AS s FROM c WHERE event_type = 'view' UNION ALL SELECT user_id, "end", -1, 0 FROM c WHERE event_type = 'view'
+@query(f"""WITH {CUES}, p AS (SELECT user_id, start AS "at", 1 AS a, 0 AS s FROM c WHERE event_type = 'view' UNION ALL SELECT user_id, "end", -1, 0 FROM c WHERE event_type = 'view'
 UNION ALL SELECT user_id, start, 0, 1 FROM c WHERE event_type = 'click' UNION ALL SELECT user_id, "end", 0, -1 FROM c WHERE event_type = 'click'),
-g AS (SELECT user_id, at, sum(a) AS a, sum(s) AS s FROM p GROUP BY 1, 2),
-w AS (SELECT user_id, at AS start, lead(at) OVER o AS "end", sum(a) OVER o AS a, sum(s) OVER o AS s FROM g WINDOW o AS (PARTITION BY user_id ORDER BY at)),
+g AS (SELECT user_id, "at", sum(a) AS a, sum(s) AS s FROM p GROUP BY 1, 2),
+w AS (SELECT user_id, "at" AS start, lead("at") OVER o AS "end", sum(a) OVER o AS a, sum(s) OVER o AS s FROM g WINDOW o AS (PARTITION BY user_id ORDER BY "at")),
 k AS (SELECT user_id, start, "end" FROM w WHERE a > 0 AND s = 0 AND "end" > start),
 n AS (SELECT *, coalesce(start > lag("end") OVER (PARTITION BY user_id ORDER BY start), true)::INT AS new FROM k),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start) AS island FROM n)
