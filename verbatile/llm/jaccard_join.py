@@ -135,10 +135,11 @@ def profiles(texts: DataFrame) -> DataFrame:
 
 def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most COMMON, sorted by hash, and their ranks by frequency."""
-    top = told.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    value = np.array([r.shingle for r in top], dtype=np.int64).view(np.uint64)
+    top = told.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle")
+    # As Arrow: the partial heads are merged in a task, and the driver gets 8 bytes a shingle.
+    value = top.toArrow().column(0).to_numpy().view(np.uint64)
     order = np.argsort(value)
-    return value[order], (len(top) - order).astype(np.int64)
+    return value[order], (len(value) - order).astype(np.int64)
 
 
 def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:

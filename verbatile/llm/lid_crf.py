@@ -7,7 +7,7 @@ blocks whose transfer matrices are multiplied block by block, so that all texts
 result is that of the whole chain. A document's language has the largest mean probability over its words, its score is that
 mean.
 
-The model is fitted on the driver on a bounded sample (docs_per_language documents of each language, chosen by a hash of the
+The model is fitted in one task on a bounded sample (docs_per_language documents of each language, chosen by a hash of the
 id), cut into short pieces that are strung together across languages, which teaches the transitions. Its size is bounded by
 SLOTS, LEXICON and the number of languages.
 
@@ -18,6 +18,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -173,14 +174,25 @@ class Crf:
         return (post / post.sum(axis=2, keepdims=True))[real]
 
 
-def training_rows(docs: DataFrame, learn: Column, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(lang, text) of the bounded sample, in order of id."""
+def training_rows(docs: DataFrame, learn: Column, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, lang and text of the bounded sample."""
     ids = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"))
     chosen, _ = hashed_sample(ids, "lang", docs_per_language)
     # Bounded by docs_per_language a language, so the sample's ids may go to every executor.
     texts = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").collect()
-    return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text or ""))]
+    return texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+
+
+def fitted(sample: DataFrame) -> Crf | None:
+    """The field fitted on a bounded sample (doc_id, lang, text), in a task rather than in the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
+
+    # The order does not depend on how the sample was dealt.
+    made = sample.select("doc_id", "lang", "text").repartition(1).sortWithinPartitions("doc_id", "lang", "text").mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else None
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Crf | None:
@@ -227,7 +239,7 @@ def identify(docs: DataFrame, learn: Column, docs_per_language: int = DOCS_PER_L
 
     learn: which rows the model may learn from. One pass over the documents without a shuffle, besides the sample's.
     """
-    model = train(training_rows(docs, learn, docs_per_language, id_col, text_col, lang_col))
+    model = fitted(training_rows(docs, learn, docs_per_language, id_col, text_col, lang_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double" + ", words array<string>, word_langs array<string>" * with_words
 

@@ -45,12 +45,14 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
                 count[at] = np.minimum(count[at] + 1, 2)
                 count[more] = 2
         for chunk, count in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.packbits(count > 1).tobytes(), 1)], pa.binary())], ["chunk", "data"])
 
     out, width = np.zeros(1 << bits >> 3, dtype=np.uint8), 1 << CHUNK_BITS >> 3
     summed = parts.where(F.col("data").isNotNull()).select("chunk", "data").repartition("chunk").mapInArrow(run, "chunk int, data binary")
-    for chunk, data in summed.collect():
-        out[chunk * width : (chunk + 1) * width] = np.frombuffer(data, dtype=np.uint8)
+    rows = summed.collect()
+    while rows:  # each row is freed as it is read
+        chunk, data = rows.pop()
+        out[chunk * width : (chunk + 1) * width] = np.frombuffer(zlib.decompress(data), dtype=np.uint8)
     return out
 
 
