@@ -83,3 +83,39 @@ def srt_time(seconds: Column) -> Column:
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def inline_markup(c: Column) -> Column:
+    """Line breaks become newlines, underlining and comments go, three newlines or more become two."""
+    for pattern, value in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</?u>", ""), (r"(?s)<!--.*?-->", ""), (r"\n{3,}", "\n\n")):
+        c = F.regexp_replace(c, pattern, value)
+    return c
+
+
+def repeated_letters(c: Column) -> Column:
+    """A word of one letter three times or more becomes that letter, but for Roman numerals in capitals."""
+    return F.regexp_replace(c, r"\b(?!(?:III|XXX|CCC|MMM)\b)([a-zA-Z])\1{2,}\b", "$1")
+
+
+def file_title(c: Column) -> Column:
+    """A title from a file's name: tags in brackets and characters that file systems refuse go, underscores become spaces."""
+    for pattern, value in ((r"\[[^\]]*\]", " "), (r"_", " "), (r'[<>:"/\\|?*]', ""), (r"\s+", " ")):
+        c = F.regexp_replace(c, pattern, value)
+    return F.trim(c)
+
+
+def page_ranges(c: Column) -> Column:
+    """`1-3,7` as sorted distinct pages from 0."""
+    ends = lambda x: F.split(x, "-")
+    pages = F.transform(F.split(F.regexp_replace(c, r"\s", ""), ","), lambda x: F.sequence(ends(x)[0].cast("int") - 1, F.element_at(ends(x), -1).cast("int") - 1))
+    return F.array_sort(F.array_distinct(F.flatten(pages)))
+
+
+def human_size(n: Column) -> Column:
+    """Bytes as B, KB, MB or GB, tenths rounded half up."""
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+        tenths = F.floor((n * 10 + 1024**power // 2) / F.lit(1024**power))
+        text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = out.otherwise(text) if unit == "GB" else out.when(n < 1024 ** (power + 1), text)
+    return out

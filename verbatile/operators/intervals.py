@@ -64,3 +64,32 @@ def cue_checks(cues: DataFrame, key: str, longest: float = 12.0, shortest: float
         n(F.col("start") < F.col("reach"))("overlap"), n(length > longest)("long_duration"), n(valid & (length < shortest))("short_duration"),
         n(valid & (F.length(F.regexp_replace("text", r"\s", "")) / length > fastest))("fast"), n(~valid)("invalid_duration"),
     )
+
+
+def containing(points: DataFrame, cues: DataFrame, key: str, width: float) -> DataFrame:
+    """For each point (key, lid, at) the interval (key, rid, start, end) that holds it and whose centre is nearest (smallest
+    rid on ties); both sides are dealt to time buckets of the given width."""
+    a = points.withColumn("cell", F.floor(F.col("at") / width))
+    b = cues.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    met = a.join(b, [key, "cell"]).where(F.col("at").between(F.col("start"), F.col("end")))
+    return met.groupBy(key, "lid").agg(F.min(F.struct(F.abs((F.col("start") + F.col("end")) / 2 - F.col("at")).alias("far"), "rid")).alias("best")).select(key, "lid", F.col("best.rid").alias("rid"))
+
+
+def room(cues: DataFrame, key: str, extension: float = 0.75) -> DataFrame:
+    """cues (key, event_id, start, end) with available: their length and the silence behind them, extension at most."""
+    after = F.lead("start").over(Window.partitionBy(key).orderBy("start", "event_id")) - F.col("end")
+    return cues.withColumn("available", F.col("end") - F.col("start") + F.greatest(F.lit(0.0), F.least(F.lit(extension), F.coalesce(after, F.lit(extension)))))
+
+
+def allot(d: DataFrame, key: str, order: str, weight: Column, total: int) -> DataFrame:
+    """d with share: a whole part of total in proportion to weight; the last row of a key gets what is left."""
+    w = Window.partitionBy(key)
+    d = d.withColumn("part", F.floor(weight * total / F.sum(weight).over(w) + 0.5))
+    last = F.row_number().over(w.orderBy(F.desc(order))) == 1
+    return d.withColumn("share", F.when(last, F.lit(total) - F.sum("part").over(w) + F.col("part")).otherwise(F.col("part"))).drop("part")
+
+
+def context(d: DataFrame, key: str, order: str, value: str, size: int = 3) -> DataFrame:
+    """d with the values of up to size rows before and after each."""
+    w = Window.partitionBy(key).orderBy(order)
+    return d.withColumns({"before": F.collect_list(value).over(w.rowsBetween(-size, -1)), "after": F.collect_list(value).over(w.rowsBetween(1, size))})

@@ -56,3 +56,28 @@ def cosine(a: Column, b: Column) -> Column:
 def mutation_gate(records: DataFrame, group: list[str], confidence: str, minimum: float) -> DataFrame:
     """A stage's changes are applied only if none of its group is below the least confidence."""
     return records.withColumn("applied", F.min(confidence).over(Window.partitionBy(*group)) >= minimum)
+
+
+def threshold_sweep(d: DataFrame, label: Column, p: Column, precision: float, cells: int = 1024) -> DataFrame:
+    """The threshold with the most recall (the higher one on ties) among those whose precision is at least the given one.
+
+    Running sums in two levels: within cells of the probability's range, each in a task, and over the cells' totals."""
+    g = d.select(label.alias("y"), p.alias("threshold")).groupBy("threshold").agg(F.sum("y").alias("tp"), F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("cell", F.least(F.floor(F.col("threshold") * cells), F.lit(cells)))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    # cells + 1 rows at most.
+    totals = g.groupBy("cell").agg(F.sum("tp").alias("t"), F.sum("n").alias("m"))
+    totals = totals.select("cell", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("m"), F.sum("t").over(Window.partitionBy()).alias("all"))
+    w = Window.partitionBy("cell").orderBy(F.desc("threshold"))
+    g = g.join(F.broadcast(totals), "cell").select("threshold", (F.sum("tp").over(w) + F.col("t")).alias("tp"), (F.sum("n").over(w) + F.col("m")).alias("n"), "all")
+    g = g.select("threshold", (F.col("tp") / F.col("n")).alias("precision"), F.try_divide("tp", "all").alias("recall")).where(F.col("precision") >= precision)
+    return g.agg(F.max(F.struct("recall", "threshold", "precision")).alias("b")).select("b.threshold", "b.precision", "b.recall")
+
+
+def grouped_split(d: DataFrame, by: str, seed: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """by, split: whole groups go to train, validation or test, in the order of a seeded hash. Groups are taken to be few."""
+    groups = d.select(by).distinct()
+    place = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(seed), F.char(F.lit(0)), F.col(by).cast("string")), 256)))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    cut = groups.select(by, place.alias("place"), n.alias("n"))
+    return cut.select(by, F.when(F.col("place") <= F.floor(F.col("n") * train), "train").when(F.col("place") <= F.floor(F.col("n") * (train + validation)), "validation").otherwise("test").alias("split"))

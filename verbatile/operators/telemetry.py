@@ -40,3 +40,14 @@ def day_range(d: DataFrame, column: str, first: str, last: str, **chosen: list)
         if values:
             keep = keep & F.col(name).isin(values)
     return d.where(keep)
+
+
+def tasks(d: DataFrame, key: str, order: str, starts: Column, ends: Column) -> DataFrame:
+    """key, task (from 1), n, first, last, status. A task runs from a start to the first end behind it; a start before that
+    supersedes it; the last one of a key may be incomplete."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select(key, order, starts.cast("int").alias("s"), ends.cast("int").alias("e")).withColumn("task", F.sum("s").over(w)).where("task > 0")
+    d = d.withColumn("over", F.coalesce(F.sum("e").over(Window.partitionBy(key, "task").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("over = 0")
+    d = d.groupBy(key, "task").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), F.max("e").alias("e"))
+    most = F.max("task").over(Window.partitionBy(key))
+    return d.withColumn("status", F.when(F.col("e") == 1, "completed").when(F.col("task") < most, "superseded_by_next_task").otherwise("incomplete")).drop("e")

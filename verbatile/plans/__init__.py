@@ -1,0 +1,3 @@
+"""Registered queries; importing the package registers those of all its modules."""
+
+from verbatile.plans import catalog, reports  # noqa: F401
