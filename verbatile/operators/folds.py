@@ -1,0 +1,134 @@
+"""Folds over the cues or words of one medium in order of time, for rules that depend on what the fold has made so far.
+
+Rows of a key are sorted and streamed through the fold, so memory is bounded by a cue and its neighbours, not by the medium.
+Null keys are one medium; a row whose start or end is null is left out.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CUE = {"start": "double", "end": "double", "speaker": "string", "text": "string"}
+_ARROW = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("speaker", pa.string()), ("text", pa.string())])
+SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)]*$")
+
+
+def fold(rows: DataFrame, key: str, step: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """The cues (key, start, end, speaker, text) that step makes of each key's, which come by start, end, speaker and text."""
+    kind = rows.schema[key].dataType
+    d = rows.select(key, *[F.col(c).cast(t).alias(c) for c, t in CUE.items()]).where("start IS NOT NULL AND `end` IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        schema = None
+
+        def each():
+            nonlocal schema
+            for b in batches:
+                schema = schema or pa.schema([b.schema.field(0), *_ARROW])
+                yield from b.to_pylist()
+
+        for k, group in groupby(each(), key=lambda r: r[key]):
+            for made in step(group):
+                held.append(made | {key: k})
+                if len(held) >= 4096:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    made = f"`{key}` {kind.simpleString()}, " + ", ".join(f"`{c}` {t}" for c, t in CUE.items())
+    return d.repartition(key).sortWithinPartitions(key, *CUE).mapInArrow(run, made)
+
+
+def _joined(a: dict, b: dict) -> dict:
+    return a | {"start": min(a["start"], b["start"]), "end": max(a["end"], b["end"]), "text": " ".join(filter(None, (a["text"], b["text"])))}
+
+
+def sentences(words: DataFrame, key: str, pause: float = 0.8, breath: float = 0.12, longest: float = 8.0, chars: int = 84) -> DataFrame:
+    """Cues from timed words. A new one begins where the speaker changes, after a pause, after a sentence's end and a breath,
+    and where the word would make the cue too long in time or characters."""
+
+    def step(rows):
+        cue = None
+        for w in rows:
+            if cue is not None:
+                gap = w["start"] - cue["end"]
+                cut = w["speaker"] != cue["speaker"] or gap >= pause or (gap >= breath and SENTENCE_END.search(cue["text"] or ""))
+                longer = _joined(cue, w)
+                if not cut and longer["end"] - longer["start"] <= longest and len(longer["text"]) <= chars:
+                    cue = longer
+                    continue
+                yield cue
+            cue = w
+        if cue is not None:
+            yield cue
+
+    return fold(words, key, step)
+
+
+def lengthened(cues: DataFrame, key: str, shortest: float = 0.5) -> DataFrame:
+    """Cues that are too short grow into the silence behind them, then before them; else they join the next, else the last."""
+
+    def step(rows):
+        before, cue = None, next(rows, None)
+        while cue is not None:
+            after = next(rows, None)
+            short = lambda c: c["end"] - c["start"] < shortest - 1e-9
+            if short(cue):
+                end = cue["start"] + shortest
+                cue["end"] = max(cue["end"], end if after is None else min(end, after["start"]))
+                if short(cue):
+                    cue["start"] = min(cue["start"], max(cue["end"] - shortest, before["end"] if before else 0.0))
+                if short(cue) and after is not None:
+                    cue = _joined(cue, after)
+                    continue
+                if short(cue) and before is not None:
+                    before, cue = _joined(before, cue), None
+                    break
+            if before is not None:
+                yield before
+            before, cue = cue, after
+        if before is not None:
+            yield before
+
+    return fold(cues, key, step)
+
+
+def without_echoes(cues: DataFrame, key: str, gap: float = 0.5) -> DataFrame:
+    """Neighbouring cues of a speaker, of which one's words hold the other's, become one with the longer text and both spans."""
+    plain = lambda t: re.sub(r"\W+", " ", (t or "").casefold()).strip()
+
+    def step(rows):
+        cue = None
+        for c in rows:
+            if cue is not None:
+                a, b = plain(cue["text"]), plain(c["text"])
+                if c["speaker"] == cue["speaker"] and c["start"] - cue["end"] <= gap and (a in b or b in a):
+                    cue = _joined(cue, c) | {"text": max(cue["text"] or "", c["text"] or "", key=len)}
+                    continue
+                yield cue
+            cue = c
+        if cue is not None:
+            yield cue
+
+    return fold(cues, key, step)
+
+
+def without_overlap(cues: DataFrame, key: str) -> DataFrame:
+    """Cues by start; one that begins before the last kept cue's end is left out."""
+
+    def step(rows):
+        end = float("-inf")
+        for c in rows:
+            if c["start"] >= end:
+                end = c["end"]
+                yield c
+
+    return fold(cues, key, step)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _DELETES = "array_distinct(concat(array({w}), transform(sequence(1, length({w})), i -> concat(substring({w}, 1, i - 1), substring({w}, i + 1)))))"
@@ -15,3 +15,12 @@ def one_edit_apart(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     side = lambda d, name: d.select(F.col("word").alias(name)).distinct().where(F.length(name) >= 2).select(name, F.explode(F.expr(_DELETES.format(w=name))).alias("variant"))
     pairs = side(words, "a").join(side(lexicon, "b"), "variant").select("a", "b").where("a <> b").distinct()
     return pairs.where(f"levenshtein(a, b) = 1 OR ({_SWAPPED})")
+
+
+def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """word, suggestion, frequency, ambiguous: for each word the most frequent of lexicon (word, frequency) one edit apart (the
+    first by code point on ties); ambiguous if the runner-up is more than half as frequent."""
+    pairs = one_edit_apart(words, lexicon).join(lexicon.select(F.col("word").alias("b"), "frequency"), "b")
+    w = Window.partitionBy("a").orderBy(F.desc("frequency"), "b")
+    d = pairs.select("a", "b", "frequency", F.row_number().over(w).alias("nth"), F.lead("frequency").over(w).alias("next")).where("nth = 1")
+    return d.select(F.col("a").alias("word"), F.col("b").alias("suggestion"), "frequency", F.coalesce(F.col("frequency") < 2 * F.col("next"), F.lit(False)).alias("ambiguous"))

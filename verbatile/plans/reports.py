@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from verbatile.functions import narration
 from verbatile.functions import text as T
-from verbatile.operators import corpus, intervals, markdown, records, spelling, telemetry
-from verbatile.plans.catalog import CUES, LINES, TOKENS, cues, query, read
+from verbatile.operators import corpus, folds, intervals, markdown, records, spelling, telemetry
+from verbatile.plans.catalog import CUES, ORACLES, LINES, TOKENS, cues, query, read
+from verbatile.sinks import documents
 
 # Markdown. The documents have none, so the same lines are put behind each text on both sides.
 
@@ -187,3 +189,92 @@ def threshold_sweep(spark, sf_dir):
 SELECT source, CASE WHEN place <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN place <= floor(n * 0.9::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r""")
 def grouped_split(spark, sf_dir):
     return records.grouped_split(read(spark, sf_dir, "documents"), "source", "7")
+
+
+# Speech and cue repair
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text || chr(10) || '# Head' || chr(10) || '* * *' || chr(10) || chr(10) || 'last  one', '(?m)^(#{1,6} [^\\n]*)$', chr(10) || chr(10) || '\\1' || chr(10) || chr(10), 'g'), '\\n[ \\t]*\\n')) AS p FROM documents),
+q AS (SELECT doc_id, trim(regexp_replace(regexp_replace(p, '^\\s*#+ ', ''), '\\s+', ' ', 'g')) AS p FROM p)
+SELECT doc_id, count(*) AS n, sum(length(p))::BIGINT AS chars FROM q WHERE length(regexp_replace(p, '[^\\p{L}]', '', 'g')) >= 4 GROUP BY 1""")
+def narration_paragraphs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n# Head\n* * *\n\nlast  one")).alias("text"))
+    d = docs.select("doc_id", F.explode(narration.paragraphs(F.col("text"))).alias("p"))
+    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("p")).alias("chars"))
+
+
+@query()
+def speech_chunks(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(narration.speech_chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+@query()
+def unicode_repair(spark, sf_dir):
+    noisy = F.concat("text", F.lit(" ﬁne cafÃ© ①"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(narration.nfkc(narration.mojibake(noisy)), 256).alias("digest"))
+
+
+def timed_words(spark, sf_dir):
+    d = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "text"))
+    start = F.col("turn") * 10000.0 + F.col("pos") * 0.3
+    return d.select("conv_id", start.alias("start"), (start + 0.25).alias("end"), F.col("role").alias("speaker"), "text")
+
+
+@query()
+def word_sessionize_caps(spark, sf_dir):
+    return folds.sentences(timed_words(spark, sf_dir), "conv_id")
+
+
+def event_cues(spark, sf_dir):
+    return cues(spark, sf_dir).select("user_id", "start", "end", F.col("event_type").alias("speaker"), F.col("event_type").alias("text"))
+
+
+@query()
+def cue_repair(spark, sf_dir):
+    return folds.lengthened(event_cues(spark, sf_dir), "user_id", 120.0)
+
+
+@query()
+def adjacent_dedup(spark, sf_dir):
+    return folds.without_echoes(event_cues(spark, sf_dir), "user_id", 600.0)
+
+
+@query()
+def greedy_overlap(spark, sf_dir):
+    return folds.without_overlap(event_cues(spark, sf_dir), "user_id")
+
+
+@query(f"""WITH {CUES}, v AS (SELECT * FROM c WHERE event_type = 'view'), r AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+t AS (SELECT user_id, sum(greatest(0, "end" - greatest(start, coalesce(reach, start)))) AS every FROM r GROUP BY 1), g AS (SELECT user_id, sum("end" - start) AS gone FROM ({ORACLES["interval_difference"]}) GROUP BY 1)
+SELECT user_id, round(1 - coalesce(gone, 0) / every, 9) AS coverage FROM t LEFT JOIN g USING (user_id)""")
+def coverage_ratio(spark, sf_dir):
+    """The share of the time of a user's views that clicks cover."""
+    views, total = cues(spark, sf_dir, "view"), F.sum(F.col("end") - F.col("start"))
+    every = intervals.union(views, "user_id").groupBy("user_id").agg(total.alias("every"))
+    gone = intervals.difference(views, cues(spark, sf_dir, "click"), "user_id").groupBy("user_id").agg(total.alias("gone"))
+    return every.join(gone, "user_id", "left").select("user_id", F.round(1 - F.coalesce("gone", F.lit(0.0)) / F.col("every"), 9).alias("coverage"))
+
+
+@query(f"""WITH w AS (SELECT lower(token) AS w, count(*) AS n FROM ({TOKENS}) WHERE length(token) >= 4 GROUP BY 1), v AS (SELECT DISTINCT w, n, unnest(list_concat([w], list_transform(range(1, length(w) + 1), lambda i: w[1:i - 1] || w[i + 1:]))) AS variant FROM w WHERE n = 1 OR n >= 5),
+p AS (SELECT DISTINCT a.w AS word, b.w AS suggestion, b.n AS frequency FROM v a JOIN v b ON a.variant = b.variant AND a.n = 1 AND b.n >= 5), q AS (SELECT * FROM p WHERE damerau_levenshtein(word, suggestion) = 1),
+r AS (SELECT *, row_number() OVER o AS nth, lead(frequency) OVER o AS runner_up FROM q WINDOW o AS (PARTITION BY word ORDER BY frequency DESC, suggestion))
+SELECT word, suggestion, frequency, coalesce(frequency < 2 * runner_up, false) AS ambiguous FROM r WHERE nth = 1""")
+def spell_suggest(spark, sf_dir):
+    words = corpus.tokens(read(spark, sf_dir, "documents")).where(F.length("key") >= 4).groupBy(F.col("key").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return spelling.suggestions(words.where("n = 1"), words.where("n >= 5").withColumnRenamed("n", "frequency"))
+
+
+# Written documents: their text is compared, as the digest of each medium's body.
+
+@query("""WITH t AS (SELECT conv_id, turn, turn * 3.5 AS s, turn * 3.5 + 2.25 AS e, role FROM conversations), f AS (SELECT *, (s * 1000)::BIGINT AS a, (e * 1000)::BIGINT AS b FROM t),
+l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY a) AS nth, strftime(make_timestamp(a * 1000), '%H:%M:%S') || ',' || lpad((a % 1000)::VARCHAR, 3, '0') || ' --> ' || strftime(make_timestamp(b * 1000), '%H:%M:%S') || ',' || lpad((b % 1000)::VARCHAR, 3, '0') AS times, role FROM f)
+SELECT conv_id, sha256(string_agg(nth || chr(10) || times || chr(10) || role || chr(10), chr(10) ORDER BY nth)) AS digest FROM l GROUP BY 1""")
+def srt_documents(spark, sf_dir):
+    d = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 3.5).alias("start"), (F.col("turn") * 3.5 + 2.25).alias("end"), F.col("role").alias("text"))
+    return documents.srt(d, "conv_id").select("conv_id", F.sha2("body", 256).alias("digest"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS began FROM conversations)
+SELECT conv_id, sha256(string_agg(lpad((began // 3600)::VARCHAR, 2, '0') || ':' || lpad((began // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((began % 60)::VARCHAR, 2, '0') || ' ' || role, chr(10) ORDER BY turn)) AS digest FROM c GROUP BY 1""")
+def chapter_lists(spark, sf_dir):
+    d = read(spark, sf_dir, "conversations").withColumn("seconds", F.length("text").cast("double"))
+    return documents.chapters(d, "conv_id", "turn", "seconds", "role").select("conv_id", F.sha2("body", 256).alias("digest"))
