@@ -133,8 +133,8 @@ def edits_apart(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFram
             yield d[d["distance"] <= most]
 
     pairs = side(words, "a").join(side(lexicon, "b"), "variant").where("a <> b").select("a", "b").distinct()
-    # Two edits of one swap each are four of Levenshtein's, so this only drops what can't be in.
-    return pairs.where(F.levenshtein("a", "b") <= 2 * most).mapInPandas(verify, "a string, b string, distance int")
+    # A swap is two of Levenshtein's edits and keeps the length, so this only drops what can't be in.
+    return pairs.where(F.levenshtein("a", "b") <= 2 * most - F.abs(F.length("a") - F.length("b"))).mapInPandas(verify, "a string, b string, distance int")
 
 
 def checkpointed(d: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def voice_assignment(spark, sf_dir):
 
 def repaired_cues(spark, sf_dir):
     """Cues of users' events, repaired until nothing gets better. Tested on worked examples."""
-    d = cues(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    d = cues(spark, sf_dir)
     return matching.repaired(d.select("user_id", "start", "end", F.col("event_type").alias("speaker"), F.col("event_type").alias("text")), "user_id")
 
 
