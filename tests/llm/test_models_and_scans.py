@@ -137,6 +137,25 @@ def test_toxicity_tells_classes_apart(spark, make_docs):
     assert toxicity_kn.score_documents(make_docs([]), marks, fold(5, 0)).collect() == []
 
 
+def test_toxicity_tells_words_of_one_slot_apart(spark, make_docs):
+    """A clean word whose hash ends in the same 20 bits as that of a toxic one scores like any other unknown word."""
+    import pyarrow as pa
+
+    from verbatile.llm.common import Words
+
+    low = lambda words: Words(pa.array(words)).hashes() & np.uint64((1 << 20) - 1)
+    tried = [f"c{i}" for i in range(8_000_000)]
+    twin = tried[int(np.flatnonzero(low(tried) == low(["vile"])[0])[0])]
+    rows = [(i, f"plain{i % 7} words{i % 5} here{i % 3} " + f"so{i // 4 % 9} " + ("vile" if i % 4 == 0 else "fine")) for i in range(400)]
+    rows += [(900, "unheard of"), (901, f"{twin} of"), (902, "vile of")]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    score = {r.doc_id: r.score for r in toxicity_kn.score_documents(make_docs(rows), marks, F.lit(True)).collect()}
+    assert score[901] == score[900] < score[902]
+    counts = {r.word: r.n for r in toxicity_kn.shared_counts(make_docs(rows)).collect()}
+    words = [w for _, t in rows for w in t.split()]
+    assert counts == {int(h): words.count(w) for w, h in zip(words, Words(pa.array(words)).hashes().view(np.int64))}
+
+
 def test_patience_alignment():
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
     r = random.Random(2)

@@ -7,9 +7,11 @@ evidence is the length-normalised difference of the two log-likelihoods, over th
 of words; a logistic curve, fitted on labelled rows that the counts have not seen, turns both into a probability.
 
 The class counts come from a bounded sample of labelled rows (rows_per_class of each class, chosen by a hash of the id) that
-is gathered on the driver as word slots; the shared counts are summed over the corpus in a table of fixed size. Counts are of
-documents, so that a text which repeats itself counts once, and the discount is large enough that what only a few documents
-of a class say is left to the back-off.
+one task reads. The shared counts are a grouped, written table with a row for each word of the corpus, by its 64-bit hash, and
+grow with it. Scoring needs them for the words of the class models only: any other word has only the back-off in both classes,
+where its shared count cancels out. So that table meets the sample's words, and what is broadcast is the bounded class model.
+Counts of the classes are of documents, so that a text which repeats itself counts once, and the discount is large enough that
+what only a few documents of a class say is left to the back-off.
 
 Edge cases: null and empty texts have no evidence and score what the curve gives for none; null labels are not learned from,
 of contradictory labels of one id the larger counts; where a class has no labelled row, every score is the share of toxic
@@ -18,6 +20,7 @@ labels; repeated rows score alike; empty tables give empty results; extra column
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +28,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, P, Words, dense_parts, dense_sum, hashed_sample, slices
+from .common import NOT_ALNUM, P, Words, hashed_sample, slices, staged
 
-ROWS_PER_CLASS, SLOTS, CHUNKS = 8_000, 1 << 20, 64
+ROWS_PER_CLASS = 8_000
 #: Discount of each count of documents, and words in a window.
 DISCOUNT, WINDOW = 3.0, 12
 
 
-def slots_of(words: Words) -> np.ndarray:
-    return (words.hashes() & np.uint64(SLOTS - 1)).astype(np.int64)
+def words_of(texts: pa.Array) -> Words:
+    return Words(texts, lower=True, spaces=NOT_ALNUM)
 
 
-def shared_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often the words of each slot stand in all documents."""
+def shared_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word (its 64-bit hash), n: how often each word stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                total += np.bincount(slots_of(Words(part.column(0), lower=True, spaces=NOT_ALNUM)), minlength=SLOTS)
-        if total.any():
-            yield dense_parts(total, CHUNKS)
+                word, n = np.unique(words_of(part.column(0)).hashes().view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return dense_sum(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "chunk int, data binary"), CHUNKS, SLOTS // CHUNKS)
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word bigint, n bigint")
+    return staged(found.groupBy("word").agg(F.sum("n").alias("n")), "kn-counts")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int) -> tuple[list[tuple[int, int, np.ndarray]], dict[int, int]]:
-    """(id, class, word slots) of the bounded sample, and the number of labelled rows of each class."""
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic, words (hashes) of the bounded sample, staged, and the number of labelled rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen, total = hashed_sample(known.where(learn), "toxic", rows_per_class)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
@@ -61,76 +63,110 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_cl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column(2), lower=True, spaces=NOT_ALNUM)
-                slots = slots_of(words).astype("<i4")
-                data = [slots[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "toxic", "slots"])
+                words = words_of(part.column(2))
+                hashes = words.hashes().astype("<u8")
+                data = [hashes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "doc_id bigint, toxic int, slots binary").collect()
-    return sorted(((r.doc_id, r.toxic, np.frombuffer(r.slots, dtype="<i4").astype(np.int64)) for r in got), key=lambda x: (x[0], x[1], len(x[2]))), total
+    return staged(rows.mapInArrow(run, "doc_id bigint, toxic int, words binary"), "kn-sample"), total
+
+
+def sample_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The shared counts of the sample's words, packed: words, times."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["word"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                data = [pa.array([np.asarray(batch.column(k)).astype("<i8").tobytes()], pa.binary()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(data, ["words", "times"])
+
+    own = rows.select("words").mapInArrow(words, "word bigint").distinct()
+    return counts.join(own, "word", "left_semi").select("word", "n").mapInArrow(pack, "words binary, times binary")
 
 
 class Model:
     """The two Kneser-Ney models and the curve."""
 
-    def __init__(self, shared: np.ndarray, texts: list[tuple[int, np.ndarray]]):
-        base = (shared + 0.5) / (shared.sum() + 0.5 * SLOTS)
-        self.lower, self.weight, kept = [], [], []
+    def __init__(self, known: np.ndarray, times: np.ndarray, size: int, kinds: int, texts: list[tuple[int, np.ndarray]]):
+        """known: the words of texts, in order; times: how often they stand in the corpus, which has size words of so many kinds."""
+        base = (times + 0.5) / (size + 0.5 * kinds)
+        n_known, models, kept, used = len(known), [], [], np.zeros(len(known), dtype=bool)
+        texts = [(k, np.searchsorted(known, t)) for k, t in texts]
         for c in (0, 1):
             mine = [t for k, t in texts if k == c]
             joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             # Documents with each bigram, documents with each word, and distinct words before each word.
-            key, n = np.unique(joined([np.unique(t[:-1] << 20 | t[1:]) for t in mine]), return_counts=True)
-            in_docs = np.bincount(joined([np.unique(t) for t in mine]), minlength=SLOTS)
-            before, word = key >> 20, key & (SLOTS - 1)
-            follows = np.minimum(np.bincount(word, minlength=SLOTS), in_docs)
-            kinds, own = max(1, int(follows.sum())), np.maximum(follows - DISCOUNT, 0)
-            lower = own / kinds + (1 - own.sum() / kinds) * base
-            times = np.bincount(before, weights=n, minlength=SLOTS)
+            key, n = np.unique(joined([np.unique(t[:-1] << 32 | t[1:]) for t in mine]), return_counts=True)
+            in_docs = np.bincount(joined([np.unique(t) for t in mine]), minlength=n_known)
+            before, word = key >> 32, key & 0xFFFFFFFF
+            follows = np.minimum(np.bincount(word, minlength=n_known), in_docs)
+            all_follows, own = max(1, int(follows.sum())), np.maximum(follows - DISCOUNT, 0)
+            rest = 1 - own.sum() / all_follows
+            after = np.bincount(before, weights=n, minlength=n_known)
             full = n > DISCOUNT
-            mass = np.bincount(before[full], weights=(n[full] - DISCOUNT), minlength=SLOTS)
-            self.lower.append(np.log(lower).astype(np.float32))
-            self.weight.append(np.where(times > 0, 1 - mass / np.maximum(times, 1), 1.0).astype(np.float32))
-            kept.append((key[full], ((n[full] - DISCOUNT) / times[before[full]]).astype(np.float32)))
-        self.keys = np.union1d(kept[0][0], kept[1][0])
+            mass = np.bincount(before[full], weights=(n[full] - DISCOUNT), minlength=n_known)
+            models.append((own / all_follows + rest * base, np.where(after > 0, 1 - mass / np.maximum(after, 1), 1.0), rest))
+            kept.append((before[full], word[full], ((n[full] - DISCOUNT) / after[before[full]]).astype(np.float32)))
+            used |= own > 0
+            used[before[full]] = used[word[full]] = True
+        # Only words that a class tells more of than the back-off stay. All others are one entry, the last, without their
+        # shared share: it is the same in both classes, and only differences of the classes are used of them.
+        self.words = known[used]
+        self.lower = [np.log(np.append(lower[used], rest)).astype(np.float32) for lower, _, rest in models]
+        self.weight = [np.append(weight[used], 1.0).astype(np.float32) for _, weight, _ in models]
+        place = np.cumsum(used) - 1
+        keys = [place[a] << 32 | place[b] for a, b, _ in kept]
+        self.keys = np.union1d(*keys)
         self.seen = []
-        for key, p in kept:
+        for key, (_, _, p) in zip(keys, kept, strict=True):
             dense = np.zeros(len(self.keys), dtype=np.float32)
             dense[np.searchsorted(self.keys, key)] = p
             self.seen.append(dense)
         self.curve = np.zeros(3)
 
-    def gains(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The model's number of each word."""
+        if not len(self.words):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.searchsorted(self.words, hashes)
+        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == hashes, at, len(self.words))
+
+    def gains(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word; first: where texts begin."""
-        if not len(slots):
+        if not len(codes):
             return np.zeros(0)
-        out = self.lower[1][slots] - self.lower[0][slots]
-        key = np.zeros(len(slots), dtype=np.int64)
-        key[1:] = slots[:-1] << 20 | slots[1:]
-        inner = np.ones(len(slots), dtype=bool)
-        inner[first[first < len(slots)]] = False
+        out = self.lower[1][codes] - self.lower[0][codes]
+        key = np.zeros(len(codes), dtype=np.int64)
+        key[1:] = codes[:-1] << 32 | codes[1:]
+        inner = np.ones(len(codes), dtype=bool)
+        inner[first[first < len(codes)]] = False
         at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
         hit = np.flatnonzero(inner & (self.keys[at] == key)) if len(self.keys) else np.zeros(0, dtype=np.int64)
         rest = np.flatnonzero(inner)
         log_p = []
         for c in (0, 1):
-            lam = self.weight[c][slots[rest - 1]]
-            log_p.append(np.log(np.maximum(lam, 1e-6)) + self.lower[c][slots[rest]])
+            lam = self.weight[c][codes[rest - 1]]
+            log_p.append(np.log(np.maximum(lam, 1e-6)) + self.lower[c][codes[rest]])
         out[rest] = log_p[1] - log_p[0]
         if len(hit):
-            p = [self.seen[c][at[hit]] + np.maximum(self.weight[c][slots[hit - 1]], 1e-6) * np.exp(self.lower[c][slots[hit]]) for c in (0, 1)]
+            p = [self.seen[c][at[hit]] + np.maximum(self.weight[c][codes[hit - 1]], 1e-6) * np.exp(self.lower[c][codes[hit]]) for c in (0, 1)]
             out[hit] = np.log(p[1]) - np.log(p[0])
         return out.astype(np.float64)
 
-    def evidence(self, slots: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def evidence(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """For each text the mean gain of its words and that of its most toxic window of WINDOW words (or all, if fewer)."""
-        sums = np.concatenate([[0.0], np.cumsum(self.gains(slots, first[:-1]))])
+        sums = np.concatenate([[0.0], np.cumsum(self.gains(self.codes(hashes), first[:-1]))])
         out = np.zeros((len(count), 2))
         has = np.flatnonzero(count > 0)
         if not len(has):
             return out
         out[has, 0] = (sums[first[1:]] - sums[first[:-1]])[has] / count[has]
-        start = np.arange(len(slots))
+        start = np.arange(len(hashes))
         end = np.minimum(start + WINDOW, np.repeat(first[1:], count))
         start = np.maximum(np.minimum(start, end - WINDOW), np.repeat(first[:-1], count))
         local = (sums[end] - sums[start]) / (end - start)
@@ -152,15 +188,16 @@ class Model:
         self.curve = np.concatenate([w[:1], w[1:] / scale])
 
 
-def train(shared: np.ndarray, rows: list[tuple[int, int, np.ndarray]], total: dict[int, int]) -> Model | float:
-    """The model, or the share of toxic labels where one class has none. A quarter of the rows only fits the curve."""
+def train(rows: list[tuple[int, int, np.ndarray]], total: dict[int, int], known: np.ndarray, times: np.ndarray, size: int, kinds: int) -> Model | float:
+    """rows: (id, class, words); known and times: the shared counts of their words; size and kinds: words of the corpus, and
+    distinct ones. The model, or the share of toxic labels where one class has none. A quarter of the rows only fits the curve."""
     held = [k for k, (i, _, _) in enumerate(rows) if int(i) * 2654435761 % 2**32 % 4 == 0]
     learn = sorted(set(range(len(rows))) - set(held))
     if any(len({rows[k][1] for k in part}) < 2 for part in (held, learn)):
         held = learn = list(range(len(rows)))
     if len({rows[k][1] for k in learn}) < 2:
         return float(total.get(1, 0) / max(1, sum(total.values())))
-    model = Model(shared, [(rows[k][1], rows[k][2]) for k in learn])
+    model = Model(known, times, size, kinds, [(rows[k][1], rows[k][2]) for k in learn])
     count = np.array([len(rows[k][2]) for k in held])
     first = np.concatenate([[0], np.cumsum(count)])
     label = np.array([rows[k][1] for k in held])
@@ -170,10 +207,34 @@ def train(shared: np.ndarray, rows: list[tuple[int, int, np.ndarray]], total: di
     return model
 
 
+def fitted(rows: DataFrame, counts: DataFrame, total: dict[int, int]) -> Model | float:
+    """train() in a task, so that only the model comes to the driver."""
+    size, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known, times = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            for i, toxic, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(words, dtype="<u8")
+                if n is None:
+                    texts.append((i, toxic, words))
+                else:
+                    known.append(words)
+                    times.append(np.frombuffer(n, dtype="<i8"))
+        known, times = np.concatenate(known), np.concatenate(times)
+        order = np.argsort(known)
+        texts.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, total, known[order], times[order], size, kinds))], pa.binary())], ["model"])
+
+    shared = sample_counts(rows, counts).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("toxic"), "words", "times")
+    made = rows.withColumn("times", F.lit(None).cast("binary")).unionByName(shared).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([], total, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), size, kinds)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """One row per document: doc_id, held_out (learn is false), score, predicted. learn: an expression over doc_id."""
     rows, total = training_rows(docs, labels, learn, rows_per_class)
-    model = docs.sparkSession.sparkContext.broadcast(train(shared_counts(docs), rows, total))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(rows, shared_counts(docs), total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
@@ -182,8 +243,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_
                 if isinstance(own, float):
                     score = np.full(part.num_rows, own)
                 else:
-                    words = Words(part.column(2), lower=True, spaces=NOT_ALNUM)
-                    score = own.scores(own.evidence(slots_of(words), words.first, words.count))
+                    words = words_of(part.column(2))
+                    score = own.scores(own.evidence(words.hashes(), words.first, words.count))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
