@@ -62,3 +62,19 @@ def test_repeated_rows_nulls_and_empty_tables(make_docs):
     rows = sd.remove_repeats(make_docs([(1, text), (1, text), (2, text), (None, "a b")]), with_text=True).collect()
     assert sorted(((r.doc_id or -1), r.n_removed, r.kept_text) for r in rows) == [(-1, 0, "a b"), (1, 0, text), (1, 0, text), (2, 30, "")]
     assert sd.remove_repeats(make_docs([])).collect() == []
+
+
+def test_copies_of_one_text_are_spread(make_docs):
+    """Exact copies share all their minimisers, and are still dealt over the salts; rows equal in id and text are sent once."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text) for i in range(300)] + [(1000 + i, f"a{i} " + text) for i in range(9)]
+    docs = sd._texts(make_docs(rows).coalesce(2), "doc_id", "text")
+    bits, salts = sd.survey(docs, sd.WINDOW, sd.MINI, 20)
+    dealt = sd.super_kmers(docs, bits, salts, sd.WINDOW, sd.MINI).where("salted").groupBy("minimiser", "salt").count().collect()
+    assert salts and max(r["count"] for r in dealt) <= 60
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sd.remove_repeats(make_docs(rows), hot=20).collect()}
+    assert got == brute(rows, sd.WINDOW)
+    same = make_docs([(None, text)] * 300 + [(5, text)]).coalesce(2)
+    told = sd._texts(same, "doc_id", "text")
+    assert sd.super_kmers(told, bits, salts, sd.WINDOW, sd.MINI).where("salted AND doc_id IS NULL").groupBy("minimiser").count().agg({"count": "max"}).first()[0] <= 2
+    assert sorted((r.doc_id or -1, r.n_removed) for r in sd.remove_repeats(same, hot=20).collect()) == [(-1, 0)] * 300 + [(5, 40)]

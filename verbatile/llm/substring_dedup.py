@@ -6,8 +6,9 @@ of that minimiser, where sorting brings equal windows together exactly: windows
 order them. Every window but the first of its kind (smallest document, then earliest start) covers words that are removed.
 
 * A minimiser that occurs once in the corpus has no repeated window; a bit table of fixed size keeps those at home.
-* Hot minimisers are salted by document. Within a salt the first window of each kind is found as before; those first ones,
-  at most one for each salt and kind, then meet by the window's words, spread over all tasks.
+* Hot minimisers are salted by document (id and text, so that copies of a text are spread too). Within a salt the first window
+  of each kind is found as before; those first ones, one for each salt and kind, then meet by the window's words, spread over
+  all tasks. Rows equal in id and text are one document, and of those a task sends one to a hot minimiser's buckets.
 
 Windows are judged on the input, not on what is left. Edge cases: null and empty texts have no words; texts shorter than a
 window lose nothing; rows that share an id are ordered by a hash of their text, and rows equal in both are one document with
@@ -125,6 +126,7 @@ def super_kmers(texts: DataFrame, bits: np.ndarray, salts: dict[int, int], windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot, ways = sent.value
+        sent_by: set[tuple] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = Words(part.column(2))
@@ -139,17 +141,27 @@ def super_kmers(texts: DataFrame, bits: np.ndarray, salts: dict[int, int], windo
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
                     salted = hot[at] == value
-                    spread = mix64(tie.astype(np.uint64)) >> np.uint64(1)
+                    ids = np.asarray(part.column(0).fill_null(-(2**63)))
+                    spread = mix64(mix64(tie.view(np.uint64)) + ids[text].view(np.uint64)) >> np.uint64(1)
                     salt[salted] = (spread[salted] % ways[at[salted]].astype(np.uint64)).astype(np.int32)
+                    # Of rows equal in id and text the first of the task stands for all.
+                    again = np.zeros(part.num_rows, dtype=bool)
+                    for i in np.unique(text[salted]).tolist():
+                        key = (part.column(0)[i].as_py(), part.column(1)[i].as_py())
+                        again[i] = key in sent_by
+                        sent_by.add(key)
+                    stay = ~(salted & again[text])
+                    rows, value, text, salt, salted, tie = (x[stay] for x in (rows, value, text, salt, salted, tie))
                 columns = [pa.array(value), pa.array(salt), pa.array(salted), part.column(0).take(pa.array(text)), pa.array(tie), pa.array(k.start[rows]), pa.array(~long_[text]), packed(words, k, rows, window)]
                 yield pa.RecordBatch.from_arrays(columns, ["minimiser", "salt", "salted", "doc_id", "tie", "start", "alone", "words"])
 
     return texts.select("doc_id", "tie", "text").mapInArrow(run, "minimiser bigint, salt int, salted boolean, doc_id bigint, tie bigint, start bigint, alone boolean, words string")
 
 
-def repeated_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of super-k-mers in order of (bucket, document, start): for every window its row, its place in the flat words, whether
-    an equal window comes before it, and the codes of all words. Equal windows have equal words; hashes only sort."""
+    an equal window comes before it, its place in its text, and whether it is the first of its kind here. Equal windows have
+    equal words; hashes only sort."""
     lists = pc.split_pattern(batch.column("words"), " ")
     code = np.asarray(lists.flatten().dictionary_encode().indices).astype(np.int64)
     ends = np.asarray(lists.offsets)[1:].astype(np.int64) - int(lists.offsets[0].as_py())
@@ -176,8 +188,7 @@ def repeated_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np
     doc, tie, start = (np.asarray(batch.column(c).fill_null(-(2**63)) if c == "doc_id" else batch.column(c)) for c in ("doc_id", "tie", "start"))
     repeated = np.zeros(len(at), dtype=bool)
     if equal.all():
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        first, here = order[head], order
+        first, here = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))], order
     else:  # different windows share a hash: settle all by their words
         seen: dict[tuple[bytes, int], int] = {}
         first = np.array([seen.setdefault((code[i : i + window].tobytes(), int(salt[k])), k) for k, i in enumerate(at)])
@@ -185,7 +196,9 @@ def repeated_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, np
     place = start[row] + at - (ends - counts)[row]
     differs = (doc[row[first]] != doc[row[here]]) | (tie[row[first]] != tie[row[here]]) | (place[first] != place[here])
     repeated[here] = differs
-    return row, at, repeated, place
+    head = np.zeros(len(at), dtype=bool)
+    head[first] = True
+    return row, at, repeated, place, head
 
 
 def bucket_windows(kmers: DataFrame, window: int) -> DataFrame:
@@ -197,6 +210,8 @@ def bucket_windows(kmers: DataFrame, window: int) -> DataFrame:
         """Whole buckets, several together; buckets of one row that can't repeat itself are left out."""
         rest = None
         for batch in batches:
+            # Strings of 64-bit offsets: a table of any size is one batch when combined.
+            batch = batch.set_column(batch.schema.get_field_index("words"), "words", batch.column("words").cast(pa.large_string()))
             t = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
             key = np.asarray(t.column("minimiser")) * 1_000_003 + np.asarray(t.column("salt"))
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
@@ -223,7 +238,7 @@ def bucket_windows(kmers: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            row, at, repeated, place = repeated_windows(batch, window)
+            row, at, repeated, place, head = repeated_windows(batch, window)
             marked = np.flatnonzero(repeated)
             go_on = np.zeros(len(marked), dtype=bool)
             go_on[1:] = (marked[1:] == marked[:-1] + 1) & (row[marked[1:]] == row[marked[:-1]])
@@ -234,12 +249,14 @@ def bucket_windows(kmers: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.take(r), ties.take(r), pa.array(place[marked[begin]]), pa.array(place[marked[end]]), pa.nulls(len(r), pa.string())], ["doc_id", "tie", "first", "last", "words"])
             salted = np.asarray(batch.column("salted"))
             if salted.any():
-                open_ = np.flatnonzero(~repeated & salted[row])
+                firsts = np.flatnonzero(head & salted[row])
                 flat = pc.split_pattern(batch.column("words"), " ").flatten()
-                index = at[open_][:, None] + np.arange(window)
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(open_) + 1) * window, pa.int32()), flat.take(pa.array(index.ravel()))), " ")
-                r = pa.array(row[open_])
-                yield pa.RecordBatch.from_arrays([ids.take(r), ties.take(r), pa.array(place[open_]), pa.nulls(len(r), pa.int64()), texts], ["doc_id", "tie", "first", "last", "words"])
+                for k in range(0, len(firsts), CHUNK_ROWS):
+                    open_ = firsts[k : k + CHUNK_ROWS]
+                    index = at[open_][:, None] + np.arange(window)
+                    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(open_) + 1) * window, pa.int32()), flat.take(pa.array(index.ravel())).cast(pa.string())), " ")
+                    r = pa.array(row[open_])
+                    yield pa.RecordBatch.from_arrays([ids.take(r), ties.take(r), pa.array(place[open_]), pa.nulls(len(r), pa.int64()), texts], ["doc_id", "tie", "first", "last", "words"])
 
     dealt = kmers.repartition("minimiser", "salt").sortWithinPartitions("minimiser", "salt", "doc_id", "tie", "start")
     return dealt.mapInArrow(run, schema)
