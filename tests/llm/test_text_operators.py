@@ -51,6 +51,16 @@ def test_exact_dedup_repeated_and_null_ids(make_docs):
     assert sorted((r.doc_id or -1, r.keep_id, r.group_size, r.kept) for r in rows) == [(-1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 1, True)]
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda text: F.substring(F.md5(text), 1, 0)])
+def test_exact_dedup_ids_repeat_with_other_texts(make_docs, digest):
+    """One row per document, whether digests clash (an empty digest always does) or not."""
+    given = [(1, "a"), (1, "b"), (1, "d"), (2, "A"), (None, "c"), (None, "c"), (None, "b"), (3, "ee")]
+    rows = exact_dedup.exact_dedup(make_docs(given), digest=digest).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 2, 2, False, sha("a")), (1, 1, 2, True, sha("b")), (1, 1, 1, True, sha("d")), (2, 2, 2, True, sha("a")), (None, None, 2, True, sha("c")), (None, None, 2, True, sha("c")), (None, 1, 2, False, sha("b")), (3, 3, 1, True, sha("ee"))]
+    assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, want))
+
+
 def test_dedup_state_goes_on(spark, make_docs, tmp_path):
     """A second run of the stream finds in its state what the first one told it."""
     arrived, state = str(tmp_path / "in"), str(tmp_path / "state")

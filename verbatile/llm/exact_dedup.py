@@ -1,9 +1,9 @@
 """Exact deduplication with streaming state, in DataFrame operations only.
 
-Arrivals (stable id, digest of the normalised text, its length, a locator of the content) flow through a streaming
+Arrivals (stable id, digest of the normalised text, its length) flow through a streaming
 aggregation whose state lives on disk in RocksDB, keyed by digest and without watermark, so it never expires. The state
-keeps for each digest the id of the row that stays, the group's size, and where the text of that row is. Every hit on the
-state is then checked on the full bytes of the texts; where two texts share a digest (never seen for SHA-256) the group is
+keeps for each digest and length the id of the row that stays and the group's size. Id, digest and length together locate a
+content: ids may be null or repeat with other texts. Every hit on the state is then checked on the full bytes of the texts; where two texts share a digest (never seen for SHA-256) the group is
 dealt again by the texts themselves.
 
 Texts are equal when identical after lower-casing A-Z only. Edge cases: null text counts as empty; all empty texts are one
@@ -31,6 +31,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+#: What the state is keyed by.
+KEY = ["digest", "n_bytes"]
+
 
 def normalised(text: Column) -> Column:
     """A-Z lowered, nothing else; null becomes empty."""
@@ -42,7 +45,7 @@ def sha256_hex(text: Column) -> Column:
 
 
 def arrivals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex) -> DataFrame:
-    """What the state is told of each row: id, digest, bytes; the id is also the content's locator."""
+    """What the state is told of each row: id, digest, bytes; together they locate the content."""
     norm = normalised(F.col(text_col))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(norm).alias("digest"), F.octet_length(norm).cast("bigint").alias("n_bytes"))
 
@@ -87,24 +90,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrivals(docs, id_col, text_col, digest).write.parquet(arrived)
     told = spark.read.parquet(arrived)
     groups = update_state(spark, arrived, fresh_path(spark, "dedup-state"), max(8, told.count() // STORE_ROWS))
-    found = staged(told.join(groups, ["digest", "n_bytes"]), "dedup-found")
-    # Hits: the ids whose digest the state held more than once. Their texts meet by id, then by digest; the partial
-    # aggregation leaves one text per digest and task, so a huge group of copies costs no more than a small one.
-    hits = found.where("group_size > 1").select("doc_id", "digest").distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), normalised(F.col(text_col)).alias(P + "text"))
-    same = texts.join(hits, "doc_id").groupBy("digest").agg(F.min(P + "text").alias("lo"), F.max(P + "text").alias("hi"))
-    clash = staged(same.where("lo <> hi").select("digest"), "dedup-clash")
-    sha = F.col("digest") if digest is sha256_hex else None
-    if clash.isEmpty():
-        rows = found if sha is not None else found.join(texts.select("doc_id", F.sha2(P + "text", 256).alias("sha")).distinct(), "doc_id")
-        return _result(rows, sha if sha is not None else F.col("sha"))
-    # Digests that two texts share: their rows are grouped by digest and text.
-    texts = texts.withColumn("digest", digest(F.col(P + "text"))).withColumn("sha", F.sha2(P + "text", 256))
-    clashing = texts.join(clash, "digest", "left_semi")
-    groups = clashing.groupBy("digest", P + "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = clashing.join(groups, ["digest", P + "text"]).select("doc_id", "keep_id", "group_size", "sha")
-    clear = texts.join(clash, "digest", "left_anti").select("doc_id", "sha").distinct()
-    rest = found.join(clash, "digest", "left_anti").join(clear, "doc_id").select("doc_id", "keep_id", "group_size", "sha")
+    found = staged(told.join(groups, KEY), "dedup-found")
+    # Hits: the contents whose digest the state held more than once. Their texts meet by id, digest and length, then by the
+    # latter two; the partial aggregation leaves one text per digest and task, so a huge group of copies costs no more than a
+    # small one.
+    hits = found.where("group_size > 1").select("doc_id", *KEY).distinct().withColumnsRenamed({c: P + c for c in ("doc_id", *KEY)})
+    text = normalised(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias(P + "text"))
+    same = [F.col(c).eqNullSafe(F.col(P + c)) for c in ("doc_id", *KEY)]
+    met = texts.join(hits, same, "left_semi").groupBy(*KEY).agg(F.min(P + "text").alias("lo"), F.max(P + "text").alias("hi"))
+    clash = staged(met.where("lo <> hi").select(*KEY), "dedup-clash")
+    if digest is sha256_hex and clash.isEmpty():
+        return _result(found, F.col("digest"))
+    # Digests that two texts share: their rows are grouped by digest and text. The others have their group's values.
+    texts = texts.withColumn("sha", F.sha2(P + "text", 256))
+    clashing = texts.join(clash, KEY, "left_semi")
+    own = clashing.groupBy(*KEY, P + "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    again = clashing.join(own, [*KEY, P + "text"]).select("doc_id", "keep_id", "group_size", "sha")
+    rest = texts.drop(P + "text").join(clash, KEY, "left_anti").join(groups, KEY).select("doc_id", "keep_id", "group_size", "sha")
     return _result(rest.unionByName(again), F.col("sha"))
 
 
