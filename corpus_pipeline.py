@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatile.llm.bpe import encode_documents
-from verbatile.llm.common import P, fresh_path
-from verbatile.llm.exact_dedup import exact_dedup
+from verbatile.llm.common import P, fresh_path, staged
+from verbatile.llm.exact_dedup import exact_dedup, normalised, sha256_hex
 from verbatile.llm.jaccard_join import jaccard_components
 from verbatile.llm.lid_crf import UNDEFINED, identify
 from verbatile.llm.mixing import mixed_documents
@@ -20,26 +20,29 @@ from verbatile.llm.mixing import mixed_documents
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; null ids, of which nothing can be said, are in if ids has null."""
-    return docs.join(ids.select(F.col(column).alias(P + "id")).distinct(), F.col("doc_id").eqNullSafe(F.col(P + "id")), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (no letter at all) go."""
-    found = identify(docs, F.lit(True))
-    return _only(docs, found.where(F.col("lang_pred") != UNDEFINED), "doc_id")
+    found = identify(docs, F.lit(True), carry=tuple(docs.columns))
+    return found.where(F.col("lang_pred") != UNDEFINED).select(*[F.col(P + "c_" + c).alias(c) for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup(docs).where("kept"), "doc_id").dropDuplicates(["doc_id"])
+    """Of equal texts the row with the largest doc_id stays, also where ids are null or repeat with other texts."""
+    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(P + "id"), F.col("text_sha256").alias(P + "sha")).distinct()
+    own = docs.withColumn(P + "own", sha256_hex(normalised(F.col("text"))))
+    left = own.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col(P + "id")) & (F.col(P + "own") == F.col(P + "sha")), "left_semi")
+    return left.dropDuplicates(["doc_id", P + "own"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    found = jaccard_components(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
+    """One document of each group of near copies stays, that with the smallest doc_id (null comes first). Groups are made by a
+    key of its own for each row, since ids may be null or repeat."""
+    row = P + "key"
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    found = jaccard_components(keyed, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    ranked = keyed.select(row, F.struct(F.col("doc_id"), F.xxhash64("text"), F.col(row).alias("row")).alias("rank"))
+    least = found.join(ranked, row).groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias(row))
+    return keyed.join(least, row, "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,25 @@ def test_pipeline(spark, sf_dir, make_docs):
         assert stage(spark, make_docs([]), sf_dir).collect() == []
 
 
+def test_pipeline_keeps_documents_whose_ids_are_null_or_repeat(spark, sf_dir, make_docs):
+    words = lambda k: " ".join(f"{c}{k}" for c in "abcdefghijklmnopqrstuvwxyz")
+    near = words("n") + " " + words("m") + " " + words("o")
+    given = [(None, words("p")), (None, words("q")), (None, words("p").upper()), (1, words("r")), (1, words("s")), (1, "12 34"), (None, "5 6"), (2, near), (3, near + " x"), (3, words("t")), (4, words("r")), (1, words("u"))]
+    docs, left = make_docs(given), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        path = corpus_pipeline.fresh_path(spark, "kept")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        left.append(sorted(((r.doc_id or 0), r.text.lower()) for r in docs.collect()))
+    some = [(i or 0, t.lower()) for i, t in given]
+    assert left[0] == sorted(x for x in some if x[1] not in ("12 34", "5 6"))
+    assert left[1] == sorted(x for x in set(left[0]) if x != (1, words("r")))
+    assert left[2] == sorted(x for x in left[1] if x[1] != near + " x")
+    # One source: each document is taken once.
+    assert left[3] == left[2]
+    assert len(corpus_pipeline.tokens(spark, docs, sf_dir).collect()) == len(left[3])
+
+
 def test_entry_registers_all():
     import __spark_entry__ as entry
 

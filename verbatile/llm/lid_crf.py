@@ -234,14 +234,16 @@ def label_words(model: Crf, texts: list[str]) -> tuple[list[list[str]], np.ndarr
     return found, count, model.posteriors(list(words), code, count)
 
 
-def identify(docs: DataFrame, learn: Column, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_words: bool = False) -> DataFrame:
-    """One row per document: doc_id, held_out (learn is false), lang_pred, score, and with with_words the words' languages.
+def identify(docs: DataFrame, learn: Column, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_words: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, held_out (learn is false), lang_pred, score, with with_words the words' languages, and
+    the columns that carry names, unchanged, as P + "c_" + name.
 
     learn: which rows the model may learn from. One pass over the documents without a shuffle, besides the sample's.
     """
     model = fitted(training_rows(docs, learn, docs_per_language, id_col, text_col, lang_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double" + ", words array<string>, word_langs array<string>" * with_words
+    schema += "".join(f", `{P}c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -268,6 +270,8 @@ def identify(docs: DataFrame, learn: Column, docs_per_language: int = DOCS_PER_L
                 if with_words:
                     columns += [pa.array(words, pa.list_(pa.string())), pa.array(word_langs, pa.list_(pa.string()))]
                     names += ["words", "word_langs"]
+                columns += part.columns[3:]
+                names += part.schema.names[3:]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias(P + "id"), (~F.coalesce(learn, F.lit(False))).alias(P + "held"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias(P + "id"), (~F.coalesce(learn, F.lit(False))).alias(P + "held"), F.col(text_col).alias("text"), *[F.col(c).alias(P + "c_" + c) for c in carry]).mapInArrow(run, schema)

@@ -68,12 +68,13 @@ def prefix_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     return d.withColumn(out, F.col(P + "base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop(P + "base")
 
 
-def told(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """What the mix is made from, staged: row (a key of its own for each row), doc_id, source, size and the place in the
-    shuffle. No text."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+def told(docs: DataFrame, seed: str = "mix", row: Column | None = None) -> DataFrame:
+    """What the mix is made from, staged: row (a key of its own for each row, made here if not given), doc_id, source, size
+    and the place in the shuffle. No text."""
+    row = F.monotonically_increasing_id() if row is None else row
+    d = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     d = d.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    return staged(d.withColumn("row", F.monotonically_increasing_id()), "mix-told")
+    return staged(d, "mix-told")
 
 
 def schedule(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = 500) -> DataFrame:
@@ -117,8 +118,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """The documents of the mix with all their columns: one row for each pass, dropped where nothing is taken of them.
 
     A document that the budget cuts through is kept whole, once; targets are met but for that one document of each source.
+    Rows are told apart by a key of their own, whatever their ids.
     """
-    taken = mix_documents(docs, weights, most, seed).select(F.col("doc_id").alias(P + "id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(P + "times"))
-    taken = taken.where(F.col(P + "times") > 0).groupBy(P + "id").agg(F.max(P + "times").alias(P + "times"))
-    d = docs.join(taken, F.col(id_col).cast("bigint") == F.col(P + "id")).drop(P + "id")
+    key = P + "key"
+    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    plan = schedule(told(keyed.withColumn("doc_id", F.col(id_col)), seed, F.col(key)), weights, most)
+    taken = plan.groupBy(F.col("row").alias(key), "size").agg(F.sum("words").alias("taken"))
+    taken = taken.select(key, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(P + "times")).where(F.col(P + "times") > 0)
+    d = keyed.join(taken, key).drop(key)
     return d.withColumn(P + "times", F.explode(F.sequence(F.lit(1), F.col(P + "times")))).drop(P + "times")
