@@ -184,6 +184,16 @@ def test_license_scan(make_docs):
     assert licenses.scan_licenses(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0", "All-rights-reserved", "ISC"])
+@pytest.mark.parametrize("between", [" ", " again "])
+def test_license_scan_finds_repeated_notices_in_mid_text(name, between):
+    cut = {k: [w.lower() for w in licenses.WORD.findall(t)] for k, t in licenses.TEMPLATES.items()}
+    for times in (2, 3):
+        text = "some more text here. " * 30 + between.join([licenses.TEMPLATES[name]] * times) + " and the text goes on." * 30
+        found = {x[0]: x[1] for x in licenses.scan_text(text, cut, licenses.screen(cut, 0.8), 0.8)}
+        assert found[name] == 1.0
+
+
 def test_license_scan_finds_all_planted_lines(spark, sf_dir):
     lines = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved."]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -4,7 +4,9 @@ A document is compared with each license template: words that are unique in both
 subsequence of their places is kept, and the gaps between neighbouring anchors are aligned in the same way until nothing is
 left to match. Coverage is the share of the template's words that are matched. A notice can stand more than once in a
 document, and then none of its words is unique there; so the alignment is done in windows around each occurrence of the
-template's word that is rarest in the document, and the best window counts.
+template's word that is rarest in the document, and the best window counts. Where copies stand close together such a window
+holds several; if none matches in full, windows that begin where the template would, by the place of the rare word in it, and
+are hardly longer than the template are aligned too.
 
 A template is only aligned where enough of its words occur in the document at all: coverage cannot exceed that share, so
 nothing is lost. Words are runs of letters and digits, compared in lower case.
@@ -114,11 +116,28 @@ def align(template: list[str], words: list[str], min_coverage: float, count: Cou
     missing = sum(n for w, n in need.items() if not count[w])
     assert rare or missing
     best, reach, done = None, 2 * len(template), -1
-    for at in (i for i, w in enumerate(words) if w in rare):
-        if at < done:
-            continue  # in the middle of a window that has been aligned
-        lo, hi = max(0, at - reach), min(len(words), at + reach)
-        done = at + len(template) // 4
+    places = [i for i, w in enumerate(words) if w in rare]
+
+    def windows() -> Iterator[tuple[int, int]]:
+        nonlocal done
+        for at in places:
+            if at >= done:  # else in the middle of a window that has been aligned
+                done = at + len(template) // 4
+                yield max(0, at - reach), min(len(words), at + reach)
+        # By one occurrence: from where the template would begin, without room or with room for words put in before it.
+        room, tried = int(len(template) / min_coverage + 1e-9) - len(template) + 1, set()
+        for at in places:
+            for k in (k for k, w in enumerate(template) if w == words[at]):
+                for lo in (at - k, at - k - room):
+                    span = max(0, lo), min(len(words), at - k + len(template) + room)
+                    if span not in tried:
+                        tried.add(span)
+                        yield span
+
+    for lo, hi in windows():
+        have = Counter(words[lo:hi])
+        if sum(min(n, have[w]) for w, n in need.items()) < min_coverage * len(template):
+            continue  # coverage can't be more than that
         pairs = patience(template, words[lo:hi])
         if pairs and (share := len(pairs) / len(template)) >= min_coverage and (best is None or share > best[0]):
             best = (share, lo + pairs[0][1], lo + pairs[-1][1] + 1)
