@@ -2,8 +2,8 @@
 
 Each source's documents are shuffled by a hash of their id. A document's virtual finish time is its source's running total
 of words up to and with it, divided by the source's target; later passes over a source that is taken more than once go on
-from there. All documents are range-sorted by that time and taken until the total budget is used; the one that each source
-is in the middle of then (its service has begun before the cut) is taken in part, so that every source meets its target.
+from there. Targets add up to the total budget, so the mix is what is served up to virtual time 1: each source is cut at its target,
+and the document that it is in the middle of then is taken in part. mixed_order() range-sorts what is taken.
 
 Running totals are prefix sums in two levels (sums of hash buckets, then rows within a bucket), so neither a hot source nor
 the global order is ever in one task. Edge cases: null text has no words; null sources are a source of their own, the last;
@@ -97,7 +97,7 @@ def schedule(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     slots = max(1, min(2**20, n // bucket_rows))
     d = d.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(2.0)) * slots))
     d = prefix_sum(d, [], "slot", [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("row"), F.col("pass")], "words", "mix_offset")
-    # Truncation at the budget, which is all sizes.
+    # The budget is all sizes; the targets add up to it, so the cut of each source above leaves nothing to cut here.
     d = d.withColumn("words", F.greatest(F.least(F.col("words"), F.lit(total).cast("bigint") - F.col("mix_offset")), F.lit(0)))
     return d.select("row", "doc_id", "source", "size", "source_size", "target", "pass", "words", "finish", "mix_offset")
 
