@@ -32,7 +32,7 @@ from .common import P, slices
 MIN_COVERAGE = 0.8
 WORD = re.compile(r"[^\W_]+")
 
-# License notices as their stewards word them.
+# Short notices and excerpts in use; README lists what is not among them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
