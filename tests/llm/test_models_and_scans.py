@@ -137,23 +137,107 @@ def test_toxicity_tells_classes_apart(spark, make_docs):
     assert toxicity_kn.score_documents(make_docs([]), marks, fold(5, 0)).collect() == []
 
 
-def test_toxicity_tells_words_of_one_slot_apart(spark, make_docs):
-    """A clean word whose hash ends in the same 20 bits as that of a toxic one scores like any other unknown word."""
-    import pyarrow as pa
+def brute_kneser_ney(texts, corpus, symbols):
+    """A function (class, context, symbol) -> probability, by dictionaries: class orders of 5, 4 and 3 characters over shared
+    ones of 2, 1 and 0. texts: (class, words); corpus: all words, with repeats."""
+    low, high, mark = toxicity_kn.LOW, toxicity_kn.HIGH, "\n"
+
+    def tables(counted, lengths, top):
+        grams = {k: {} for k in lengths}
+        left = {k: {} for k in lengths}
+        for word, n in counted.items():
+            line = mark + word + mark
+            for i in range(1, len(line)):
+                for k in lengths:
+                    if i >= k:
+                        gram = line[i - k : i + 1]
+                        if (k > 0 and gram[0] == mark) if top == low - 1 else (i != k and k < low):
+                            continue  # the shared model does not see the beginning; short contexts of classes are whole words
+                        if k == top or (top == high and i == k):
+                            grams[k][gram] = grams[k].get(gram, 0) + n
+                        else:
+                            left[k].setdefault(gram, set()).add(line[i - k - 1])
+        for k in lengths:
+            for gram, before in left[k].items():
+                grams[k][gram] = grams[k].get(gram, 0) + len(before)
+        return grams
+
+    def step(grams, context, symbol, below):
+        cut = toxicity_kn.discounts(*[sum(c == j for c in grams.values()) for j in (1, 2, 3, 4)])
+        mine = {g: c for g, c in grams.items() if g[:-1] == context}
+        total = sum(mine.values())
+        if not total:
+            return below
+        d = {g: min(cut[min(c, 3) - 1], c) for g, c in mine.items()}
+        own = mine.get(context + symbol, 0) - d.get(context + symbol, 0)
+        return (own + sum(d.values()) * below) / total
+
+    words = {w: corpus.count(w) for w in corpus}
+    shared = tables(words, range(low), low - 1)
+    classes = [tables({w: sum(w in t for k, t in texts if k == c) for w in {w for k, t in texts if k == c for w in t}}, range(1, high + 1), high) for c in (0, 1)]
+
+    def p(c, context, symbol):
+        value = 1 / len(symbols)
+        for k in range(low):
+            if len(context) >= k and mark not in context[len(context) - k :]:
+                value = step(shared[k], context[len(context) - k :], symbol, value)
+        for k in range(1, high + 1):
+            own = context[len(context) - k :]
+            if c is not None and len(context) >= k and (k >= low or own[0] == mark):
+                value = step(classes[c][k], own, symbol, value)
+        return value
+
+    return p
+
+
+def test_toxicity_probabilities(spark, make_docs):
+    """The model's ratios are those of a plain Kneser-Ney, whose probabilities after any context add up to 1."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 8)))
+    texts = [(c, [word() for _ in range(r.randrange(5, 25))]) for c in (0, 1) for _ in range(12)]
+    texts[0][1].extend(["Überall", "zzz"])
+    texts[13][1].append("zzzz")
+    texts = [(c, [w.lower() for w in ws]) for c, ws in texts]
+    other = [word() for _ in range(100)]
+    corpus = [w for _, ws in texts for w in ws] + other
+    symbols = sorted(set("".join(corpus)) | {"\n"})
+    p = brute_kneser_ney(texts, corpus, symbols)
+    for context in ["\n", "\na", "\nab", "\nabc", "abcda"[:4], "bcdab", "zzz", "\nzzz", "überal"[-5:], "dddd"]:
+        for c in (None, 0, 1):
+            assert sum(p(c, context, x) for x in symbols) == pytest.approx(1)
+
+    docs = make_docs([(k, " ".join(ws)) for k, (_, ws) in enumerate(texts)] + [(99, " ".join(other))])
+    shared = toxicity_kn.shared_model(toxicity_kn.trigrams(toxicity_kn.shared_words(docs)))
+    rows = np.array([(x.a, x.b, x.x, x.p) for x in shared.select("a", "b", "x", "p").collect()], dtype="<f8")
+    for a, b, x, got in rows.tolist():
+        context = "".join(chr(int(c)) for c in (a, b) if c >= 0)
+        assert got == pytest.approx(p(None, context, chr(int(x))))
+    sample = toxicity_kn.Sample([("".join(w + "\n" for w in dict.fromkeys(ws)), np.ones(len(set(ws)))) for _, ws in texts], rows)
+    model = toxicity_kn.Model(sample, tuple(sample.counts(np.array([k for k, (x, _) in enumerate(texts) if x == c])) for c in (0, 1)))
+    asked = [*dict.fromkeys(corpus), "abcdabcdabcd", "zzzzz", "überallzz", "d"]
+    got = model.ratios(toxicity_kn.Letters("".join(w + "\n" for w in asked)))
+    for w, ratio in zip(asked, got, strict=True):
+        line, want = "\n" + w + "\n", 0.0
+        for i in range(1, len(line)):
+            context = line[max(0, i - toxicity_kn.HIGH) : i]
+            want += np.log(p(1, context, line[i])) - np.log(p(0, context, line[i]))
+        assert ratio == pytest.approx(want, abs=1e-4), w
+
+
+def test_toxicity_ignores_what_neither_class_tells_apart(spark, make_docs):
+    rows = [(i, f"plain{i % 7} words{i % 5} here{i % 3} so{i // 4 % 9} " + ("vileness" if i % 4 == 0 else "fineness")) for i in range(400)]
+    rows += [(900, "qqq xyxyxyx"), (901, "uvuvuvuv qqq"), (902, "vileness of"), (903, "vilenesses of")]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity_kn.score_documents(make_docs(rows), marks, F.lit(True)).collect()}
+    assert got[900].score == got[901].score < min(got[902].score, got[903].score)  # spelled alike: evidence, though never seen
+    assert got[0].predicted == 1 and got[1].predicted == 0
 
-    from verbatile.llm.common import Words
 
-    low = lambda words: Words(pa.array(words)).hashes() & np.uint64((1 << 20) - 1)
-    tried = [f"c{i}" for i in range(8_000_000)]
-    twin = tried[int(np.flatnonzero(low(tried) == low(["vile"])[0])[0])]
-    rows = [(i, f"plain{i % 7} words{i % 5} here{i % 3} " + f"so{i // 4 % 9} " + ("vile" if i % 4 == 0 else "fine")) for i in range(400)]
-    rows += [(900, "unheard of"), (901, f"{twin} of"), (902, "vile of")]
-    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
-    score = {r.doc_id: r.score for r in toxicity_kn.score_documents(make_docs(rows), marks, F.lit(True)).collect()}
-    assert score[901] == score[900] < score[902]
-    counts = {r.word: r.n for r in toxicity_kn.shared_counts(make_docs(rows)).collect()}
-    words = [w for _, t in rows for w in t.split()]
-    assert counts == {int(h): words.count(w) for w, h in zip(words, Words(pa.array(words)).hashes().view(np.int64))}
+def test_toxicity_on_held_out_labels(spark, sf_dir):
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = queries()["op8_kneser_ney_toxicity"](spark, sf_dir).where("held_out").join(marks, "doc_id").collect()
+    bad, good = ([r.score for r in rows if r.toxic == c] for c in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in bad for b in good]) > 0.85
 
 
 def test_patience_alignment():

@@ -1,21 +1,29 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
-
-For each class (toxic and ordinary) interpolated Kneser-Ney: discounted bigram counts, backed off to the class's
-continuation counts, backed off to counts that the classes share. The shared counts are those of all words of all documents,
-so a rare expression costs both classes the same and only what the labelled rows tell apart moves the score. A document's
-evidence is the length-normalised difference of the two log-likelihoods, over the whole text and over its most toxic window
-of words; a logistic curve, fitted on labelled rows that the counts have not seen, turns both into a probability.
-
-The class counts come from a bounded sample of labelled rows (rows_per_class of each class, chosen by a hash of the id) that
-one task reads. The shared counts are a grouped, written table with a row for each word of the corpus, by its 64-bit hash, and
-grow with it. Scoring needs them for the words of the class models only: any other word has only the back-off in both classes,
-where its shared count cancels out. So that table meets the sample's words, and what is broadcast is the bounded class model.
-Counts of the classes are of documents, so that a text which repeats itself counts once, and the discount is large enough that
-what only a few documents of a class say is left to the back-off.
-
-Edge cases: null and empty texts have no evidence and score what the curve gives for none; null labels are not learned from,
-of contradictory labels of one id the larger counts; where a class has no labelled row, every score is the share of toxic
-labels; repeated rows score alike; empty tables give empty results; extra columns are not read, whatever their names.
+"""Toxicity by class-conditional Kneser-Ney models of spelling.
+
+For each class (toxic and ordinary) an interpolated Kneser-Ney model gives the probability of a word, character by character
+up to its end mark: after the last five, four and three characters, or after all of the word so far if that is shorter, by
+the counts of the class; below that by counts that the classes share. Counts of a class are the learned documents that a word
+stands in, at lower orders distinct characters before (continuation counts); discounts are estimated for each class and order
+from the counts of counts. The shared model (after two, one and no characters, wherever in a word) is of all words of all
+documents, so an expression that neither class knows costs both the same and tells nothing, and one that is rare in a class
+leans on what the corpus spells alike.
+
+A word's ratio is log P(word | toxic) - log P(word | ordinary). A document's evidence is the length-normalised comparison: the
+mean over its words of what the ratio exceeds a dead zone by, since the many words that hardly tell the classes apart would
+drown the few that do; the dead zone (one of ZONES, 0 and none at all among them) and the curve that turns evidence into a
+probability are chosen by cross-validation on the rows that may be learned from. Both classes weigh the same there, however
+rare toxic labels are: a score of 0.5 says that the text is as likely among toxic documents as among ordinary ones.
+
+The class counts come from a bounded sample of labelled rows: rows_per_class of each class and CHARS_PER_CLASS of their
+texts, chosen by a hash of the id; a labelled text beyond MAX_CHARS is scored but not learned from. One task fits them. The
+shared counts are grouped, written tables (words, then trigrams of characters) that grow with the corpus. Scoring needs them
+for the trigrams of the sample only: of any other the share is the same in both classes and cancels out. So what is broadcast
+is the bounded class model.
+
+Words are runs of letters and digits, in lower case. Edge cases: null and empty texts have no evidence and score what the
+curve gives for none; null labels are not learned from, of contradictory labels of one id the larger counts; equal texts of a
+class are learned once; where a class has no labelled row, every score is the share of toxic labels; repeated rows score alike;
+empty tables give empty results; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,224 +36,378 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, P, Words, hashed_sample, slices, staged
+from .common import NOT_ALNUM, P, Words, mix64, slices, staged
 
-ROWS_PER_CLASS = 8_000
-#: Discount of each count of documents, and words in a window.
-DISCOUNT, WINDOW = 3.0, 12
+ROWS_PER_CLASS, CHARS_PER_CLASS, MAX_CHARS = 4_000, 16_000_000, 1_000_000
+#: Least and greatest context length of the class models in the middle of a word.
+LOW, HIGH = 3, 5
+#: Dead zones to choose from (None: the plain mean), and folds of the choice.
+ZONES, FOLDS = (None, 0.0, 0.5, 1.0, 1.5, 2.0, 3.0), 4
+#: Marks the beginning and the end of a word.
+MARK = 10
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(texts: pa.Array) -> Words:
     return Words(texts, lower=True, spaces=NOT_ALNUM)
 
 
-def shared_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (its 64-bit hash), n: how often each word stands in all documents."""
+def spelled(words: Words, rows: np.ndarray) -> str:
+    """The chosen words, one line each, in lower case."""
+    lo, hi = words.starts[rows], words.ends[rows]
+    size = hi - lo + 1
+    to = np.cumsum(size) - size
+    index = np.arange(int(size.sum())) - np.repeat(to - lo, size)
+    data = words.data[np.minimum(index, len(words.data) - 1)]
+    data[to + size - 1] = MARK
+    return data.tobytes().decode("utf-8").lower()
+
+
+class Letters:
+    """The characters of words (lines of a string), each with the hashes of the contexts and n-grams that end at it.
+
+    A character's context does not reach beyond its word's beginning mark, which counts as a character.
+    """
+
+    def __init__(self, lines: str):
+        self.codes = np.frombuffer(("\n" + lines).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        mark = self.codes == MARK
+        self.at = np.arange(1, len(self.codes))
+        begin = np.flatnonzero(mark)[:-1]
+        self.n_words = len(begin)
+        self.word = np.cumsum(mark)[:-1] - 1
+        self.reach = self.at - begin[self.word] if len(begin) else self.at
+        #: Where each word's characters begin, among all characters.
+        self.first = begin
+
+    def before(self, k: int) -> np.ndarray:
+        """The character k places before each; only to be used where reach is k or more."""
+        return self.codes[np.maximum(self.at - k, 0)]
+
+    def low(self) -> tuple[np.ndarray, np.ndarray]:
+        """The one or two characters before each that the shared model looks at: never the beginning mark, -1 for none."""
+        return np.where(self.reach >= 3, self.before(2), -1), np.where(self.reach >= 2, self.before(1), -1)
+
+    def hashes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each context length: k, whether the classes have a context of that length here, its hash, the n-gram's hash."""
+        h = np.full(len(self.at), 7, dtype=np.uint64)
+        own = mix64(self.codes[1:].astype(np.uint64) + np.uint64(977))
+        for k in range(1, HIGH + 1):
+            h = mix64(h * _STEP + self.before(k).astype(np.uint64) + np.uint64(1))
+            yield k, (self.reach == k) | (self.reach > k) & (k >= LOW), h, mix64(h ^ own)
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key asked for is among the sorted keys, and its value (of any, if not)."""
+    if not len(keys):
+        return np.zeros(len(asked), dtype=bool), np.zeros(len(asked), dtype=values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Discounts of counts of one, two and more, from the numbers of n-grams that are counted once, twice, ..."""
+    if not n1 or not n2:
+        return 0.5, 0.5, 0.5
+    y = n1 / (n1 + 2 * n2)
+    most = lambda k, more, less: float(np.clip(k - (k + 1) * y * more / less if less else 0.5, 0.1, k - 0.1))
+    return most(1, n2, n1), most(2, n3, n2), most(3, n4, n3)
+
+
+def shared_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: how often each word stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                word, n = np.unique(words_of(part.column(0)).hashes().view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["word", "n"])
+                words = words_of(part.column(0))
+                _, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(spelled(words, first).split("\n")[:-1], pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint")
+    return staged(found.groupBy("word").agg(F.sum("n").alias("n")), "kn-words")
+
+
+def trigrams(words: DataFrame) -> DataFrame:
+    """a, b, x, n: how often each character follows two others in words (word, n); b is MARK at a word's beginning, and a is -1
+    then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100_000):
+                part = batch.slice(k, 100_000)
+                a, b, x, n = tally(Letters("".join(w + "\n" for w in part.column(0).to_pylist())), np.asarray(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, x, n)], ["a", "b", "x", "n"])
+
+    return words.mapInArrow(run, "a bigint, b bigint, x bigint, n bigint").groupBy("a", "b", "x").agg(F.sum("n").alias("n"))
+
+
+def tally(letters: Letters, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct trigrams of words that are counted n times, and their counts."""
+    kinds, which = np.unique(keys_of(np.where(letters.reach >= 2, letters.before(2), -1), letters.before(1), letters.codes[1:]), return_inverse=True)
+    total = np.bincount(which, weights=n[letters.word], minlength=len(kinds)).astype(np.int64)
+    low = (1 << 21) - 1
+    return (kinds >> 42) - 1, ((kinds >> 21) & low) - 1, kinds & low, total
+
+
+def keys_of(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One number for three characters, of which the first two may be -1."""
+    return ((a.astype(np.int64) + 1) << 42) | ((b.astype(np.int64) + 1) << 21) | x.astype(np.int64)
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word bigint, n bigint")
-    return staged(found.groupBy("word").agg(F.sum("n").alias("n")), "kn-counts")
+
+def shared_model(tri: DataFrame) -> DataFrame:
+    """a, b, x, p: the Kneser-Ney probability of each character after two others, after one (a is -1) and after none (b too)."""
+    pairs = tri.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    single = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    counts = lambda d: discounts(*d.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
+
+    def level(d: DataFrame, context: list[str], below: DataFrame, on: list[str]) -> DataFrame:
+        one, two, more = counts(d)
+        cut = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+        sums = d.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(cut).alias("free"))
+        joined = d.join(sums, context) if context else d.crossJoin(F.broadcast(sums))  # sums is one row then
+        return joined.join(below.withColumnRenamed("p", "q"), on).select(*context, "x", ((F.col("n") - cut + F.col("free") * F.col("q")) / F.col("total")).alias("p"))
+
+    none = F.lit(-1).cast("bigint")
+    zero = level(single, [], single.select("x", (F.lit(1.0) / F.lit(max(1, single.count()))).alias("p")), ["x"])
+    one = level(pairs.where(F.col("b") != MARK), ["b"], zero, ["x"])
+    two = level(tri.where((F.col("a") >= 0) & (F.col("a") != MARK)), ["a", "b"], one, ["b", "x"])
+    return two.unionByName(one.withColumn("a", none)).unionByName(zero.withColumns({"a": none, "b": none}))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, toxic, words (hashes) of the bounded sample, staged, and the number of labelled rows of each class."""
+    """doc_id, toxic, words (the distinct ones, with their number in the text) of the bounded sample, staged, and the number of
+    labelled rows of each class."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen, total = hashed_sample(known.where(learn), "toxic", rows_per_class)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    # At most about rows_per_class ids of either class go to the executors.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    known = known.where(learn)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # A first, wider choice by rows, of a bounded number of ids, which may go to the executors; then by rows and characters.
+    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) / 1_000_000
+    by_class = lambda share: F.coalesce(*[F.when(F.col("toxic") == k, F.lit(s)) for k, s in sorted(share.items())], F.lit(0.0))
+    share = {k: min(1.0, rows_per_class / n) for k, n in total.items()}
+    met = own.join(F.broadcast(known.where(place < by_class(share))), "doc_id").where(F.length("text") <= MAX_CHARS)
+    size = {r[0]: r[1] for r in met.groupBy("toxic").agg(F.sum(F.length("text"))).collect()}
+    share = {k: s * min(1.0, CHARS_PER_CLASS / max(1, size.get(k, 0))) for k, s in share.items()}
+    rows = met.where(place < by_class(share)).select("doc_id", "toxic", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = words_of(part.column(2))
-                hashes = words.hashes().astype("<u8")
-                data = [hashes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "toxic", "words"])
+                words, lines, times = words_of(part.column(2)), [], []
+                hashes = words.hashes()
+                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                    _, first, n = np.unique(hashes[a:b], return_index=True, return_counts=True)
+                    lines.append(spelled(words, a + first))
+                    times.append(n.astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.string()), pa.array(times, pa.binary())], ["doc_id", "toxic", "words", "times"])
 
-    return staged(rows.mapInArrow(run, "doc_id bigint, toxic int, words binary"), "kn-sample"), total
+    return staged(rows.mapInArrow(run, "doc_id bigint, toxic int, words string, times binary"), "kn-sample"), total
 
 
-def sample_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The shared counts of the sample's words, packed: words, times."""
+def sample_trigrams(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The shared probabilities of the trigrams that the sample's words have, packed: data (a, b, x, p)."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["word"])
+            letters = Letters("".join(batch.column(0).to_pylist()))
+            kinds, some = np.unique(keys_of(*letters.low(), letters.codes[1:]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (*letters.low(), letters.codes[1:])], ["a", "b", "x"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                data = [pa.array([np.asarray(batch.column(k)).astype("<i8").tobytes()], pa.binary()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(data, ["words", "times"])
-
-    own = rows.select("words").mapInArrow(words, "word bigint").distinct()
-    return counts.join(own, "word", "left_semi").select("word", "n").mapInArrow(pack, "words binary, times binary")
+                yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([np.asarray(c).astype("<f8") for c in batch.columns]).tobytes()], pa.binary())], ["data"])
+
+    mine = rows.select("words").mapInArrow(own, "a bigint, b bigint, x bigint").distinct()
+    return shared.join(mine, ["a", "b", "x"], "left_semi").select("a", "b", "x", "p").mapInArrow(pack, "data binary")
+
+
+class Sample:
+    """The distinct words of learned texts, the texts as places in them, and the shared probability of every character."""
+
+    def __init__(self, texts: list[tuple[str, np.ndarray]], shared: np.ndarray):
+        lists = [lines.split("\n")[:-1] for lines, _ in texts]
+        place: dict[str, int] = {}
+        self.texts = [np.array([place.setdefault(w, len(place)) for w in ws], dtype=np.int64) for ws in lists]
+        self.times = [n for _, n in texts]
+        self.letters = Letters("".join(w + "\n" for w in place))
+        self.n_words = len(place)
+        s = shared.reshape(-1, 4)
+        keys = keys_of(s[:, 0], s[:, 1], s[:, 2])
+        order = np.argsort(keys)
+        known, p = look_up(keys[order], s[order, 3], keys_of(*self.letters.low(), self.letters.codes[1:]))
+        self.base = np.where(known, p, 1e-12)  # all are known if the sample is of the corpus
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How many of the texts each word stands in."""
+        return np.bincount(np.concatenate([self.texts[k] for k in of] or [np.zeros(0, dtype=np.int64)]), minlength=self.n_words)
+
+
+def class_model(sample: Sample, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: k, the probability of each of the sample's characters up to it, and the back-off weight of each context
+    that the class knows (context, weight)."""
+    letters, p = sample.letters, sample.base
+    n = count[letters.word].astype(np.float64)
+    orders = list(letters.hashes())
+    for nth, (k, has, context, gram) in enumerate(orders):
+        mine = np.flatnonzero(has & (n > 0))
+        grams, which = np.unique(gram[mine], return_inverse=True)
+        if k == HIGH:
+            c = np.bincount(which, weights=n[mine], minlength=len(grams))
+        else:  # distinct characters before, or documents where none can be before
+            head = letters.reach[mine] == k
+            c = np.bincount(which, weights=np.where(head, n[mine], 0), minlength=len(grams))
+            longer = np.flatnonzero(~head)
+            _, some = np.unique(orders[nth + 1][3][mine[longer]], return_index=True)
+            c += np.bincount(which[longer[some]], minlength=len(grams))
+        contexts, of = np.unique(context[mine], return_inverse=True)
+        gram_context = np.zeros(len(grams), dtype=np.int64)
+        gram_context[which] = of
+        cut = np.minimum(np.array([0.0, *discounts(*[float((c == j).sum()) for j in (1, 2, 3, 4)])])[np.minimum(c, 3).astype(np.int64)], c)
+        total = np.bincount(gram_context, weights=c, minlength=len(contexts))
+        weight = np.bincount(gram_context, weights=cut, minlength=len(contexts)) / np.maximum(total, 1)
+        knows, w = look_up(contexts, weight, context)
+        seen, own = look_up(grams, (c - cut) / total[gram_context] if len(c) else c, gram)
+        p = np.where(has & knows, w * p + np.where(has & seen, own, 0.0), p)
+        yield k, p, contexts, weight
 
 
 class Model:
-    """The two Kneser-Ney models and the curve."""
-
-    def __init__(self, known: np.ndarray, times: np.ndarray, size: int, kinds: int, texts: list[tuple[int, np.ndarray]]):
-        """known: the words of texts, in order; times: how often they stand in the corpus, which has size words of so many kinds."""
-        base = (times + 0.5) / (size + 0.5 * kinds)
-        n_known, models, kept, used = len(known), [], [], np.zeros(len(known), dtype=bool)
-        texts = [(k, np.searchsorted(known, t)) for k, t in texts]
-        for c in (0, 1):
-            mine = [t for k, t in texts if k == c]
-            joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-            # Documents with each bigram, documents with each word, and distinct words before each word.
-            key, n = np.unique(joined([np.unique(t[:-1] << 32 | t[1:]) for t in mine]), return_counts=True)
-            in_docs = np.bincount(joined([np.unique(t) for t in mine]), minlength=n_known)
-            before, word = key >> 32, key & 0xFFFFFFFF
-            follows = np.minimum(np.bincount(word, minlength=n_known), in_docs)
-            all_follows, own = max(1, int(follows.sum())), np.maximum(follows - DISCOUNT, 0)
-            rest = 1 - own.sum() / all_follows
-            after = np.bincount(before, weights=n, minlength=n_known)
-            full = n > DISCOUNT
-            mass = np.bincount(before[full], weights=(n[full] - DISCOUNT), minlength=n_known)
-            models.append((own / all_follows + rest * base, np.where(after > 0, 1 - mass / np.maximum(after, 1), 1.0), rest))
-            kept.append((before[full], word[full], ((n[full] - DISCOUNT) / after[before[full]]).astype(np.float32)))
-            used |= own > 0
-            used[before[full]] = used[word[full]] = True
-        # Only words that a class tells more of than the back-off stay. All others are one entry, the last, without their
-        # shared share: it is the same in both classes, and only differences of the classes are used of them.
-        self.words = known[used]
-        self.lower = [np.log(np.append(lower[used], rest)).astype(np.float32) for lower, _, rest in models]
-        self.weight = [np.append(weight[used], 1.0).astype(np.float32) for _, weight, _ in models]
-        place = np.cumsum(used) - 1
-        keys = [place[a] << 32 | place[b] for a, b, _ in kept]
-        self.keys = np.union1d(*keys)
-        self.seen = []
-        for key, (_, _, p) in zip(keys, kept, strict=True):
-            dense = np.zeros(len(self.keys), dtype=np.float32)
-            dense[np.searchsorted(self.keys, key)] = p
-            self.seen.append(dense)
+    """Ratios of the two classes: of each order what an n-gram that the sample has tells, and what the back-off from a context
+    tells where the n-gram is unknown; a dead zone and a curve over the evidence."""
+
+    def __init__(self, sample: Sample, counts: tuple[np.ndarray, np.ndarray]):
+        ordinary, toxic = (list(class_model(sample, c)) for c in counts)
+        used = (counts[0] + counts[1])[sample.letters.word] > 0
+        self.orders = []
+        for (_, has, _, gram), (_, p0, c0, w0), (_, p1, c1, w1) in zip(sample.letters.hashes(), ordinary, toxic, strict=True):
+            rows = np.flatnonzero(has & used)
+            grams, some = np.unique(gram[rows], return_index=True)
+            some = rows[some]
+            contexts = np.union1d(c0, c1)
+            log = [np.where(known, np.log(np.maximum(w, 1e-12)), 0.0) for known, w in (look_up(c, w, contexts) for c, w in ((c0, w0), (c1, w1)))]
+            self.orders.append((grams, (np.log(p1[some]) - np.log(p0[some])).astype(np.float32), contexts, (log[1] - log[0]).astype(np.float32)))
+        self.zone: float | None = None
         self.curve = np.zeros(3)
 
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """The model's number of each word."""
-        if not len(self.words):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.searchsorted(self.words, hashes)
-        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == hashes, at, len(self.words))
-
-    def gains(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word; first: where texts begin."""
-        if not len(codes):
+    def ratios(self, letters: Letters) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        if not letters.n_words:
             return np.zeros(0)
-        out = self.lower[1][codes] - self.lower[0][codes]
-        key = np.zeros(len(codes), dtype=np.int64)
-        key[1:] = codes[:-1] << 32 | codes[1:]
-        inner = np.ones(len(codes), dtype=bool)
-        inner[first[first < len(codes)]] = False
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        hit = np.flatnonzero(inner & (self.keys[at] == key)) if len(self.keys) else np.zeros(0, dtype=np.int64)
-        rest = np.flatnonzero(inner)
-        log_p = []
-        for c in (0, 1):
-            lam = self.weight[c][codes[rest - 1]]
-            log_p.append(np.log(np.maximum(lam, 1e-6)) + self.lower[c][codes[rest]])
-        out[rest] = log_p[1] - log_p[0]
-        if len(hit):
-            p = [self.seen[c][at[hit]] + np.maximum(self.weight[c][codes[hit - 1]], 1e-6) * np.exp(self.lower[c][codes[hit]]) for c in (0, 1)]
-            out[hit] = np.log(p[1]) - np.log(p[0])
-        return out.astype(np.float64)
-
-    def evidence(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """For each text the mean gain of its words and that of its most toxic window of WINDOW words (or all, if fewer)."""
-        sums = np.concatenate([[0.0], np.cumsum(self.gains(self.codes(hashes), first[:-1]))])
-        out = np.zeros((len(count), 2))
-        has = np.flatnonzero(count > 0)
-        if not len(has):
-            return out
-        out[has, 0] = (sums[first[1:]] - sums[first[:-1]])[has] / count[has]
-        start = np.arange(len(hashes))
-        end = np.minimum(start + WINDOW, np.repeat(first[1:], count))
-        start = np.maximum(np.minimum(start, end - WINDOW), np.repeat(first[:-1], count))
-        local = (sums[end] - sums[start]) / (end - start)
-        out[has, 1] = np.maximum.reduceat(local, first[:-1][has])
-        return out
+        told = np.zeros(len(letters.at))
+        for (_, has, context, gram), (grams, ratio, contexts, back) in zip(letters.hashes(), self.orders, strict=True):
+            rows = np.flatnonzero(has)
+            knows, value = look_up(grams, ratio, gram[rows])
+            # An n-gram that is known tells all; else the back-off adds to what the shorter ones told.
+            there, weight = look_up(contexts, back, context[rows])
+            told[rows] = np.where(knows, value, told[rows] + np.where(there, weight, 0.0))
+        return np.add.reduceat(told, letters.first)
+
+    def above(self, ratios: np.ndarray) -> np.ndarray:
+        return ratios if self.zone is None else np.maximum(ratios - self.zone, 0.0)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + evidence @ self.curve[1:], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(features(evidence) @ self.curve, -30, 30)))
+
+
+def features(evidence: np.ndarray) -> np.ndarray:
+    """What the curve is linear in; a rise of evidence never lowers them."""
+    return np.column_stack([np.ones(len(evidence)), evidence, np.log(np.maximum(evidence, 0) + 1e-3)])
+
 
-    def calibrate(self, evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
-        """Weighted logistic regression by Newton's method, lightly regularised."""
-        scale = np.maximum(evidence.std(axis=0), 1e-9)
-        x = np.column_stack([np.ones(len(evidence)), evidence / scale])
-        w = np.zeros(3)
+def curve(evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by Newton's method, lightly regularised, with no weight below 0 but the constant; and its loss."""
+    best = (np.zeros(3), np.inf)
+    for used in ([0, 1, 2], [0, 1], [0, 2]):
+        x, w, ridge = features(evidence)[:, used], np.zeros(len(used)), np.full(len(used), 0.01)
+        ridge[0] = 1e-6
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.05, 0.05])
-            w = w - np.linalg.solve(hessian, x.T @ (weight * (p - label)) + np.array([0, 0.05, 0.05]) * w)
-        self.curve = np.concatenate([w[:1], w[1:] / scale])
-
-
-def train(rows: list[tuple[int, int, np.ndarray]], total: dict[int, int], known: np.ndarray, times: np.ndarray, size: int, kinds: int) -> Model | float:
-    """rows: (id, class, words); known and times: the shared counts of their words; size and kinds: words of the corpus, and
-    distinct ones. The model, or the share of toxic labels where one class has none. A quarter of the rows only fits the curve."""
-    held = [k for k, (i, _, _) in enumerate(rows) if int(i) * 2654435761 % 2**32 % 4 == 0]
-    learn = sorted(set(range(len(rows))) - set(held))
-    if any(len({rows[k][1] for k in part}) < 2 for part in (held, learn)):
-        held = learn = list(range(len(rows)))
-    if len({rows[k][1] for k in learn}) < 2:
+            step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + np.diag(ridge), x.T @ (weight * (p - label)) + ridge * w)
+            w = w - step / max(1.0, float(np.abs(step).max()) / 4)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = float(-(weight * np.where(label > 0, np.log(p), np.log(1 - p))).sum())
+        if (w[1:] >= 0).all() and loss < best[1]:
+            full = np.zeros(3)
+            full[used] = w
+            best = (full, loss)
+    if best[1] == np.inf:
+        rate = np.clip((weight * label).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+        best = (np.array([np.log(rate / (1 - rate)), 0.0, 0.0]), np.inf)
+    return best
+
+
+def train(rows: list[tuple[int, int, str, np.ndarray]], total: dict[int, int], shared: np.ndarray) -> Model | float:
+    """rows: (id, class, distinct words, their numbers); shared: probabilities of their trigrams (a, b, x, p). The model, or the
+    share of toxic labels where a class has no row."""
+    once = {(toxic, lines, n.tobytes()): (i, toxic, lines, n) for i, toxic, lines, n in rows}
+    rows = [once[k] for k in sorted(once, key=lambda k: (once[k][0], k))]
+    label = np.array([r[1] for r in rows], dtype=np.int64)
+    if len(set(label.tolist())) < 2:
         return float(total.get(1, 0) / max(1, sum(total.values())))
-    model = Model(known, times, size, kinds, [(rows[k][1], rows[k][2]) for k in learn])
-    count = np.array([len(rows[k][2]) for k in held])
-    first = np.concatenate([[0], np.cumsum(count)])
-    label = np.array([rows[k][1] for k in held])
-    sampled = np.bincount(label, minlength=2)
-    weight = np.array([total[c] / sampled[c] for c in (0, 1)])[label]
-    model.calibrate(model.evidence(np.concatenate([rows[k][2] for k in held]), first, count), label, weight * len(label) / weight.sum())
+    sample = Sample([(lines, n) for _, _, lines, n in rows], shared)
+    fold = mix64(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)) % np.uint64(FOLDS)
+    both = lambda rest: tuple(sample.counts(np.flatnonzero(rest & (label == c))) for c in (0, 1))
+    ratios = np.zeros((FOLDS, sample.n_words))
+    for f in range(FOLDS):
+        rest = fold != f
+        ratios[f] = Model(sample, both(rest if len(set(label[rest].tolist())) > 1 else np.ones(len(label), dtype=bool))).ratios(sample.letters)
+    model, least = Model(sample, both(np.ones(len(label), dtype=bool))), np.inf
+    weight = len(label) / 2 / np.bincount(label, minlength=2)[label]
+    tried = Model.__new__(Model)
+    for zone in ZONES:
+        tried.zone = zone
+        worth = [tried.above(r) for r in ratios]
+        evidence = np.array([float((worth[int(f)][t] * n).sum() / max(1, n.sum())) for f, t, n in zip(fold, sample.texts, sample.times, strict=True)])
+        fitted_curve, loss = curve(evidence, label, weight)
+        if loss < least or zone is ZONES[0]:
+            least, model.zone, model.curve = loss, zone, fitted_curve
     return model
 
 
-def fitted(rows: DataFrame, counts: DataFrame, total: dict[int, int]) -> Model | float:
+def fitted(rows: DataFrame, shared: DataFrame, total: dict[int, int]) -> Model | float:
     """train() in a task, so that only the model comes to the driver."""
-    size, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, known, times = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        texts, known = [], []
         for batch in batches:
-            for i, toxic, words, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = np.frombuffer(words, dtype="<u8")
-                if n is None:
-                    texts.append((i, toxic, words))
+            for i, toxic, words, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if data is None:
+                    texts.append((i, toxic, words, np.frombuffer(times, dtype="<i4")))
                 else:
-                    known.append(words)
-                    times.append(np.frombuffer(n, dtype="<i8"))
-        known, times = np.concatenate(known), np.concatenate(times)
-        order = np.argsort(known)
-        texts.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, total, known[order], times[order], size, kinds))], pa.binary())], ["model"])
+                    known.append(np.frombuffer(data, dtype="<f8"))
+        model = train(texts, total, np.concatenate(known) if known else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    shared = sample_counts(rows, counts).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("toxic"), "words", "times")
-    made = rows.withColumn("times", F.lit(None).cast("binary")).unionByName(shared).repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(made.model) if made else train([], total, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), size, kinds)
+    empty = lambda kind: F.lit(None).cast(kind)
+    told = sample_trigrams(rows, shared).select(empty("bigint").alias("doc_id"), empty("int").alias("toxic"), empty("string").alias("words"), empty("binary").alias("times"), "data")
+    made = rows.withColumn("data", empty("binary")).unionByName(told).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([], total, np.zeros(0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn: Column, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """One row per document: doc_id, held_out (learn is false), score, predicted. learn: an expression over doc_id."""
+    """One row per document: doc_id, held_out (learn is false), score, predicted, evidence. learn: an expression over doc_id."""
     rows, total = training_rows(docs, labels, learn, rows_per_class)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(rows, shared_counts(docs), total))
+    shared = shared_model(staged(trigrams(shared_words(docs)), "kn-trigrams"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(rows, shared, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             for part in slices(batch, "text"):
+                evidence = np.zeros(part.num_rows)
                 if isinstance(own, float):
                     score = np.full(part.num_rows, own)
                 else:
                     words = words_of(part.column(2))
-                    score = own.scores(own.evidence(words.hashes(), words.first, words.count))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                    _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                    worth = own.above(own.ratios(Letters(spelled(words, first))))
+                    sums = np.concatenate([[0.0], np.cumsum(worth[which])])
+                    evidence = (sums[words.first[1:]] - sums[words.first[:-1]]) / np.maximum(words.count, 1)
+                    score = own.scores(evidence)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(evidence)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return own.select("doc_id", (~F.coalesce(learn, F.lit(False))).alias(P + "held"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return own.select("doc_id", (~F.coalesce(learn, F.lit(False))).alias(P + "held"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence double")
