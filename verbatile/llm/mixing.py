@@ -2,13 +2,19 @@
 
 Each source's documents are shuffled by a hash of their id. A document's virtual finish time is its source's running total
 of words up to and with it, divided by the source's target; later passes over a source that is taken more than once go on
-from there. Targets add up to the total budget, so the mix is what is served up to virtual time 1: each source is cut at its target,
-and the document that it is in the middle of then is taken in part. mixed_order() range-sorts what is taken.
+from there. The mix is the global order of virtual finish times, truncated at the total budget: what ends before the budget
+does is taken whole, the one document that the budget ends in is taken in part. Since all sources are served at their weights,
+each has its target by then, but for the documents that are being served at virtual time 1.
+
+The global order is dealt into ranges of virtual time (SLOTS up to time 1, then finer and finer ones in proportion), whose
+words are summed. Ranges before the one in which the budget ends are taken whole, those behind it not at all, so that only
+that one has to be sorted to find the cut. mixed_order() range-sorts what is taken, for a training run to read.
 
 Running totals are prefix sums in two levels (sums of hash buckets, then rows within a bucket), so neither a hot source nor
-the global order is ever in one task. Edge cases: null text has no words; null sources are a source of their own, the last;
-documents without words take nothing; repeated ids are ordered by their size and the hash of their text; an empty table
-gives an empty one; extra columns are not read, whatever their names.
+the global order is ever in one task; what is, is a row for each source and a row for each range. Edge cases: null text has no
+words; null sources are a source of their own, the last; documents without words take nothing; equal finish times go by the
+source's name; repeated ids are ordered by their size and the hash of their text; an empty table gives an empty one; extra
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from .common import P, staged
 
 #: Weights of the sources in order of their names, repeated; and how often a source may be taken at most.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Ranges of virtual time up to 1.
+SLOTS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,53 +85,72 @@ def told(docs: DataFrame, seed: str = "mix", row: Column | None = None) -> DataF
     return staged(d, "mix-told")
 
 
-def schedule(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = 500) -> DataFrame:
-    """One row per document and pass: row, doc_id, source, size, source_size, target, pass (from 0), words (taken in it, cut
-    off where the source has its target), finish (virtual time) and mix_offset (words taken before it in the global order).
-
-    Passes of which nothing is taken are left out, but for the first, which every document has.
-    """
+def served(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = 500) -> DataFrame:
+    """rows with source_size, target and before: the words of the source's documents that are served before, in a pass. Staged."""
     share = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n = rows.count()
     digits = next((k for k in range(1, 6) if 16**k * bucket_rows >= n), 6)
     order = [F.col("shuffled"), F.col("doc_id"), F.col("size"), F.col("text_hash"), F.col("row")]
     d = prefix_sum(rows.withColumn("bucket", F.substring("shuffled", 1, digits)), ["source"], "bucket", order, "size", "before", share)
-    d = d.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    start = F.col("pass") * F.col("source_size") + F.col("before")
-    words = F.greatest(F.least(F.floor("target") - start, F.col("size")), F.lit(0)).cast("bigint")
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    d = d.withColumns({"words": words, "finish": finish}).where((F.col("words") > 0) | (F.col("pass") == 0))
-    # The global order: slots of virtual time hold about as many rows each, since all sources are served at their weights.
-    slots = max(1, min(2**20, n // bucket_rows))
-    d = d.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(2.0)) * slots))
-    d = prefix_sum(d, [], "slot", [F.col("finish"), F.col("source").asc_nulls_last(), F.col("doc_id"), F.col("row"), F.col("pass")], "words", "mix_offset")
-    # The budget is all sizes; the targets add up to it, so the cut of each source above leaves nothing to cut here.
-    d = d.withColumn("words", F.greatest(F.least(F.col("words"), F.lit(total).cast("bigint") - F.col("mix_offset")), F.lit(0)))
-    return d.select("row", "doc_id", "source", "size", "source_size", "target", "pass", "words", "finish", "mix_offset")
+    return staged(d.select("row", "doc_id", "source", "size", "source_size", "target", "before"), "mix-served")
+
+
+def finish_time(nth: Column | int) -> Column:
+    """Virtual finish time of a document in the nth pass (from 0); null where the source has no words."""
+    end = F.lit(nth).cast("bigint") * F.col("source_size") + F.col("before") + F.col("size")
+    return F.try_divide(end.cast("double"), F.col("target"))
+
+
+def slot_of(finish: Column, slots: int) -> Column:
+    return F.when(finish <= 1, F.floor(finish * slots)).otherwise(F.floor((1 + F.log2(finish)) * slots) + 1).cast("bigint")
+
+
+def schedule(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slots: int = SLOTS) -> DataFrame:
+    """One row per document and pass that takes words: row, doc_id, source, size, source_size, target, pass (from 0), finish
+    (virtual time) and words; and one with 0 words and pass 0 for each document of which nothing is taken."""
+    d = served(rows, weights, most)
+    items = d.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    items = items.withColumn("finish", finish_time(F.col("pass")))
+    items = items.withColumn("slot", slot_of(F.col("finish"), slots))
+    sums = items.groupBy("slot").agg(F.sum("size").alias("words"))
+    # The budget is all words of all documents. One row for each range goes to one task here.
+    over = Window.orderBy("slot")
+    upto = staged(sums.select("slot", F.sum("words").over(over).alias("upto"), F.col("words")), "mix-slots")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint")).first()[0]
+    cut = upto.where(F.col("upto") >= total).orderBy("slot").first()
+    last, left = (cut.slot, total - (cut.upto - cut.words)) if cut else (-1, 0)
+    inside = Window.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "row", "pass").rowsBetween(Window.unboundedPreceding, -1)
+    here = items.where(F.col("slot") == last).withColumn("words", F.greatest(F.least(F.lit(left) - F.coalesce(F.sum("size").over(inside), F.lit(0)), F.col("size")), F.lit(0)))
+    taken = items.where(F.col("slot") < last).withColumn("words", F.col("size")).unionByName(here.where("words > 0"))
+    columns = ["row", "doc_id", "source", "size", "source_size", "target", "pass", F.col("words").cast("bigint").alias("words"), "finish"]
+    # Passes of one row take words in order, so a row that takes none in the first takes none at all.
+    first = here.where("pass = 0 AND words = 0").drop("slot").unionByName(items.where((F.col("slot") > last) & (F.col("pass") == 0)).drop("slot").withColumn("words", F.lit(0)))
+    without = d.where("size <= 0").withColumns({"pass": F.lit(0), "finish": finish_time(0), "words": F.lit(0)})
+    return taken.drop("slot").unionByName(first).unionByName(without).select(*columns)
 
 
 def mixed_order(plan: DataFrame) -> DataFrame:
     """The passes that take words, range-sorted by virtual finish time: the order in which a training run reads them."""
-    return plan.where("words > 0").orderBy("finish", F.col("source").asc_nulls_last(), "doc_id", "row", "pass")
+    return plan.where("words > 0").orderBy("finish", F.col("source").asc_nulls_last(), "row", "pass")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), finish (virtual
+    time of its first pass, null where its source has no words)."""
     plan = schedule(told(docs, seed), weights, most)
-    taken = plan.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("bigint").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    taken = plan.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("bigint").alias("taken"), F.min("finish").alias("finish"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix with all their columns: one row for each pass, dropped where nothing is taken of them.
+    """The documents of the mix with all their columns: one row for each pass, none where nothing is taken of them.
 
-    A document that the budget cuts through is kept whole, once; targets are met but for that one document of each source.
-    Rows are told apart by a key of their own, whatever their ids.
+    The document that the budget ends in is kept whole. Rows are told apart by a key of their own, whatever their ids; documents
+    without words take nothing and go.
     """
     key = P + "key"
     keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
     plan = schedule(told(keyed.withColumn("doc_id", F.col(id_col)), seed, F.col(key)), weights, most)
-    taken = plan.groupBy(F.col("row").alias(key), "size").agg(F.sum("words").alias("taken"))
-    taken = taken.select(key, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(P + "times")).where(F.col(P + "times") > 0)
-    d = keyed.join(taken, key).drop(key)
+    times = plan.where("words > 0").groupBy(F.col("row").alias(key)).agg(F.count(F.lit(1)).cast("int").alias(P + "times"))
+    d = keyed.join(times, key).drop(key)
     return d.withColumn(P + "times", F.explode(F.sequence(F.lit(1), F.col(P + "times")))).drop(P + "times")

@@ -34,11 +34,21 @@ WITH d AS (
   SELECT d.*, t.source_size, t.target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), i AS (
+  SELECT doc_id, source, size, pass, (pass * source_size + before + size)::DOUBLE / target AS finish
+  FROM o, (SELECT unnest([0, 1, 2])::BIGINT AS pass) WHERE size > 0
+), q AS (
+  SELECT doc_id, sum(greatest(least((SELECT sum(size) FROM d)::BIGINT - ended, size), 0))::BIGINT AS taken
+  FROM (
+    SELECT doc_id, size,
+           coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, doc_id, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ended
+    FROM i
+  )
+  GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(least(floor(target)::BIGINT - before, size), 0) + greatest(least(floor(target)::BIGINT - source_size - before, size), 0)
-        + greatest(least(floor(target)::BIGINT - 2 * source_size - before, size), 0))::BIGINT AS taken
-FROM o
+SELECT o.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken,
+       CASE WHEN target > 0 THEN (before + size)::DOUBLE / target END AS finish
+FROM o LEFT JOIN q ON o.doc_id = q.doc_id
 """
 
 
