@@ -72,6 +72,42 @@ def test_dedup_state_goes_on(spark, make_docs, tmp_path):
     assert sorted((r.keep_id, r.group_size) for r in groups.collect()) == [(2, 1), (3, 2), (4, 1)]
 
 
+def test_dedup_state_is_hit_by_later_triggers(spark, make_docs, tmp_path):
+    """One file a trigger: groups grow over triggers, and the locator is that of the row with the largest id."""
+    arrived, state = str(tmp_path / "in"), str(tmp_path / "state")
+    docs = exact_dedup.file_backed(make_docs([(i, f"t{i % 3}") for i in range(12)]).repartition(6, "doc_id"))
+    exact_dedup.arrivals(docs).write.parquet(arrived)
+    groups = exact_dedup.update_state(spark, arrived, state, trigger_bytes=1).collect()
+    assert sorted((r.keep_id, r.group_size) for r in groups) == [(9, 4), (10, 4), (11, 4)]
+    assert len(list((tmp_path / "state" / "groups").glob("batch=*"))) > 1
+    where = {(r[exact_dedup.P + "file"], r[exact_dedup.P + "row"]): r.doc_id for r in exact_dedup.located(docs).collect()}
+    assert {where[r.file, r.row] for r in groups} == {9, 10, 11}
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda text: F.substring(F.md5(text), 1, 0)])
+def test_kept_documents(make_docs, digest):
+    given = [(1, "a"), (1, "b"), (1, "d"), (2, "A"), (None, "c"), (None, "c"), (None, "b"), (3, "ee"), (3, "EE"), (4, None), (5, "")]
+    docs = make_docs(given)
+    got = exact_dedup.kept_documents(docs, digest=digest)
+    assert got.columns == docs.columns
+    rows = sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect())
+    assert rows == [(0, "c"), (1, "b"), (1, "d"), (2, "a"), (3, "ee"), (5, "")]
+
+
+def test_hit_filter_and_many_copies(make_docs, monkeypatch):
+    """Rows that surely aren't hits are left out, hits never; groups join alike broadcast or not."""
+    docs = make_docs([(i, f"t{i}" if i % 4 else "same") for i in range(2000)] + [(5000 + i, f"t{i}") for i in range(1, 40)])
+    for many in (1, 10_000):
+        monkeypatch.setattr(exact_dedup, "MANY", many)
+        _, groups, total = exact_dedup.groups_of(docs, "doc_id", "text", exact_dedup.sha256_hex)
+        left = exact_dedup.maybe_hit(exact_dedup._texts(docs, "doc_id", "text", exact_dedup.sha256_hex), groups).count()
+        hits = sum(r.group_size for r in groups.where("group_size > 1").collect())
+        assert hits <= left < hits + 400
+        rows = exact_dedup.exact_dedup(docs).collect()
+        assert len(rows) == total and sum(r.kept for r in rows) == groups.count()
+        assert {r.group_size for r in rows if r.doc_id % 4 == 0 and r.doc_id < 2000} == {500}
+
+
 def brute_winnow(text, hash_of, k=winnow.K, w=winnow.W):
     words = re.findall(winnow.PIECE, text)
     h = [hash_of[x] for x in words]
