@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verbatile.llm.bpe import encode_documents
 from verbatile.llm.common import P, fresh_path, staged
-from verbatile.llm.exact_dedup import exact_dedup, normalised, sha256_hex
+from verbatile.llm.exact_dedup import kept_documents
 from verbatile.llm.jaccard_join import jaccard_components
 from verbatile.llm.lid_crf import UNDEFINED, identify
 from verbatile.llm.mixing import mixed_documents
@@ -28,10 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, also where ids are null or repeat with other texts."""
-    keep = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(P + "id"), F.col("text_sha256").alias(P + "sha")).distinct()
-    own = docs.withColumn(P + "own", sha256_hex(normalised(F.col("text"))))
-    left = own.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col(P + "id")) & (F.col(P + "own") == F.col(P + "sha")), "left_semi")
-    return left.dropDuplicates(["doc_id", P + "own"]).select(*docs.columns)
+    return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
