@@ -97,12 +97,35 @@ class Letters:
             yield k, (self.reach == k) | (self.reach > k) & (k >= LOW), h, mix64(h ^ own)
 
 
-def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key asked for is among the sorted keys, and its value (of any, if not)."""
-    if not len(keys):
-        return np.zeros(len(asked), dtype=bool), np.zeros(len(asked), dtype=values.dtype)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return keys[at] == asked, values[at]
+class Table:
+    """Sorted 64-bit hashes with values. Hashes are spread evenly, so their leading bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = min(24, max(1, (2 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __reduce__(self):
+        return Table, (self.keys, self.values)  # the starts are made again where it is read
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is in the table, and its value (0 if not)."""
+        value = np.zeros(len(asked), dtype=self.values.dtype)
+        there = np.zeros(len(asked), dtype=bool)
+        if not len(self.keys):
+            return there, value
+        at, left = self.starts[(asked >> self.shift).astype(np.int64)], np.arange(len(asked))
+        inside = np.flatnonzero(at < len(self.keys))
+        at, left = at[inside], left[inside]
+        while len(left):
+            key, wanted = self.keys[at], asked[left]
+            hit = key == wanted
+            there[left[hit]] = True
+            value[left[hit]] = self.values[at[hit]]
+            on = np.flatnonzero((key < wanted) & (at + 1 < len(self.keys)))
+            at, left = at[on] + 1, left[on]
+        return there, value
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -235,43 +258,64 @@ class Sample:
         self.letters = Letters("".join(w + "\n" for w in place))
         self.n_words = len(place)
         s = shared.reshape(-1, 4)
-        keys = keys_of(s[:, 0], s[:, 1], s[:, 2])
+        keys = mix64(keys_of(s[:, 0], s[:, 1], s[:, 2]).view(np.uint64))
         order = np.argsort(keys)
-        known, p = look_up(keys[order], s[order, 3], keys_of(*self.letters.low(), self.letters.codes[1:]))
+        known, p = Table(keys[order], s[order, 3]).find(mix64(keys_of(*self.letters.low(), self.letters.codes[1:]).view(np.uint64)))
         self.base = np.where(known, p, 1e-12)  # all are known if the sample is of the corpus
+        self.orders: list[Order] = []
+        for k, has, context, gram in self.letters.hashes():
+            self.orders.append(Order(k, has, context, gram, self.letters.reach))
+            if k > 1:
+                self.orders[-2].extend(self.orders[-1])
 
     def counts(self, of: np.ndarray) -> np.ndarray:
         """How many of the texts each word stands in."""
         return np.bincount(np.concatenate([self.texts[k] for k in of] or [np.zeros(0, dtype=np.int64)]), minlength=self.n_words)
 
 
-def class_model(sample: Sample, count: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each order: k, the probability of each of the sample's characters up to it, and the back-off weight of each context
-    that the class knows (context, weight)."""
-    letters, p = sample.letters, sample.base
-    n = count[letters.word].astype(np.float64)
-    orders = list(letters.hashes())
-    for nth, (k, has, context, gram) in enumerate(orders):
-        mine = np.flatnonzero(has & (n > 0))
-        grams, which = np.unique(gram[mine], return_inverse=True)
-        if k == HIGH:
-            c = np.bincount(which, weights=n[mine], minlength=len(grams))
-        else:  # distinct characters before, or documents where none can be before
-            head = letters.reach[mine] == k
-            c = np.bincount(which, weights=np.where(head, n[mine], 0), minlength=len(grams))
-            longer = np.flatnonzero(~head)
-            _, some = np.unique(orders[nth + 1][3][mine[longer]], return_index=True)
-            c += np.bincount(which[longer[some]], minlength=len(grams))
-        contexts, of = np.unique(context[mine], return_inverse=True)
-        gram_context = np.zeros(len(grams), dtype=np.int64)
-        gram_context[which] = of
+class Order:
+    """The n-grams and contexts of one length among a sample's characters, numbered."""
+
+    def __init__(self, k: int, has: np.ndarray, context: np.ndarray, gram: np.ndarray, reach: np.ndarray):
+        self.k, self.rows = k, np.flatnonzero(has)
+        self.grams, self.some, self.gram = np.unique(gram[self.rows], return_index=True, return_inverse=True)
+        self.contexts, of = np.unique(context[self.rows], return_inverse=True)
+        self.context = of[self.some]
+        self.head = reach[self.rows] == k
+        self.longer, self.longer_of = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def extend(self, longer: Order) -> None:
+        """What the n-grams of the next length, but for those at a word's beginning, shorten to."""
+        mine = np.full(max(int(self.rows.max(initial=-1)), int(longer.rows.max(initial=-1))) + 1, -1)
+        mine[self.rows] = self.gram
+        of = mine[longer.rows[longer.some]]
+        self.longer, self.longer_of = np.flatnonzero(of >= 0), of[of >= 0]
+
+    def counts(self, n: np.ndarray, longer: Order | None) -> np.ndarray:
+        """Of each n-gram how often it stands in words that are counted n times (by character), or, if there are longer ones and
+        it is not a word's beginning, after how many distinct characters."""
+        own = n[self.rows]
+        c = np.bincount(self.gram, weights=own if longer is None else np.where(self.head, own, 0), minlength=len(self.grams))
+        if longer is not None:
+            seen = np.bincount(longer.gram, weights=n[longer.rows], minlength=len(longer.grams)) > 0
+            c += np.bincount(self.longer_of[seen[self.longer]], minlength=len(self.grams))
+        return c
+
+
+def class_model(sample: Sample, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: the probability of each of the sample's characters up to it, whether the class knows each of the order's
+    contexts, and its back-off weight."""
+    p, n = sample.base.copy(), count[sample.letters.word].astype(np.float64)
+    for order, longer in zip(sample.orders, [*sample.orders[1:], None], strict=True):
+        c = order.counts(n, longer)
         cut = np.minimum(np.array([0.0, *discounts(*[float((c == j).sum()) for j in (1, 2, 3, 4)])])[np.minimum(c, 3).astype(np.int64)], c)
-        total = np.bincount(gram_context, weights=c, minlength=len(contexts))
-        weight = np.bincount(gram_context, weights=cut, minlength=len(contexts)) / np.maximum(total, 1)
-        knows, w = look_up(contexts, weight, context)
-        seen, own = look_up(grams, (c - cut) / total[gram_context] if len(c) else c, gram)
-        p = np.where(has & knows, w * p + np.where(has & seen, own, 0.0), p)
-        yield k, p, contexts, weight
+        total = np.bincount(order.context, weights=c, minlength=len(order.contexts))
+        knows = total > 0
+        weight = np.where(knows, np.bincount(order.context, weights=cut, minlength=len(order.contexts)) / np.maximum(total, 1), 1.0)
+        own = (c - cut) / np.maximum(total, 1)[order.context]
+        # Unknown contexts have weight 1 and no n-grams: what is shorter tells all.
+        p[order.rows] = weight[order.context[order.gram]] * p[order.rows] + own[order.gram]
+        yield p.copy(), knows, weight
 
 
 class Model:
@@ -279,16 +323,15 @@ class Model:
     tells where the n-gram is unknown; a dead zone and a curve over the evidence."""
 
     def __init__(self, sample: Sample, counts: tuple[np.ndarray, np.ndarray]):
-        ordinary, toxic = (list(class_model(sample, c)) for c in counts)
         used = (counts[0] + counts[1])[sample.letters.word] > 0
-        self.orders = []
-        for (_, has, _, gram), (_, p0, c0, w0), (_, p1, c1, w1) in zip(sample.letters.hashes(), ordinary, toxic, strict=True):
-            rows = np.flatnonzero(has & used)
-            grams, some = np.unique(gram[rows], return_index=True)
-            some = rows[some]
-            contexts = np.union1d(c0, c1)
-            log = [np.where(known, np.log(np.maximum(w, 1e-12)), 0.0) for known, w in (look_up(c, w, contexts) for c, w in ((c0, w0), (c1, w1)))]
-            self.orders.append((grams, (np.log(p1[some]) - np.log(p0[some])).astype(np.float32), contexts, (log[1] - log[0]).astype(np.float32)))
+        self.orders: list[tuple[Table, Table]] = []
+        for order, (p0, knows0, w0), (p1, knows1, w1) in zip(sample.orders, class_model(sample, counts[0]), class_model(sample, counts[1]), strict=True):
+            at = order.rows[order.some]
+            known = np.bincount(order.gram, weights=used[order.rows], minlength=len(order.grams)) > 0
+            ratio = (np.log(p1[at]) - np.log(p0[at])).astype(np.float32)
+            met = knows0 | knows1
+            back = (np.log(np.maximum(w1, 1e-12)) - np.log(np.maximum(w0, 1e-12))).astype(np.float32)
+            self.orders.append((Table(order.grams[known], ratio[known]), Table(order.contexts[met], back[met])))
         self.zone: float | None = None
         self.curve = np.zeros(3)
 
@@ -297,12 +340,13 @@ class Model:
         if not letters.n_words:
             return np.zeros(0)
         told = np.zeros(len(letters.at))
-        for (_, has, context, gram), (grams, ratio, contexts, back) in zip(letters.hashes(), self.orders, strict=True):
+        for (_, has, context, gram), (grams, contexts) in zip(letters.hashes(), self.orders, strict=True):
+            # A known n-gram tells all; else the back-off from a known context adds to what the shorter ones told.
             rows = np.flatnonzero(has)
-            knows, value = look_up(grams, ratio, gram[rows])
-            # An n-gram that is known tells all; else the back-off adds to what the shorter ones told.
-            there, weight = look_up(contexts, back, context[rows])
-            told[rows] = np.where(knows, value, told[rows] + np.where(there, weight, 0.0))
+            met, back = contexts.find(context[rows])
+            rows, back = rows[met], back[met]
+            knows, value = grams.find(gram[rows])
+            told[rows] = np.where(knows, value, told[rows] + back)
         return np.add.reduceat(told, letters.first)
 
     def above(self, ratios: np.ndarray) -> np.ndarray:
