@@ -26,7 +26,6 @@ def brute_crf(model, words):
     n, total = len(model.langs), np.zeros((len(words), len(model.langs)))
     for labels in itertools.product(range(n), repeat=len(words)):
         s = sum(score[t, k] for t, k in enumerate(labels)) + sum(model.moves[a, b] for a, b in zip(labels, labels[1:]))
-        s += np.log(sum(np.exp(model.moves[a, labels[0]]) for a in range(n)))  # any state may come before
         for t, k in enumerate(labels):
             total[t, k] += np.exp(s)
     return total / total.sum(axis=1, keepdims=True)
@@ -45,7 +44,7 @@ def test_forward_backward_is_exact():
     got = model.posteriors(names, np.concatenate([code, code[:1]]), np.array([len(code), 0, 1]))
     psi = np.exp(lid_crf.Features(names, model.lexicon).scores(model.weights))[code]
     step = np.exp(model.moves)
-    alpha, beta = [step.sum(axis=0) * psi[0]], [np.ones(3)]
+    alpha, beta = [psi[0] / psi[0].sum()], [np.ones(3)]
     for p in psi[1:]:
         a = (alpha[-1] @ step) * p
         alpha.append(a / a.sum())
@@ -77,6 +76,10 @@ def test_language_id_edge_cases(make_docs):
     rows = lid_crf.identify(docs, F.lit(True)).collect()
     assert sorted((r.doc_id, r.lang_pred) for r in rows) == [(1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "aa"), (5, "aa"), (6, "aa")]
     assert {r.lang_pred for r in lid_crf.identify(docs, F.lit(False)).collect()} == {"und"}
+    signs = make_docs([(1, "½ ² Ⅷ ① ٣"), (2, "kala½mala Ⅷ"), (3, "x" * 50)])
+    model_docs = docs.unionByName(signs.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r.doc_id, r.lang_pred) for r in lid_crf.identify(model_docs, F.lit(True)).join(signs.select("doc_id", F.col("text").alias("t")), "doc_id").where("t = '½ ² Ⅷ ① ٣'").collect()} >= {(1, "und")}
+    assert lid_crf.words_in("m² ½kala Ⅷ été ß3x") == ["m", "kala", "été", "ß", "x"]
     assert lid_crf.identify(make_docs([]), F.lit(True)).collect() == []
 
 

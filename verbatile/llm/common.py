@@ -19,6 +19,9 @@ P = "__v_"
 #: ASCII white space that separates words: 0x20 and 0x09 to 0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Values of a class column that a sample is drawn by, at most.
+MOST_CLASSES = 2_000
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 #: Everything of ASCII but letters and digits.
@@ -29,12 +32,14 @@ _TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], dtype=np.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is (tests, local mode)."""
+    """The folder that driver and executors share; a temporary one is set only where none is in local mode, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = own.get() if own.isDefined() else None
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="verbatile-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -196,8 +201,10 @@ def dense_parts(values: np.ndarray, chunks: int) -> pa.RecordBatch:
 
 def hashed_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> tuple[DataFrame, dict]:
     """About per_class rows of each value of the column by (all of a smaller class), chosen by a hash of doc_id, and the
-    number of rows of each class. Needs the columns doc_id and by; the values of by are taken to be few."""
-    total = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    number of rows of each class. Needs the columns doc_id and by, with at most MOST_CLASSES values of by."""
+    total = {r[0]: r[1] for r in df.groupBy(by).count().limit(MOST_CLASSES + 1).collect()}
+    if len(total) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} values of {by}")
     share = F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(min(1.0, per_class / n))) for k, n in sorted(total.items())]) if total else F.lit(0.0)
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     return df.where(place < share), total

@@ -8,10 +8,11 @@ result is that of the whole chain. A document's language has the largest mean pr
 mean.
 
 The model is fitted in one task on a bounded sample (docs_per_language documents of each language, chosen by a hash of the
-id), cut into short pieces that are strung together across languages, which teaches the transitions. Its size is bounded by
-SLOTS, LEXICON and the number of languages.
+id, of those with at most MAX_CHARS characters; longer ones are labelled whole like all others), cut into short pieces that
+are strung together across languages, which teaches the transitions. Its size is bounded by SLOTS, LEXICON and the number of
+languages.
 
-Edge cases: a text that is null, empty or has no letter is `und` with score 0; a tie goes to the first language by code
+Words are runs of letters (Unicode category L). Edge cases: a text that is null, empty or has no letter is `und` with score 0; a tie goes to the first language by code
 point; with nothing to learn from, all is `und`; repeated rows get equal results; empty tables give empty results; extra
 columns are not read, whatever their names.
 """
@@ -30,10 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import P, hashed_sample, mix64, slices
 
-DOCS_PER_LANGUAGE, SLOTS, LEXICON = 500, 1 << 17, 20_000
+DOCS_PER_LANGUAGE, MAX_CHARS, SLOTS, LEXICON = 500, 200_000, 1 << 17, 20_000
 GRAMS, BLOCK = (1, 2, 3, 4), 64
 UNDEFINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_in(text: str) -> list[str]:
+    """The runs of letters. The pattern also lets number signs such as fractions through, which cut words here."""
+    found = _WORD.findall(text)
+    if "".join(found).isalpha() or not found:
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 class Features:
@@ -146,12 +155,16 @@ class Crf:
         words_at = np.minimum(start[:, None] + np.arange(BLOCK), len(code) - 1)
         local = psi[code[words_at]]
         real = np.arange(BLOCK) < size[:, None]
+        opens = nth == 0  # nothing comes before a text's first word, so no transition leads to it
         norm = lambda x: x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
         # Transfer matrix of each block: from the state before it to the one at its end.
         transfer = np.broadcast_to(np.eye(n), (len(text), n, n)).copy()
         for t in range(BLOCK):
             rows = np.flatnonzero(real[:, t])
-            transfer[rows] = norm((transfer[rows] @ step) * local[rows, t][:, None, :])
+            moved = transfer[rows] @ step
+            if t == 0:
+                moved[opens[rows]] = transfer[rows][opens[rows]]
+            transfer[rows] = norm(moved * local[rows, t][:, None, :])
         # Over the blocks of each text, in step: what comes in from the left and from the right.
         left, right = np.full((len(text), n), 1 / n), np.ones((len(text), n))
         at = np.cumsum(blocks) - blocks
@@ -164,7 +177,8 @@ class Crf:
         alpha, beta = np.empty((len(text), BLOCK, n)), np.empty((len(text), BLOCK, n))
         a = left
         for t in range(BLOCK):
-            a = np.where(real[:, t, None], norm((a @ step) * local[:, t]), a)
+            moved = np.where(opens[:, None], a, a @ step) if t == 0 else a @ step
+            a = np.where(real[:, t, None], norm(moved * local[:, t]), a)
             alpha[:, t] = a
         b = right
         for t in range(BLOCK - 1, -1, -1):
@@ -176,10 +190,11 @@ class Crf:
 
 def training_rows(docs: DataFrame, learn: Column, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, lang and text of the bounded sample."""
-    ids = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"))
+    ids = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= MAX_CHARS)).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"))
     chosen, _ = hashed_sample(ids, "lang", docs_per_language)
     # Bounded by docs_per_language a language, so the sample's ids may go to every executor.
-    texts = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= MAX_CHARS))
+    texts = texts.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
@@ -198,7 +213,7 @@ def fitted(sample: DataFrame) -> Crf | None:
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Crf | None:
     """Fits the field on (language, text) rows; None if no row has a word."""
     rng = np.random.default_rng(seed)
-    found = [(lang, w) for lang, text in rows if text and (w := WORD.findall(text))]
+    found = [(lang, w) for lang, text in rows if text and (w := words_in(text))]
     if not found:
         return None
     langs = sorted({lang for lang, _ in found})
@@ -226,7 +241,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Crf | None:
 
 def label_words(model: Crf, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
     """The words of the texts, their number in each, and the posteriors of all words."""
-    found = [WORD.findall(t) for t in texts]
+    found = [words_in(t) for t in texts]
     count = np.array([len(w) for w in found], dtype=np.int64)
     if not count.sum():
         return found, count, np.zeros((0, len(model.langs)))
