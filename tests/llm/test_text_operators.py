@@ -144,7 +144,7 @@ def test_winnowing(spark, docs, bucket_rows, monkeypatch):
         n, after = len(t) // 3, rows[(at + 1) % len(rows)][1]
         edits[i] = (t, t[: len(t) - n] + after[:n], after)
     words = sorted({w for x in edits.values() for t in x for w in re.findall(winnow.PIECE, t)})
-    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").bitwiseAND(F.lit(winnow.MOD - 1)).alias("h"))
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").bitwiseAND(F.lit(winnow.MOD)).alias("h"))
     hash_of = dict(hashed.collect())
     assert len(got) == len(rows)
     for i, (t, edited, after) in edits.items():

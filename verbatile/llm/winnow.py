@@ -42,7 +42,7 @@ def fingerprints(df: DataFrame, text: str, out: str, k: int = K, w: int = W) ->
         raise ValueError("w must be a power of two")
     a, b, keep = P + "a", P + "b", [c for c in df.columns]
     step = lambda d, column, *more: d.select(*keep, *more, column)
-    d = step(df, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x).bitwiseAND(F.lit(MOD - 1))).alias(a))
+    d = step(df, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x).bitwiseAND(F.lit(MOD))).alias(a))
     # A text of fewer than k words is filled up to one k-gram.
     d = step(d, F.when((F.size(a) > 0) & (F.size(a) < k), F.concat(F.col(a), F.array_repeat(F.lit(0).cast("bigint"), F.lit(k) - F.size(a)))).otherwise(F.col(a)).alias(a))
     # Doubling: the hash of 2n words from two of n; at the end single words until k.
