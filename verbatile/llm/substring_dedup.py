@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ WINDOW, MINI = 20, 4
 HOT, MOST_HOT = 4096, 1_000_000
 #: Bits of a packed minimiser that hold its place; rows handled at once in a bucket.
 PLACE_BITS, CHUNK_ROWS = 21, 30_000
+#: Of minimisers that are rare in a task the survey hears one in so many.
+RARE = 16
 
 
 class SuperKmers:
@@ -104,8 +107,12 @@ def survey(texts: DataFrame, window: int, mini: int, hot: int) -> tuple[np.ndarr
         values = np.concatenate(found)
         parts = repeats.task_parts(values)
         kinds, n = np.unique(values, return_counts=True)
-        often = n >= 8  # what is hot in the corpus is frequent in a task; a rare miss costs time only
-        keys, n = np.append(kinds[often].astype(np.int64), -1), np.append(n[often], len(values))
+        # Numbers of what is frequent in the task; of the rest one in RARE, drawn anew in each task, stands for RARE. An estimate
+        # is good enough here: it decides what is salted, not what is found.
+        salt = mix64(np.array([TaskContext.get().partitionId()], dtype=np.uint64))
+        often, drawn = n >= 8, mix64(kinds ^ salt) % np.uint64(RARE) == 0
+        n = np.where(often, n, n * RARE)
+        keys, n = np.append(kinds[often | drawn].astype(np.int64), -1), np.append(n[often | drawn], len(values))
         blank = [None] * len(keys)
         yield pa.RecordBatch.from_arrays(
             [pa.array([c for c, _ in parts] + blank, pa.int32()), pa.array([d for _, d in parts] + blank, pa.binary()), pa.array([None] * len(parts) + keys.tolist(), pa.int64()), pa.array([None] * len(parts) + n.tolist(), pa.int64())],
