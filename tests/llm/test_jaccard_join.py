@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from verbatile.llm import jaccard_join, signature_trees
+from verbatile.llm import jaccard_join, repeats, signature_trees
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,3 +94,25 @@ def test_signature_tree(two_sides):
     ]
     got = signature_trees.join(sets, np.arange(len(sets)), 80, other)
     assert groups(got) == groups(want) and len(got) < len(sets)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_joined_by_shingle(make_docs, monkeypatch, rounds):
+    """What the rounds leave is joined shingle by shingle, in pairs of blocks where a shingle has many classes."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    rows = corpus(3, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(make_docs(rows), group=4).collect()}
+    assert got == brute(rows)
+
+
+def test_tables_are_summed_in_a_tree(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    values = [r.integers(0, 60_000, 5_000).astype(np.uint64) for _ in range(9)]
+    told = [(c, d) for v in values for c, d in repeats.task_parts(v)]
+    parts = spark.createDataFrame(told, "chunk int, data binary").repartition(5)
+    once = repeats.table(parts)
+    monkeypatch.setattr(repeats, "STREAM_BYTES", 512)
+    monkeypatch.setattr(repeats, "STREAM_FAN", 4)
+    assert (repeats.table(parts) == once).all()
+    every, n = np.unique(np.concatenate(values), return_counts=True)
+    assert (repeats.maybe_repeated(once, every) == (n > 1)).all()

@@ -172,6 +172,16 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         at = to
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, many: int = 10_000) -> DataFrame:
+    """rows and their groups' other columns, joined by keys (not null). size: the groups' column with their number of rows, of
+    total in all. A group with more than one row in many is one of at most many: those are broadcast, so that no task gets all
+    rows of a large group."""
+    large = F.col(size) > total / many
+    first = rows.join(F.broadcast(groups.where(large)), keys)
+    rest = rows.join(F.broadcast(groups.where(large).select(*keys)), keys, "left_anti").join(groups.where(~large), keys)
+    return first.unionByName(rest)
+
+
 def dense_sum(parts: DataFrame, chunks: int, width: int) -> np.ndarray:
     """Sum of the arrays that tasks have emitted as rows (chunk int, data binary: zlib of width little-endian int64).
 

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, fresh_path, staged
+from .common import P, fresh_path, join_groups, staged
 
 #: Digests that one state store is sized for, and the most stores. A store has about 4 MB of files however little it holds, so
 #: their number follows the rows, not the shuffle partitions; it stays as it is for the life of a checkpoint.
@@ -127,15 +127,6 @@ def groups_of(docs: DataFrame, id_col: str, text_col: str, digest) -> tuple[Data
     return told, staged(update_state(spark, arrived, fresh_path(spark, "dedup-state"), max(8, min(MOST_STORES, rows // STORE_ROWS))), "dedup-groups"), rows
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows (with KEY) and their groups' other columns. A group of more than one row in MANY is one of at most MANY: those are
-    broadcast, and their rows are not dealt by key."""
-    many = F.col("group_size") > total / MANY
-    large = rows.join(F.broadcast(groups.where(many)), KEY)
-    small = rows.join(F.broadcast(groups.where(many).select(*KEY)), KEY, "left_anti").join(groups.where(~many), KEY)
-    return large.unionByName(small)
-
-
 def maybe_hit(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of texts (with KEY) whose group may have more than one row: a table of at most HIT_BITS bits, in pieces of 4 KB that
     meet the rows by the piece's number, tells those that surely have not. A full table rules out less, which costs time only."""
@@ -168,13 +159,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = _texts(docs, id_col, text_col, digest)
     clash = clashes(texts, groups)
     if digest is sha256_hex and clash.isEmpty():
-        return _result(with_groups(told.drop("file", "row"), groups, total), F.col("digest"))
+        return _result(join_groups(told.drop("file", "row"), groups, KEY, "group_size", total, MANY), F.col("digest"))
     # Digests that two texts share: their rows are grouped by digest and text. The others have their group's values.
     texts = texts.withColumn("sha", F.sha2(P + "text", 256))
     clashing = texts.join(clash, KEY, "left_semi")
     own = clashing.groupBy(*KEY, P + "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     again = clashing.join(own, [*KEY, P + "text"]).select("doc_id", "keep_id", "group_size", "sha")
-    rest = with_groups(texts.drop(P + "text").join(clash, KEY, "left_anti"), groups, total).select("doc_id", "keep_id", "group_size", "sha")
+    rest = join_groups(texts.drop(P + "text").join(clash, KEY, "left_anti"), groups, KEY, "group_size", total, MANY).select("doc_id", "keep_id", "group_size", "sha")
     return _result(rest.unionByName(again), F.col("sha"))
 
 

@@ -8,7 +8,8 @@
    classes tie them together; the connected components of these ties hold all links.
 3. Each component is joined by signature trees (see signature_trees), which give a forest of its links. A component beyond
    GROUP classes is first cut into blocks at random, which joins nearly all of its near copies; only what is still apart
-   from something that it shares a shingle with goes on, in smaller components or, if need be, in pairs of blocks.
+   from something that it shares a shingle with goes on, in smaller components. What is left after ROUNDS of that is joined
+   shingle by shingle: each one's classes together, in pairs of blocks where more than GROUP have it.
 4. Connected components of the links.
 
 No group is in one task, no pairs of a group are listed, and no candidate or link is left out.
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, signature_trees
-from .common import P, Words, mix64, slices, staged
+from .common import P, Words, join_groups, mix64, slices, staged
 from .components import components
 
 K, PERCENT = 5, 80
 #: Classes that are joined in one task at most; common shingles that are told apart (a bound of what is broadcast).
-GROUP, COMMON = 5_000, 200_000
+GROUP, ROUNDS, COMMON = 1_000, 3, 200_000
 #: Slots of the table of repeated shingles, as a power of two (64 MB of bits).
 TABLE_BITS = 29
 #: A shingle is a candidate for the common ones if that many texts of one task have it.
@@ -168,16 +169,25 @@ def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common:
     return staged(found.join(own, same).select("node", "n", "prefix", "set"), "join-candidates")
 
 
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (node) with label: that of labels, or the node itself."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def postings(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, label, shingle of prefix shingles whose nodes have different labels; m: the shingle's smallest node, members: their
+    number."""
+    told = labelled(found.select("node", F.explode("prefix").alias("shingle")), labels)
+    shared = told.groupBy("shingle").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return told.join(shared.where("lo < hi").select("shingle", "m", "members"), "shingle")
+
+
 def ties(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Edges between nodes that share a prefix shingle: each with the smallest node of the shingle. With labels, only
     shingles whose nodes have different ones count."""
-    postings = found.select("node", F.explode("prefix").alias("shingle"))
-    if labels is not None:
-        postings = postings.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        postings = postings.withColumn("label", F.col("node"))
-    shared = postings.groupBy("shingle").agg(F.min("node").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "m")
-    return staged(postings.join(shared, "shingle").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct(), "join-ties")
+    return staged(postings(found, labels).select(F.col("node").alias("a"), F.col("m").alias("b")).distinct(), "join-ties")
 
 
 def grouped(edges: DataFrame) -> DataFrame:
@@ -222,20 +232,18 @@ def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
         edges = ties(found, labels)
         if edges.isEmpty():
             break
-        groups = staged(grouped(edges), "join-members")
-        rows = groups.withColumnRenamed("label", "grp").join(found.select("node", "set"), "node")
-        if labels is not None:
-            rows = rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            rows = rows.withColumn("label", F.col("node"))
-        big = not groups.where(F.col("members") > group).isEmpty()
         blocks = F.ceil(F.col("members") / group)
         block = F.pmod(F.xxhash64("node", F.lit(rounds)), blocks)
-        if rounds < 3 or not big:
+        big = True
+        if rounds < ROUNDS:
             # Whole components, or random blocks of those that are too large.
+            groups = staged(grouped(edges), "join-members")
+            big = not groups.where(F.col("members") > group).isEmpty()
+            rows = labelled(groups.withColumnRenamed("label", "grp").join(found.select("node", "set"), "node"), labels)
             made = tree_links(rows.select("grp", block.alias("part"), "node", "label", F.lit(None).cast("int").alias("side"), "set"), percent)
         else:
-            # Pairs of blocks: (i, j) with i <= j as part i * blocks + j.
+            # By shingle. Pairs of blocks: (i, j) with i <= j as part i * blocks + j.
+            rows = postings(found, labels).withColumnRenamed("shingle", "grp").join(found.select("node", "set"), "node")
             pair = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.least(block, j) * blocks + F.greatest(block, j))
             spread = rows.select("grp", F.explode(pair).alias("part"), "node", "label", "set", block.alias("own"), blocks.alias("blocks"))
             low, high = F.floor(F.col("part") / F.col("blocks")), F.col("part") % F.col("blocks")
@@ -243,7 +251,7 @@ def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
             made = tree_links(spread.select("grp", "part", "node", "label", side.cast("int").alias("side"), "set"), percent)
         made = staged(made, "join-links")
         links = made if links is None else links.unionByName(made)
-        if rounds >= 3 or not big:
+        if rounds >= ROUNDS or not big:
             break
         # Components that were joined whole are done; the others go on with what the links have told.
         found = found.join(groups.where(F.col("members") > group).select("node"), "node")
@@ -258,12 +266,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     told = profiles(texts)
     rows = told.where("s1 IS NOT NULL").select("doc_id", "n", "s1", "s2")
     # A class for each set; nulls first, so that min() would skip them.
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"))
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
     found = candidates(texts, classes, repeats.table(told, TABLE_BITS), common_shingles(told), percent)
     linked = components(links_of(found, percent, group)).select("node", "label")
     met = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = met.groupBy("label").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("component_id"))
-    named = met.join(least, "label").select("s1", "s2", "component_id")
-    with_words = rows.where("n > 0").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = met.join(least, "label").select("s1", "s2", "copies", "component_id")
+    with_words = join_groups(rows.where("n > 0"), named, ["s1", "s2"], "copies", rows.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return with_words.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Slots of a table, as a power of two (16 MB of bits), and of the chunks in which they are summed.
 BITS, CHUNK_BITS = 27, 21
 
@@ -32,10 +34,15 @@ def task_parts(values: np.ndarray, bits: int = BITS) -> list[tuple[int, bytes]]:
     return [(c, zlib.compress(np.diff(local[a:b], prepend=np.int32(0)).astype("<i4").tobytes(), 1)) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
+#: Bytes of the tasks' parts that one stream sums.
+STREAM_BYTES, STREAM_FAN = 32 << 20, 64
+
+
 def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The bits, packed, from rows (chunk int, data binary) of all tasks. Each chunk is summed in one stream."""
+    """The bits, packed, from rows (chunk int, data binary) of all tasks. Each chunk is summed in streams of about STREAM_BYTES,
+    whose sums (counts up to 2, so of bounded size) are summed again, STREAM_FAN at a time, until one is left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -44,11 +51,27 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
                 more = at[1:][at[1:] == at[:-1]]
                 count[at] = np.minimum(count[at] + 1, 2)
                 count[more] = 2
-        for chunk, count in seen.items():
+        yield from seen.items()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, count in add(batches):
+            at = np.flatnonzero(count)
+            local = np.repeat(at, count[at]).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.diff(local, prepend=np.int32(0)).astype("<i4").tobytes(), 1)], pa.binary())], ["chunk", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, count in add(batches):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.packbits(count > 1).tobytes(), 1)], pa.binary())], ["chunk", "data"])
 
     out, width = np.zeros(1 << bits >> 3, dtype=np.uint8), 1 << CHUNK_BITS >> 3
-    summed = parts.where(F.col("data").isNotNull()).select("chunk", "data").repartition("chunk").mapInArrow(run, "chunk int, data binary")
+    told = parts.where(F.col("data").isNotNull()).select("chunk", "data")
+    size = told.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    streams = -(-size // (STREAM_BYTES * (1 << bits >> CHUNK_BITS)))
+    while streams > 1:
+        dealt = told.withColumn("stream", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(streams)))
+        told = staged(dealt.repartition("chunk", "stream").select("chunk", "data").mapInArrow(merge, "chunk int, data binary"), "table-sums")
+        streams = streams // STREAM_FAN
+    summed = told.repartition("chunk").mapInArrow(run, "chunk int, data binary")
     rows = summed.collect()
     while rows:  # each row is freed as it is read
         chunk, data = rows.pop()
