@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers those of all its modules."""
 
-from verbatile.plans import catalog, language, reports  # noqa: F401
+from verbatile.plans import catalog, language, reports, usage  # noqa: F401
