@@ -34,7 +34,7 @@ from .components import components
 
 K, PERCENT = 5, 80
 #: Classes that are joined in one task at most; common shingles that are told apart (a bound of what is broadcast).
-GROUP, ROUNDS, COMMON = 1_000, 3, 200_000
+GROUP, ROUNDS, COMMON = 5_000, 3, 200_000
 #: Slots of the table of repeated shingles, as a power of two (64 MB of bits).
 TABLE_BITS = 29
 #: A shingle is a candidate for the common ones if that many texts of one task have it.
