@@ -91,3 +91,49 @@ def test_sinks(spark, tmp_path):
     documents.write_partitions(parts, str(tmp_path / "p"), "n")
     documents.write_partitions(parts.where("n = 2").withColumn("t", F.lit("new")), str(tmp_path / "p"), "n")
     assert sorted(r.t for r in documents.read_partitions(spark, str(tmp_path / "p")).collect()) == ["One", "new"]
+
+
+def cues_of(spark, rows):
+    return spark.createDataFrame([("m", float(a), float(b), s, t) for a, b, s, t in rows], "k string, start double, end double, speaker string, text string")
+
+
+def rows_of(d):
+    return [(round(r.start, 3), round(r.end, 3), r.text) for r in sorted(d.collect(), key=lambda r: r.start)]
+
+
+def test_echoes_need_words_and_short_cues_join(spark):
+    d = cues_of(spark, [(0, 1, "a", "..."), (1.1, 2, "a", "Hello there"), (2.1, 2.9, "a", "hello THERE!"), (3, 3.05, "a", "Oh"), (3.1, 4, "a", "no"), (4, 4.05, "a", "Hm"), (4.1, 5, "b", "what")])
+    assert rows_of(folds.without_echoes(d, "k")) == [(0, 1, "..."), (1.1, 2.9, "Hello there"), (3, 4, "Oh no"), (4, 4.05, "Hm"), (4.1, 5, "what")]
+
+
+def test_short_cues_of_two_speakers_stay_apart(spark):
+    d = cues_of(spark, [(0, 2, "a", "First one"), (2, 2.2, "a", "Eh"), (2.2, 4, "b", "Second one")])
+    assert rows_of(folds.lengthened(d, "k")) == [(0, 2.2, "First one Eh"), (2.2, 4, "Second one")]
+    d = cues_of(spark, [(0, 2, "a", "First one"), (2, 2.2, "c", "Eh"), (2.2, 4, "b", "Second one")])
+    assert rows_of(folds.lengthened(d, "k")) == [(0, 2, "First one"), (2, 2.2, "Eh"), (2.2, 4, "Second one")]
+
+
+def test_fragments_and_continuations(spark):
+    d = cues_of(spark, [(0, 1, "a", "When he came,"), (1.5, 2, "a", "it rained."), (2.1, 2.3, "a", "Oh"), (2.5, 3, "b", "yes"), (3.1, 3.3, "b", "No")])
+    assert rows_of(folds.fragments(d, "k")) == [(0, 2.3, "When he came, it rained. Oh"), (2.5, 3.3, "yes No")]
+    d = cues_of(spark, [(0, 1, "a", "So we"), (1.5, 2, "a", "went home."), (2.1, 3, "a", "Then"), (2.9, 4, "b", "what?"), (40, 41, "b", "late")])
+    assert rows_of(folds.continued(d, "k")) == [(0, 2, "So we went home."), (2.1, 4, "Then what?"), (40, 41, "late")]
+
+
+def test_split_and_wrap(spark):
+    text = "One short sentence. " + "another word " * 8
+    d = cues_of(spark, [(0, 10, "a", text), (20, 50, "a", "long")])
+    got = rows_of(folds.split(d, "k", 60, 12.0, lambda c: [3.1]))
+    assert " ".join(t for _, _, t in got[:-3]).replace("  ", " ") == text.strip() and all(len(t) <= 60 for _, _, t in got)
+    assert got[0][0] == 0 and all(a[1] == b[0] for a, b in zip(got[:-3], got[1:-3])) and all(b - a <= 12 + 1e-9 for a, b, _ in got)
+    assert "".join(t for _, _, t in got[-3:]) == "long" and got[-1][1] == 50
+    assert folds.boundaries(0, 10, 2, [4.6, 9], 12) == [0, 4.6, 10]
+    assert folds.wrapped("a b", 42) == "a b" and folds.wrapped("aaaa bbbb cccc", 9) == "aaaa bbbb\ncccc" and folds.wrapped("aa bb cc dd", 2) == "aa bb cc dd"
+    assert folds.pieces("short, ") == ["short."]
+
+
+def test_rebalanced(spark):
+    d = cues_of(spark, [(0, 3, "a", "x"), (3, 3.4, "a", "y" * 20), (3.4, 5, "a", "z"), (9, 9.1, "a", "q" * 20)])
+    got = rows_of(folds.rebalanced(d, "k"))
+    assert got == [(0, 2.4, "x"), (2.4, 3.4, "y" * 20), (3.4, 5, "z"), (9, 9.1, "q" * 20)]
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))

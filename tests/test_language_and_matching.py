@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from verbatile.functions import cleanup, numbers
+from verbatile.functions import cleanup, headings, lines, numbers
 from verbatile.operators import matching, vocabulary
 
 
@@ -16,12 +16,12 @@ def one(spark, c):
 
 def test_cleanup(spark):
     get = lambda f, *x: one(spark, f(*map(F.lit, x)))
-    assert get(cleanup.without_emphasis, "**a b** and __c__, *d* snake_case_name 2*3*4") == "a b and c, d snake_case_name 2*3*4"
+    assert get(lines.without_emphasis, "**a b** and __c__, *d* snake_case_name 2*3*4") == "a b and c, d snake_case_name 2*3*4"
     assert get(cleanup.without_footnotes, "a[^1] b\n[^1]: foot\n    more\nc") == "a b\nc"
     assert [get(cleanup.digit_letters, x) for x in ("w0rd", "5ome", "4ab", "AB0C", "a1", "1s", "w00d", "he said 8ig")] == ["word", "some", "4ab", "AB0C", "a1", "1s", "w00d", "he said big"]
-    assert [get(cleanup.is_false_heading, x) for x in ("", "Chapter 1", "“Quoted", "lower", "Oh No!", "12:30", "The End", "3. One,")] == [True, False, True, True, True, True, False, False]
+    assert [get(headings.is_false_heading, x) for x in ("", "Chapter 1", "“Quoted", "lower", "Oh No!", "12:30", "The End", "3. One,", "Act 2 The Dawn,", "Preface,", "Glossary - terms,")] == [True, False, True, True, True, True, False, True, False, True, False]
     assert get(cleanup.speech_issues, "R&D <draft>") == ["XML_BRACKETS", "RAW_AMPERSAND"] and get(cleanup.speech_issues, "a &amp; “b") == ["UNBALANCED_CURLY_QUOTES"]
-    assert get(cleanup.mojibake_score, "Ã© �") == 3 and get(cleanup.is_all_caps, "THE END") and not get(cleanup.is_all_caps, "The END")
+    assert get(cleanup.mojibake_score, "Ã© �") == 3 and get(lines.is_capitals, "THE END") and not get(lines.is_capitals, "The END")
     assert one(spark, cleanup.speaks(F.array(F.lit("en-GB")), F.lit("en"))) and not one(spark, cleanup.speaks(F.array(F.lit("en-GB")), F.lit("fr")))
     assert one(spark, cleanup.digit_letters(F.lit(None).cast("string"))) is None
 

@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 MOJIBAKE = "Ã.|Â.|â€.|ï¬.|ðŸ."
 # Digits that scans give for letters.
 DIGITS = {"0": "o", "1": "l", "5": "s", "8": "b"}
-NUMBERED = r"(?i)^\[?(chapter|volume|part|book)\b|^\d+([.:)]\s|$)"
-NAMED = r"(?i)^(prologue|epilogue|interlude|afterword|foreword|introduction|preface|appendix)\b"
-#: Patterns of trimmed headings that are prose.
-PROSE = (
-    "^$", "^[“\"‘'—]", "[—,;:]$", "^[a-z]", r"^[A-Z][A-Za-z'’\-]*(\s+[A-Z][A-Za-z'’\-]*)?[.!?…]$",
-    r"^\d{1,2}:\d{2}(:\d{2})?(…|\.\.\.)?$",
-)
 
 
 def mojibake_score(c: Column) -> Column:
@@ -30,13 +23,6 @@ def spacing(c: Column) -> Column:
     return c
 
 
-def without_emphasis(c: Column) -> Column:
-    """Pairs of `**`, `__`, `*` and `_` that stand around words go."""
-    for mark in (r"\*\*", "__", r"\*", "_"):
-        c = F.regexp_replace(c, rf"(?<![\w*]){mark}([^*_\n]+){mark}(?![\w*])", "$1")
-    return c
-
-
 def without_footnotes(c: Column) -> Column:
     """Definitions with their indented lines, then references."""
     return F.regexp_replace(F.regexp_replace(c, r"(?m)^\[\^[^\]\n]+\]:[^\n]*\n?(?:[ \t]+\S[^\n]*\n?)*", ""), r"\[\^[^\]\n]+\]", "")
@@ -50,19 +36,6 @@ def digit_letters(c: Column) -> Column:
     return c
 
 
-def is_false_heading(c: Column) -> Column:
-    """Prose that a converter took for a heading: quoted, in lower case, cut off, exclaimed, or a time."""
-    t, prose = F.trim(c), F.lit(False)
-    for pattern in PROSE:
-        prose = prose | t.rlike(pattern)
-    return prose & ~t.rlike(NUMBERED) & ~t.rlike(NAMED)
-
-
-def is_all_caps(c: Column, words: int = 2, share: float = 0.85) -> Column:
-    letters = F.regexp_count(c, F.lit("[A-Za-z]"))
-    return (F.regexp_count(c, F.lit(r"\S+")) >= words) & (F.regexp_count(c, F.lit("[A-Z]")) > share * letters)
-
-
 def speech_issues(c: Column, letters: int = 4) -> Column:
     """What may hurt a speech engine in a chunk, as an array of codes."""
     n = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
@@ -70,7 +43,7 @@ def speech_issues(c: Column, letters: int = 4) -> Column:
     return F.array_compact(F.array(
         F.when(n < letters, F.concat(F.lit("LOW_ALPHA("), n.cast("string"), F.lit(")"))),
         F.when(c.rlike("[<>]"), "XML_BRACKETS"),
-        F.when(c.rlike(r"&(?!(?:#\d+|#x[0-9A-Fa-f]+|\w+);)"), "RAW_AMPERSAND"),
+        F.when(c.rlike(r"(?i)&(?!(?:#\d+|#x[0-9a-f]+|amp|lt|gt|quot|apos);)"), "RAW_AMPERSAND"),
         F.when(many("“") != many("”"), "UNBALANCED_CURLY_QUOTES"),
     ))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Ligatures and their letters; curly quotes, dashes and their plain forms.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
+# Unicode spaces.
 SPACES = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 
 
@@ -59,14 +60,6 @@ def is_speakable(c: Column, minimum: int = 4) -> Column:
     return alpha_count(c) >= minimum
 
 
-def is_ocr_noise(line: Column) -> Column:
-    """A line of 10 characters or more with few letters and a run of symbols, or mostly made of consonant clusters."""
-    t = F.trim(line)
-    n = F.length(t)
-    clusters = F.aggregate(F.regexp_extract_all(t, F.lit("(?i)[bcdfghjklmnpqrstvwxz]{8,}"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-    return (n >= 10) & (((alpha_count(t) / n < 0.12) & t.rlike(r"[^\p{L}\p{N}\s]{4,}")) | (clusters / n > 0.5))
-
-
 def is_stutter(token: Column) -> Column:
     """`W-What`: one or two letters that begin the word behind the hyphen."""
     lead, rest = F.regexp_extract(token, r"^([A-Za-z]{1,2})-([A-Za-z]+)$", 1), F.regexp_extract(token, r"^([A-Za-z]{1,2})-([A-Za-z]+)$", 2)

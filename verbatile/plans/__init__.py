@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers those of all its modules."""
 
-from verbatile.plans import catalog, cueing, language, reports, usage  # noqa: F401
+from verbatile.plans import catalog, cueing, language, repairing, reports, usage  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatile.functions import text as T
+from verbatile.functions.lines import is_scan_noise
 from verbatile.operators import corpus, intervals, records, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,11 +81,11 @@ def page_artifacts(spark, sf_dir):
 @query(f"""WITH documents AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'a @@#### $$%%%% b' ELSE '' END AS text FROM documents), l AS ({LINES}), m AS (SELECT doc_id, n AS line, trim(line) AS t FROM l), s AS (SELECT *, length(t) AS len,
 length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS alpha,
 coalesce(list_sum([length(x) FOR x IN regexp_extract_all(t, '(?i)[bcdfghjklmnpqrstvwxz]{{8,}}')]), 0) AS clusters FROM m)
-SELECT doc_id, line FROM s WHERE len >= 10 AND ((alpha / len < 0.12 AND regexp_matches(t, '[^\\p{{L}}\\p{{N}}\\s]{{4,}}')) OR clusters / len > 0.5)""")
+SELECT doc_id, line FROM s WHERE len >= 10 AND ((alpha / len < 0.12 AND regexp_matches(t, '[><~=|/@#^&]{{4,}}')) OR clusters / len > 0.5) AND NOT regexp_matches(t, '^#{{1,6}}\\s')""")
 def noise_lines(spark, sf_dir):
     noise = F.when(F.col("doc_id") % 3 == 0, "\na @@#### $$%%%% b").otherwise("")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", noise).alias("text"))
-    return corpus.lines(docs).where(T.is_ocr_noise(F.col("text"))).select("doc_id", "line")
+    return corpus.lines(docs).where(is_scan_noise(F.col("text"))).select("doc_id", "line")
 
 
 @query(f"""WITH l AS ({LINES}), f AS (SELECT doc_id, n AS line, n % 7 = 3 AS fence FROM l)

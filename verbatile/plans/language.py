@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verbatile.functions import cleanup, numbers
+from verbatile.functions import cleanup, headings, lines, numbers
 from verbatile.operators import corpus, matching, vocabulary
 from verbatile.plans.catalog import CUES, LINES, PATHS, TOKENS, cues, query, read, tree_rollup
 
@@ -27,12 +27,13 @@ def prose_cleanup(spark, sf_dir):
     return d.select("doc_id", F.sha2(cleanup.spacing(cleanup.without_footnotes(F.col("t"))), 256).alias("digest"), cleanup.mojibake_score(F.col("t")).alias("damage"))
 
 
-@query(f"""WITH l AS ({LINES}), t AS (SELECT trim(line, ' ') AS t, line FROM l)
-SELECT ({" OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in cleanup.PROSE)}) AND NOT regexp_matches(t, '{cleanup.NUMBERED}') AND NOT regexp_matches(t, '{cleanup.NAMED}') AS prose,
+@query(f"""WITH l AS ({LINES}), t AS (SELECT trim(line) AS t, line FROM l)
+SELECT t = '' OR (regexp_matches(t, '^[“"‘''—]') OR regexp_matches(t, '[—,;:]$') OR regexp_matches(t, '^[a-z]') OR regexp_matches(t, '^[A-Z][A-Za-z''’-]*(\\s+[A-Z][A-Za-z''’-]*)?[.!?…]$') OR regexp_matches(t, '^[0-9]{{1,2}}(:[0-9]{{2}}){{1,2}}(…|\\.\\.\\.)?$'))
+AND NOT regexp_matches(t, '(?i)^(chapter|story|part|book|volume|act|section)\\s+[0-9ivxlcdm]+') AS prose,
 len(regexp_extract_all(line, '\\S+')) >= 2 AND len(regexp_extract_all(line, '[A-Z]')) > 0.85 * len(regexp_extract_all(line, '[A-Za-z]')) AS capitals, count(*) AS n FROM t GROUP BY ALL""")
 def heading_checks(spark, sf_dir):
     d = corpus.lines(read(spark, sf_dir, "documents"))
-    return d.groupBy(cleanup.is_false_heading(F.col("text")).alias("prose"), cleanup.is_all_caps(F.col("text")).alias("capitals")).agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy(headings.is_false_heading(F.col("text")).alias("prose"), lines.is_capitals(F.col("text")).alias("capitals")).agg(F.count(F.lit(1)).alias("n"))
 
 
 MARKS = "array('', ' <b>', ' R&D', ' &amp;', ' “')"
