@@ -85,12 +85,12 @@ def test_language_id_edge_cases(make_docs):
 
 def test_separator_scan(make_docs):
     texts = ["one two", "", None, "three " * 500, "x", "", "<|endoftext|>", "ü" * 70]
-    docs = make_docs([(i * 5, t) for i, t in enumerate(texts)]).repartition(2)
+    docs = make_docs([(i * 5 or None, t) for i, t in enumerate(texts)]).repartition(2)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(BPE))}, special_tokens={})
     blocks, order = separators.write_token_files(docs, BPE, public_tokenizers.PATTERN, EOD, block_tokens=7)
     found = separators.scan(blocks, EOD)
     got = {r.doc_id: r.n_tokens for r in order.join(found, ["file", "nth"]).collect()}
-    assert got == {i * 5: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert got == {i * 5 or None: len(own.encode_ordinary(t or "")) for i, t in enumerate(texts)}
     assert all(r.terminated for r in found.collect())
     assert separators.count_tokens(make_docs([]), BPE, public_tokenizers.PATTERN, EOD).collect() == []
 
@@ -102,7 +102,8 @@ def test_raw_token_files(spark, tmp_path, size, monkeypatch):
     for name in ("a.bin", "b.bin", "c.bin"):
         ids = [EOD if r.random() < 0.2 else r.randrange(1000) for _ in range(r.randrange(1, 90))]
         (tmp_path / name).write_bytes(np.array(ids, dtype="<u2").tobytes())
-    got = sorted((r.file[-5:], r.nth, r.start, r.n_tokens, r.terminated) for r in separators.scan(separators.read_token_files(spark, str(tmp_path), size), EOD).collect())
+    read = lambda whole: sorted((r.file[-5:], r.nth, r.start, r.n_tokens, r.terminated) for r in separators.scan(separators.read_token_files(spark, str(tmp_path), size, whole=whole), EOD).collect())
+    got = read(separators.WHOLE)
     want = []
     for f in sorted(tmp_path.glob("*.bin")):
         start, nth, ids = 0, 0, np.fromfile(f, dtype="<u2")
@@ -112,7 +113,10 @@ def test_raw_token_files(spark, tmp_path, size, monkeypatch):
                 start, nth = i + 1, nth + 1
         if start < len(ids):
             want.append((f.name, nth, start, len(ids) - start, False))
-    assert got == want
+    assert got == want == read(20)  # and by byte ranges
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd number"):
+        read(separators.WHOLE)
 
 
 def test_toxicity_tells_classes_apart(spark, make_docs):

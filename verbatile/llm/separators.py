@@ -1,74 +1,117 @@
 """Token counts by a separator scan of flat, unindexed token files.
 
-A token file is a plain run of little-endian 16-bit ids, each document closed by the end-of-document id, and cut into blocks
-of equal size with no regard to documents. Every block is searched by itself, vectorised; a prefix scan over the blocks'
-sums (tokens, separators, place of the last separator) then stitches the documents that cross block boundaries. The scan has
-two levels (groups of blocks, then blocks), so that one huge file is not one task.
-
-Edge cases: an empty document (also a null text) is a separator only and has 0 tokens; tokens behind the last separator of a
-file are a document that isn't closed (terminated false); empty files and tables give no rows; ids of documents may repeat.
+A token file is a plain run of little-endian 16-bit ids, each document closed by the end-of-document id; nothing in it or
+beside it says where documents are. Spark's text writer makes such files on any file system: a document's ids are a line's
+bytes, and the line separator is the end-of-document id. For a scan a file is cut into blocks of equal size with no regard to
+documents. Every block is searched by itself, vectorised; a prefix scan over the blocks' sums (tokens, separators, place of
+the last separator) then stitches the documents that cross block boundaries. The scan has two levels (groups of blocks, then
+blocks), so that one huge file is not one task; files beyond WHOLE bytes are read by byte ranges.
+
+Which document is the nth of a file is told by a list of ids that the same task writes in the same order. A file holds what one
+task has encoded. Edge cases: an empty document (also a null text) is a separator only and has 0 tokens; tokens behind the last
+separator of a file are a document that isn't closed (terminated false); empty files and tables give no rows; ids of documents
+may repeat or be null; a file with an odd number of bytes is an error.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.fs  # noqa: F401  used as pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, read_ranks
-from .common import P, slices, staged
+from .common import P, fresh_path, slices, staged
 
 #: Tokens in a block, and blocks in a group of the scan.
 BLOCK_TOKENS, GROUP_BLOCKS = 1 << 16, 1 << 10
 
 
+#: Bytes up to which a file is read as one; larger ones are read by byte ranges, by a file system that Arrow knows.
+WHOLE = 256 << 20
+
+
 def write_token_files(docs: DataFrame, path: str, pattern: str, eod: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Encodes documents into token files, one for each partition, staged in the shared folder.
+    """Encodes documents into flat token files in the shared folder, one for each partition.
 
     Returns the files' blocks (file, block, data) and the order of the documents in them (file, nth, doc_id).
     """
-    tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    schema = "file int, block bigint, data binary, first bigint, ids array<bigint>"
+    spark, at = docs.sparkSession, fresh_path(docs.sparkSession, "token-files")
+    tokens = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, file, size = codec(tokens.value, pattern), TaskContext.get().partitionId(), 2 * block_tokens
-        close, rest, block, nth = np.array([eod], dtype="<u2").tobytes(), b"", 0, 0
-
-        def row(number: int | None, data: bytes | None, first: int | None, ids: list | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "data", "first", "ids"])
-
+        own, nth = codec(tokens.value, pattern), 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                flat = [rest]
-                for ids in own.encode(part.column(1).to_pylist()):
-                    flat += [x[3] for x in ids]
-                    flat.append(close)
-                rest = b"".join(flat)
-                full = len(rest) // size
-                for k in range(full):
-                    yield row(block + k, rest[k * size : (k + 1) * size], None, None)
-                block, rest = block + full, rest[full * size :]
-                yield row(None, None, nth, part.column(0).to_pylist())
-                nth += part.num_rows
-        if rest:
-            yield row(block, rest, None, None)
-
-    made = staged(docs.select(F.col(id_col).cast("bigint").alias(P + "id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "token-files")
-    order = made.where("ids IS NOT NULL").select("file", "first", F.posexplode("ids").alias("at", "doc_id")).select("file", (F.col("first") + F.col("at")).alias("nth"), "doc_id")
-    return made.where("data IS NOT NULL").select("file", "block", "data"), order
-
-
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The blocks (file, block, data) of raw token files under path, by any file system that Spark reads."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
+                n, made = part.num_rows, [b"".join(x[3] for x in ids) for ids in own.encode(part.column(1).to_pylist())]
+                ids = [struct.pack("<?q", i is not None, i or 0) for i in part.column(0).to_pylist()]
+                rows = pa.array(np.tile(np.arange(nth, nth + n), 2))
+                yield pa.RecordBatch.from_arrays([pa.array(["ids"] * n + ["tokens"] * n), rows, pa.array(ids + made, pa.binary())], ["kind", "nth", "data"])
+                nth += n
+
+    made = docs.select(F.col(id_col).cast("bigint").alias(P + "id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, nth bigint, data binary")
+    separator = np.array([eod], dtype="<u2").tobytes().decode("latin-1")
+    lines = made.sortWithinPartitions("kind", "nth").select("kind", F.col("data").cast("string").alias("value"))
+    lines.write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", separator).text(at)
+    number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
+    of = lambda kind: F.col("file").contains(f"/kind={kind}/")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0), batch.column(1), strict=True):
+                told = np.frombuffer(data.as_buffer(), dtype=np.dtype([("has", "?"), ("id", "<i8"), ("end", "<u2")]))
+                for k in range(0, len(told), 1 << 16):
+                    part = told[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(part), pa.int32()), pa.array(np.arange(k, k + len(part))), pa.array(part["id"], mask=~part["has"])], ["file", "nth", "doc_id"])
+
+    lists = _files(spark, at).where(of("ids")).select(number.alias("file"), "content")
+    blocks = read_token_files(spark, at, block_tokens, of("tokens"))
+    return blocks.withColumn("file", number), lists.mapInArrow(ids, "file int, nth bigint, doc_id bigint")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file, length, content of the files below path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("path").alias("file"), "length", "content").where(~F.col("file").rlike("/[._][^/]*$"))
+
+
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, chosen: Column | None = None, whole: int = WHOLE) -> DataFrame:
+    """The blocks (file, block, data) of flat token files below path, those that chosen (over file) names or all."""
+    found = _files(spark, path)
+    found = found if chosen is None else found.where(chosen)
     size = 2 * block_tokens
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))
-    cut = files.where("length > 0").select("file", "content", F.explode(blocks).alias("block"))
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
+
+    def check(file: str, length: int) -> None:
+        if length % 2:
+            raise ValueError(f"odd number of bytes: {file}")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = data.as_buffer()
+                check(file, len(data))
+                for k in range(0, len(data), size):
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // size], pa.int64()), pa.array([data[k : k + size].to_pybytes()], pa.binary())], ["file", "block", "data"])
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                check(file, length)
+                system, where = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with system.open_input_file(where) as f:
+                    data = f.read_at(min(size, length - block * size), block * size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+
+    schema = "file string, block bigint, data binary"
+    small = found.where((F.col("length") > 0) & (F.col("length") <= whole)).select("file", "content").mapInArrow(cut, schema)
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("block")
+    large = found.where(F.col("length") > whole).select("file", "length", number).repartition("file", "block").mapInArrow(ranged, schema)
+    return small.unionByName(large)
 
 
 def block_sums(blocks: DataFrame, eod: int) -> DataFrame:
@@ -121,6 +164,7 @@ def scan(blocks: DataFrame, eod: int) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, eod: int) -> DataFrame:
-    """Writes the documents as token files and finds them again by a scan: doc_id, file, nth, start, n_tokens."""
+    """Writes the documents as token files and finds them again by a scan: doc_id, file (the number of the task that wrote it), nth,
+    start, n_tokens."""
     blocks, order = write_token_files(docs, path, pattern, eod)
     return order.join(scan(blocks, eod).where("terminated"), ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens")
