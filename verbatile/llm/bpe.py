@@ -94,15 +94,20 @@ class Codec:
         self.byte = [rank_of[bytes([b])] for b in range(256)]
         #: Rank of the token that two tokens make, by their ranks.
         self.pair = {a << 32 | b: i for i, t in enumerate(tokens) for k in range(1, len(t)) if (a := rank_of.get(t[:k])) is not None and (b := rank_of.get(t[k:])) is not None}
+        #: The same of two bytes, by their values; and each id as decimal and as two bytes.
+        self.bytes = [self.pair.get(a << 32 | b, -1) for a in self.byte for b in self.byte]
+        self.decimal = list(map(str, range(len(tokens))))
+        self.short = [i.to_bytes(2, "little") for i in range(len(tokens))] if self.narrow else [b""] * len(tokens)
         self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: a heap of mergeable neighbours over a linked list of its bytes."""
-        byte, pair = self.byte, self.pair.get
+        byte, pair, two = self.byte, self.pair.get, self.bytes
         ids, n = [byte[b] for b in word], len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [pair(ids[i] << 32 | ids[i + 1], -1) for i in range(n - 1)] + [-1]
+        rank = [two[a << 8 | b] for a, b in zip(word, word[1:])]
         heap = [r << 40 | i for i, r in enumerate(rank) if r >= 0]
+        rank.append(-1)
         heapify(heap)
         while heap:
             top = heappop(heap)
@@ -137,7 +142,7 @@ class Codec:
                 ids = [rank]
             else:
                 ids = self.merge(data)
-            self.memo[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids), np.array(ids, dtype="<u2").tobytes() if self.narrow else b"")
+            self.memo[word] = (" ".join([self.decimal[i] for i in ids]), len(ids), self.decode(ids), b"".join([self.short[i] for i in ids]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
