@@ -259,3 +259,27 @@ def test_rescan_and_refresh(spark, tmp_path):
     put(tmp_path / "in", "2.json", '{"k": "a"}')
     run()
     assert rows(spark.read.parquet(str(tmp_path / "report")), "k", "count") == [("a", 2), ("b", 1)]
+
+
+def test_clusters_and_chunk_sizes(spark, tmp_path):
+    import numpy as np
+
+    from verbatile.operators import assembly
+    from verbatile.sources import logs
+
+    r = np.random.default_rng(3)
+    centres = np.eye(6)[:3]
+    vectors = np.concatenate([centres[k] + r.normal(0, 0.05, (12, 6)) for k in range(3)])
+    label = assembly.clusters(vectors, 6)
+    assert len(set(label.tolist())) == 3 and all(len(set(label[k * 12 : k * 12 + 12].tolist())) == 1 for k in range(3))
+    assert assembly.clusters(vectors[:2], 6).tolist() == [0, 0]
+    d = spark.createDataFrame([("m", i, [float(x) for x in v]) for i, v in enumerate(vectors)], "medium string, i int, v array<double>")
+    assert rows(assembly.speaker_clusters(d, "medium", "i", "v"), "i", "speaker") == sorted(((i, i // 12) for i in range(36)), key=str)
+    with pytest.raises(ValueError):
+        assembly.speaker_clusters(d, "medium", "i", "v", utterances=10)
+    sizes = []
+    assert passages.chunk_size(lambda n: sizes.append(n) or 10_000_000 // n, 2600, 1200, 6000, 1400) == 6000 and sizes == [2600, 3770, 5466, 6000]
+    assert passages.chunk_size(lambda n: 0, 2600, 1200, 6000, 1400) == 2600 and passages.chunk_size(lambda n: 10, 1300, 1200, 6000, 1400) == 1200
+    for name in ("a.PDF", "b.epub", "c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in logs.listing(spark, str(tmp_path), logs.DOCUMENTS).collect()] == ["a.PDF", "b.epub"]

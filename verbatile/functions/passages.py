@@ -298,3 +298,88 @@ def message_text(text: str) -> str | None:
     else:
         return None
     return " ".join(p for p in found if p) or None
+
+
+# Pictures that a converter has read, headings by underlines, replacements in speech
+
+PICTURE = re.compile(r"(?is)<!--\s*Start of picture text\s*-->.*?<!--\s*End of picture text\s*-->")
+
+
+def readable(text: str) -> bool:
+    """Whether a picture's text is language: enough words and letters; of eight lines or more few may be noise."""
+    dense = re.sub(r"\s", "", text)
+    if not dense:
+        return False
+    words = lambda x: re.findall(r"[A-Za-z][A-Za-z'’\-]{1,}", x)
+    share = lambda x: sum(map(str.isalpha, x)) / max(1, len(re.sub(r"\s", "", x)))
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    if len(lines) >= 8:
+        noisy = sum(len(words(x)) <= 1 or share(x) < 0.35 for x in lines)
+        good = sum(len(words(x)) >= 3 and share(x) >= 0.55 for x in lines)
+        if noisy >= 0.5 * len(lines) or good < 0.25 * len(lines):
+            return False
+    long_ = sum(len(w) >= 3 for w in words(text))
+    return long_ >= 3 and share(text) >= 0.45 or long_ >= 6 and sum(map(str.isalnum, text)) >= 0.55 * len(dense)
+
+
+def label_key(label: str) -> str:
+    """How labels of sections are compared: letters and digits in lower case, misspelt profiles put right, a series' name left out."""
+    key = re.sub("[^a-z0-9]+", " ", re.sub("[*_`]+", "", re.sub(r"^#{1,6}\s*", "", re.sub("(?i)</?u>", "", label).strip())).casefold()).strip()
+    key = re.sub(r"\bprofle(s?)\b", r"profile\1", key)
+    return re.sub(r"^[a-z0-9 ]+\s+(character profiles?)$", r"\1", key)
+
+
+def without_pictures(mode: str = "safe", excluded: tuple[str, ...] = ()) -> Callable[[str], str]:
+    """A function of texts: text read from pictures stays (`keep`), goes (`remove`), or stays where it is readable (`safe`). One that names a
+    section to be left out becomes that section's heading."""
+    if mode not in ("keep", "remove", "safe"):
+        raise ValueError(f"no such mode: {mode}")
+    keys = {label_key(x) for x in excluded}
+
+    def one(m: re.Match) -> str:
+        inner = re.sub(r"(?s)<!--.*?-->|</?[uU]>", "", re.sub(r"(?i)<br\s*/?>", "\n", m[0]))
+        inner = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", inner)).strip()
+        lines = [x.strip() for x in inner.split("\n") if x.strip()]
+        named = next((x for x in [*lines, " ".join(lines[:2])] if label_key(x) in keys), None)
+        if named:
+            return f"\n\n# {named}\n\n"
+        return f"\n\n{inner}\n\n" if inner and (mode == "keep" or mode == "safe" and readable(inner)) else ""
+
+    return lambda text: PICTURE.sub(one, text)
+
+
+def underlined_headings(text: str) -> str:
+    """Headings that are underlined with = or - in one form with those that are marked with #."""
+    return re.sub(r"(?m)^(?!\s*(?:#|>|\||[-*+] |\d+[.)] ))(\S[^\n]*)\n(=+|-+)[ \t]*$", lambda m: f"{'#' if m[2][0] == '=' else '##'} {m[1].strip()}", text)
+
+
+def respoken(replacements: dict[str, str]) -> Callable[[str], str]:
+    """A function of texts: hyphenated words that have a replacement get it in their capitals; then what a speech engine would take for
+    markup is escaped, once."""
+    import html
+
+    def one(m: re.Match) -> str:
+        new = replacements.get(m[0].casefold())
+        if new is None:
+            return m[0]
+        return new.upper() if m[0].isupper() else new[0].upper() + new[1:] if m[0][0].isupper() else new
+
+    return lambda text: html.escape(html.unescape(re.sub(r"\b[^\W\d_]+(?:-[^\W\d_]+)+\b", one, text)), quote=False)
+
+
+def chunk_size(count: Callable[[int], int], size: int, least: int, most: int, target: int, rounds: int = 6) -> int:
+    """A size of chunks for which their number (count) is about the target: it grows by 1.45 where there are far too many, by 1.22 where
+    there are too many, and shrinks by 0.88 where there are far too few, within its bounds."""
+    for _ in range(rounds):
+        n = count(size)
+        if not n:
+            break
+        new = size
+        if n > target and size < most:
+            new = min(most, int(size * (1.45 if n > int(target * 1.8) else 1.22)))
+        elif n < int(target * 0.35) and size > least:
+            new = max(least, int(size * 0.88))
+        if new == size:
+            break
+        size = new
+    return size

@@ -31,3 +31,14 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     """path and whole text of Markdown files; a byte-order mark is left out."""
     d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return d.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+# Endings of documents and of audio files that batches read.
+DOCUMENTS, AUDIO, MEDIA = ("pdf", "epub"), ("mp3", "wav", "m4a", "flac", "ogg", "aac"), ("mp3", "mp4")
+
+
+def listing(spark: SparkSession, path: str, endings: tuple[str, ...], recursive: bool = False) -> DataFrame:
+    """path, size, modified of files with one of the endings, in any case, in order of path; contents aren't read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return d.where(ending.isin(*endings)).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy(F.lower("path"), "path")
