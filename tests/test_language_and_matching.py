@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from verbatile.functions import cleanup, headings, lines, numbers
@@ -82,3 +83,34 @@ def test_repaired(spark):
     d = spark.createDataFrame([("m", 0.0, 0.1, "a", "hey"), ("m", 0.2, 2.0, "a", "hey you"), ("m", 1.5, 3.0, "b", "no"), ("m", 4.0, 4.1, "b", "ok")], "k string, start double, end double, speaker string, text string")
     got = sorted((r.start, r.end, r.text) for r in matching.repaired(d, "k").collect())
     assert got == [(0.0, 2.0, "hey you"), (4.0, 4.5, "ok")]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_edits_apart_of_short_and_long_words(spark, most):
+    r = random.Random(most)
+
+    def changed(w, n):
+        for _ in range(n):
+            k, how = r.randrange(len(w) + 1), r.randrange(4)
+            w = w[:k] + r.choice("abc") + w[k + (how == 1) :] if how < 2 else w[:k] + w[k + 1 :] if how == 2 else w[: max(0, k - 1)] + w[max(0, k - 1) : k + 1][::-1] + w[k + 1 :]
+        return w
+
+    base = ["".join(r.choice("abc") for _ in range(n)) for n in (1, 2, 3, 5, 8, 30, 31, 32, 33, 34, 40, 90)]
+    words = sorted({w for b in base for n in range(4) for w in [changed(b, n) for _ in range(6)] if w})
+    d = spark.createDataFrame([(w,) for w in words] + [(None,), ("",), (words[0],), ("x" * 20_000,)], "word string")
+    got = {(x.a, x.b): x.distance for x in matching.edits_apart(d, d, most).collect()}
+    assert got == {(a, b): n for a in words for b in words if a != b and abs(len(a) - len(b)) <= most and (n := matching.edits(a, b)) <= most}
+
+
+def test_intervals_of_any_length_meet(spark):
+    from verbatile.operators import intervals
+
+    r = random.Random(5)
+    make = lambda n: [("k", i, a, a + r.choice([0, 1, 30, 5_000, 10**6, 10**9])) for i in range(n) for a in [r.choice([0, -5, 10**6]) + r.random() * 100]]
+    left, right = make(60), make(60)
+    frame = lambda rows, name: spark.createDataFrame([(k, i, float(a), float(b)) for k, i, a, b in rows] + [("k", 999, 5.0, 1.0)], f"k string, {name} bigint, start double, end double")
+    got = {(x.lid, x.rid) for x in intervals.overlaps(frame(left, "lid"), frame(right, "rid"), "k", 1.0).collect()}
+    assert got == {(i, j) for _, i, a, b in left for _, j, c, d in right if min(b, d) - max(a, c) > 0}
+    points = spark.createDataFrame([("k", i, float(a)) for _, i, a, _ in left], "k string, lid bigint, at double")
+    held = {x.lid for x in intervals.containing(points, frame(right, "rid"), "k", 1.0).collect()}
+    assert held == {i for _, i, a, _ in left if any(c <= a <= d for _, _, c, d in right)}

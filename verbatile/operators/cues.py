@@ -110,9 +110,10 @@ def attached(words: DataFrame, cues: DataFrame, key: str, gap: float = 0.5, widt
     """For each word (key, lid, start, end) the cue (key, rid, start, end) whose ends its middle is nearest to (0 inside), at most gap
     away; the smallest rid on ties."""
     at = ((F.col("start") + F.col("end")) / 2).alias("at")
-    wide = cues.select(key, "rid", F.col("start").alias("rs"), F.col("end").alias("re"))
-    wide = wide.withColumn("cell", F.explode(F.sequence(F.floor((F.col("rs") - gap) / width), F.floor((F.col("re") + gap) / width))))
-    met = words.select(key, "lid", at).withColumn("cell", F.floor(F.col("at") / width)).join(wide, [key, "cell"])
+    wide = cues.where(F.col("start") <= F.col("end")).select(key, "rid", F.col("start").alias("rs"), F.col("end").alias("re"))
+    wide = intervals.gridded(wide, F.col("rs") - gap, F.col("re") + gap, width, False)
+    cell = F.floor(F.col("at") / (F.lit(float(width)) * F.pow(F.lit(float(intervals.COARSER)), F.col("grid"))))
+    met = words.select(key, "lid", at).withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(intervals.GRIDS - 1)))).withColumn("cell", cell).join(wide, [key, "grid", "cell"])
     far = F.when(F.col("at").between(F.col("rs"), F.col("re")), F.lit(0.0)).otherwise(F.least(F.abs(F.col("at") - F.col("rs")), F.abs(F.col("at") - F.col("re"))))
     best = met.withColumn("far", far).where(F.col("far") <= gap).groupBy(key, "lid").agg(F.min(F.struct("far", "rid")).alias("best"))
     return best.select(key, "lid", F.col("best.rid").alias("rid"), F.col("best.far").alias("far"))

@@ -25,14 +25,41 @@ def difference(source: DataFrame, covered: DataFrame, key: str) -> DataFrame:
     return union(parts, key)
 
 
+#: Grids of time: cells of each are so many times wider than those of the one before.
+COARSER, GRIDS = 64, 4
+
+
+def own_grid(length: Column, width: float) -> Column:
+    """The grid on which an interval of that length has at most COARSER + 1 cells (on the last one it may have more)."""
+    at = F.lit(GRIDS - 1)
+    for g in range(GRIDS - 2, -1, -1):
+        at = F.when(length <= width * COARSER ** (g + 1), g).otherwise(at)
+    return at
+
+
+def gridded(d: DataFrame, start: Column, end: Column, width: float, all_grids: bool) -> DataFrame:
+    """d with grid and cell: a row for each cell that start to end touches on its own grid, and with all_grids on all coarser ones, where
+    it has two at most. So a very long interval has few rows, and two intervals meet on the coarser of their grids."""
+    own = own_grid(end - start, width)
+    d = d.withColumn("__v_own", own)
+    grids = F.sequence(F.col("__v_own"), F.lit(GRIDS - 1)) if all_grids else F.array("__v_own")
+    d = d.withColumn("grid", F.explode(grids))
+    size = F.lit(float(width)) * F.pow(F.lit(float(COARSER)), F.col("grid"))
+    return d.withColumn("cell", F.explode(F.sequence(F.floor(start / size), F.floor(end / size))))
+
+
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
-    """Pairs of overlapping intervals with their overlap. Both sides are dealt to time buckets of the given width, so that
-    the join is on equality; the bucket of the later start owns a pair. left: key, lid, start, end; right: key, rid, start, end."""
-    cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    a = cells(left).withColumnsRenamed({"start": "ls", "end": "le"})
-    b = cells(right).withColumnsRenamed({"start": "rs", "end": "re"})
-    met = a.join(b, [key, "cell"]).withColumn("overlap", F.least("le", "re") - F.greatest("ls", "rs"))
-    return met.where((F.col("overlap") > 0) & (F.col("cell") == F.floor(F.greatest("ls", "rs") / width))).drop("cell")
+    """Pairs of overlapping intervals with their overlap. Both sides are dealt to cells of time of the given width, long ones to
+    wider ones, so that the join is on equality; of the grid that is the coarser of the two the cell of the later start owns a pair.
+    Intervals that end before they begin are left out. left: key, lid, start, end; right: key, rid, start, end."""
+    real = F.col("start") <= F.col("end")
+    cells = lambda d: gridded(d.where(real), F.col("start"), F.col("end"), width, True)
+    a = cells(left).withColumnsRenamed({"start": "ls", "end": "le", "__v_own": "__v_lown"})
+    b = cells(right).withColumnsRenamed({"start": "rs", "end": "re", "__v_own": "__v_rown"})
+    size = F.lit(float(width)) * F.pow(F.lit(float(COARSER)), F.col("grid"))
+    met = a.join(b, [key, "grid", "cell"]).withColumn("overlap", F.least("le", "re") - F.greatest("ls", "rs"))
+    mine = (F.col("grid") == F.greatest("__v_lown", "__v_rown")) & (F.col("cell") == F.floor(F.greatest("ls", "rs") / size))
+    return met.where((F.col("overlap") > 0) & mine).drop("cell", "grid", "__v_lown", "__v_rown")
 
 
 def most_overlap(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
@@ -68,10 +95,11 @@ def cue_checks(cues: DataFrame, key: str, longest: float = 12.0, shortest: float
 
 def containing(points: DataFrame, cues: DataFrame, key: str, width: float) -> DataFrame:
     """For each point (key, lid, at) the interval (key, rid, start, end) that holds it and whose centre is nearest (smallest
-    rid on ties); both sides are dealt to time buckets of the given width."""
-    a = points.withColumn("cell", F.floor(F.col("at") / width))
-    b = cues.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    met = a.join(b, [key, "cell"]).where(F.col("at").between(F.col("start"), F.col("end")))
+    rid on ties); both sides are dealt to cells of time of the given width, long intervals to wider ones."""
+    grids = F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1)))
+    a = points.withColumn("grid", grids).withColumn("cell", F.floor(F.col("at") / (F.lit(float(width)) * F.pow(F.lit(float(COARSER)), F.col("grid")))))
+    b = gridded(cues.where(F.col("start") <= F.col("end")), F.col("start"), F.col("end"), width, False)
+    met = a.join(b, [key, "grid", "cell"]).where(F.col("at").between(F.col("start"), F.col("end")))
     return met.groupBy(key, "lid").agg(F.min(F.struct(F.abs((F.col("start") + F.col("end")) / 2 - F.col("at")).alias("far"), "rid")).alias("best")).select(key, "lid", F.col("best.rid").alias("rid"))
 
 

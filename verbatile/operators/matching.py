@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,7 +99,7 @@ def assign(costs: DataFrame, by: str, left: str, right: str, cost: str) -> DataF
 
 
 def edits(a: str, b: str) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours, no place edited twice."""
+    """Insertions, deletions, substitutions and swaps of neighbours, no place edited twice. What tests compare with."""
     rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         row = [i]
@@ -114,34 +113,76 @@ def edits(a: str, b: str) -> int:
 
 
 _DELETE = "flatten(transform(v, w -> if(length(w) < 1, array(w), transform(sequence(1, length(w)), i -> concat(substring(w, 1, i - 1), substring(w, i + 1))))))"
+#: Letters from which words meet by pieces rather than by what deletions leave, of which a long word has very many.
+LONG = 32
+
+
+def _swap(x: str, y: str) -> str:
+    """SQL: whether y is x with two neighbours swapped."""
+    return f"(length({x}) = length({y}) AND length({x}) > 1 AND exists(sequence(1, greatest(length({x}) - 1, 1)), j -> concat(substring({x}, 1, j - 1), substring({x}, j + 1, 1), substring({x}, j, 1), substring({x}, j + 2)) = {y}))"
+
+
+def _one(x: str, y: str) -> str:
+    return f"(levenshtein({x}, {y}) = 1 OR {_swap(x, y)})"
+
+
+# A swap and another edit don't touch, so the other one is in what stands before the swap or behind it.
+_HEAD, _PAIR, _TAIL = "substring(a, 1, i - 1)", "concat(substring(a, i + 1, 1), substring(a, i, 1))", "substring(a, i + 2)"
+_BEHIND = f"(startswith(b, concat({_HEAD}, {_PAIR})) AND {_one(_TAIL, 'substring(b, i + 2)')})"
+_BEFORE = f"(endswith(b, concat({_PAIR}, {_TAIL})) AND {_one(_HEAD, 'substring(b, 1, length(b) - length(a) + i - 1)')})"
+_TWO = f"(levenshtein(a, b) = 2 OR (length(a) > 1 AND exists(sequence(1, greatest(length(a) - 1, 1)), i -> {_BEHIND} OR {_BEFORE})))"
+
+
+def _by_pieces(words: DataFrame, lexicon: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of long words that may be within most edits: of 2 * most + 1 pieces of a one stands unchanged in b, at most
+    so many places off, since an edit touches one piece, or two if it is a swap."""
+    n = 2 * most + 1
+    size = F.length("a")
+    begin = lambda k: F.floor(size * k / n).cast("int")
+    mine = F.array(*[F.struct(size.alias("size"), F.lit(k).alias("k"), F.substring(F.col("a"), begin(k) + 1, begin(k + 1) - begin(k)).alias("piece")) for k in range(n)])
+    a = words.select("a", F.explode(mine).alias("p"))
+    theirs = f"""flatten(transform(sequence(length(b) - {most}, length(b) + {most}), n -> flatten(transform(sequence(0, {n - 1}), k -> transform(sequence(-{most}, {most}), o ->
+        named_struct('size', n, 'k', k, 'piece', substring(b, greatest(int(floor(n * k / {n})) + o, 0) + 1, int(floor(n * (k + 1) / {n})) - int(floor(n * k / {n})))))))))"""
+    b = lexicon.select("b", F.explode(F.array_distinct(F.expr(theirs))).alias("p"))
+    return a.join(b, "p").select("a", "b")
 
 
 def edits_apart(words: DataFrame, lexicon: DataFrame, most: int = 2) -> DataFrame:
-    """a, b, distance: words (column word) and entries of lexicon within `most` edits, the word itself left out.
+    """a, b, distance: words (column word) and entries of lexicon within `most` (1 or 2) edits, the word itself left out. An edit is an
+    insertion, a deletion, a substitution or a swap of neighbours, and no place is edited twice.
 
-    Both sides tell what is left of them after up to `most` deletions and meet there, so nothing is compared with all."""
+    Both sides tell what is left of them after up to `most` deletions and meet there, words of LONG letters or more by unchanged pieces;
+    so nothing is compared with all. Null and empty words are left out, repeated ones count once."""
+    if most not in (1, 2):
+        raise ValueError("one edit or two")
 
     def side(d: DataFrame, name: str) -> DataFrame:
-        d = d.select(F.col("word").alias(name)).where("word IS NOT NULL").distinct().withColumn("v", F.array(name)).withColumn("all", F.col("v"))
+        return d.select(F.col("word").alias(name)).where(f"{name} <> ''").distinct()
+
+    def left(d: DataFrame, name: str) -> DataFrame:
+        d = d.withColumn("v", F.array(name)).withColumn("all", F.col("v"))
         for _ in range(most):
             d = d.withColumn("v", F.array_distinct(F.expr(_DELETE))).withColumn("all", F.array_union("all", "v"))
         return d.select(name, F.explode("all").alias("variant"))
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            d["distance"] = np.array([edits(a, b) for a, b in zip(d["a"], d["b"], strict=True)], dtype=np.int32)
-            yield d[d["distance"] <= most]
-
-    pairs = side(words, "a").join(side(lexicon, "b"), "variant").where("a <> b").select("a", "b").distinct()
+    a, b = side(words, "a"), side(lexicon, "b")
+    short = lambda d, name: left(d.where(F.length(name) < LONG + most), name)
+    pairs = short(a, "a").join(short(b, "b"), "variant").select("a", "b")
+    pairs = pairs.unionByName(_by_pieces(a.where(F.length("a") >= LONG), b.where(F.length("b") >= LONG), most)).where("a <> b").distinct()
     # A swap is two of Levenshtein's edits and keeps the length, so this only drops what can't be in.
-    return pairs.where(F.levenshtein("a", "b") <= 2 * most - F.abs(F.length("a") - F.length("b"))).mapInPandas(verify, "a string, b string, distance int")
+    near = pairs.where((F.levenshtein("a", "b", 2 * most) >= 0) & (F.abs(F.length("a") - F.length("b")) <= most))
+    distance = F.when(F.expr(_one("a", "b")), 1).when(F.expr(_TWO), 2)
+    return near.withColumn("distance", distance.cast("int")).where(F.col("distance") <= most)
 
 
 def checkpointed(d: DataFrame) -> DataFrame:
     """d, cut off by a checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where none is named (tests)."""
     sc = d.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(d.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verbatile-"))
+        path = d.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="verbatile-"))
     return d.checkpoint()
 
 

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_DELETES = "array_distinct(concat(array({w}), transform(sequence(1, length({w})), i -> concat(substring({w}, 1, i - 1), substring({w}, i + 1)))))"
-_SWAPPED = "length(a) = length(b) AND exists(sequence(1, length(a) - 1), i -> concat(substring(a, 1, i - 1), substring(a, i + 1, 1), substring(a, i, 1), substring(a, i + 2)) = b)"
-
+from verbatile.operators import matching
 
 def one_edit_apart(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """a of words and b of lexicon (column word in both; two letters or more) at distance 1: an insertion, deletion,
-    substitution or swap of neighbours. A word has one variant more than letters, so nothing is compared with all."""
-    side = lambda d, name: d.select(F.col("word").alias(name)).distinct().where(F.length(name) >= 2).select(name, F.explode(F.expr(_DELETES.format(w=name))).alias("variant"))
-    pairs = side(words, "a").join(side(lexicon, "b"), "variant").select("a", "b").where("a <> b").distinct()
-    return pairs.where(f"levenshtein(a, b) = 1 OR ({_SWAPPED})")
+    substitution or swap of neighbours. Nothing is compared with all, and words may be of any length."""
+    long_ = F.length("word") >= 2
+    return matching.edits_apart(words.where(long_), lexicon.where(long_), 1).drop("distance")
 
 
 def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
