@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, P, Words, mix64, slices, staged
 
-ROWS_PER_CLASS, CHARS_PER_CLASS, MAX_CHARS = 4_000, 16_000_000, 1_000_000
+ROWS_PER_CLASS, CHARS_PER_CLASS, MAX_CHARS = 4_000, 8_000_000, 200_000
 #: Least and greatest context length of the class models in the middle of a word.
 LOW, HIGH = 3, 5
 #: Dead zones to choose from (None: the plain mean), and folds of the choice.
@@ -69,17 +69,24 @@ class Letters:
     A character's context does not reach beyond its word's beginning mark, which counts as a character.
     """
 
-    def __init__(self, lines: str):
-        self.codes = np.frombuffer(("\n" + lines).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    def __init__(self, lines: str | np.ndarray):
+        """lines: each with a line feed at its end; or their code points, with one before them too."""
+        self.codes = np.frombuffer(("\n" + lines).encode("utf-32-le"), dtype="<i4") if isinstance(lines, str) else lines
         mark = self.codes == MARK
-        self.at = np.arange(1, len(self.codes))
-        begin = np.flatnonzero(mark)[:-1]
+        self.at = np.arange(1, len(self.codes), dtype=np.int32)
+        begin = np.flatnonzero(mark)[:-1].astype(np.int32)
         self.n_words = len(begin)
-        self.word = np.cumsum(mark)[:-1] - 1
+        self.word = np.cumsum(mark, dtype=np.int32)[:-1] - 1
         self.reach = self.at - begin[self.word] if len(begin) else self.at
         #: Where each word's characters begin, among all characters.
         self.first = begin
 
+    def parts(self, words: int = 20_000) -> Iterator[Letters]:
+        """The same words, some at a time."""
+        ends = np.append(self.first, len(self.codes) - 1)
+        for k in range(0, self.n_words, words):
+            yield Letters(self.codes[ends[k] : ends[min(k + words, self.n_words)] + 1])
+
     def before(self, k: int) -> np.ndarray:
         """The character k places before each; only to be used where reach is k or more."""
         return self.codes[np.maximum(self.at - k, 0)]
@@ -93,7 +100,7 @@ class Letters:
         h = np.full(len(self.at), 7, dtype=np.uint64)
         own = mix64(self.codes[1:].astype(np.uint64) + np.uint64(977))
         for k in range(1, HIGH + 1):
-            h = mix64(h * _STEP + self.before(k).astype(np.uint64) + np.uint64(1))
+            h = mix64(h * _STEP + (self.before(k).astype(np.uint64) + np.uint64(1)))
             yield k, (self.reach == k) | (self.reach > k) & (k >= LOW), h, mix64(h ^ own)
 
 
@@ -236,7 +243,7 @@ def sample_trigrams(rows: DataFrame, shared: DataFrame) -> DataFrame:
         for batch in batches:
             letters = Letters("".join(batch.column(0).to_pylist()))
             kinds, some = np.unique(keys_of(*letters.low(), letters.codes[1:]), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (*letters.low(), letters.codes[1:])], ["a", "b", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[some].astype(np.int64)) for v in (*letters.low(), letters.codes[1:])], ["a", "b", "x"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,9 +258,8 @@ class Sample:
     """The distinct words of learned texts, the texts as places in them, and the shared probability of every character."""
 
     def __init__(self, texts: list[tuple[str, np.ndarray]], shared: np.ndarray):
-        lists = [lines.split("\n")[:-1] for lines, _ in texts]
         place: dict[str, int] = {}
-        self.texts = [np.array([place.setdefault(w, len(place)) for w in ws], dtype=np.int64) for ws in lists]
+        self.texts = [np.array([place.setdefault(w, len(place)) for w in lines.split("\n")[:-1]], dtype=np.int32) for lines, _ in texts]
         self.times = [n for _, n in texts]
         self.letters = Letters("".join(w + "\n" for w in place))
         self.n_words = len(place)
@@ -273,23 +279,35 @@ class Sample:
         return np.bincount(np.concatenate([self.texts[k] for k in of] or [np.zeros(0, dtype=np.int64)]), minlength=self.n_words)
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, where one of each is, and the number of each key."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    ranked = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], number
+
+
 class Order:
     """The n-grams and contexts of one length among a sample's characters, numbered."""
 
     def __init__(self, k: int, has: np.ndarray, context: np.ndarray, gram: np.ndarray, reach: np.ndarray):
-        self.k, self.rows = k, np.flatnonzero(has)
-        self.grams, self.some, self.gram = np.unique(gram[self.rows], return_index=True, return_inverse=True)
-        self.contexts, of = np.unique(context[self.rows], return_inverse=True)
-        self.context = of[self.some]
+        self.k, self.rows = k, np.flatnonzero(has).astype(np.int32)
+        self.grams, some, self.gram = numbered(gram[self.rows])
+        self.some = some
+        self.contexts, _, of = numbered(context[self.rows][some])
+        self.context = of
         self.head = reach[self.rows] == k
-        self.longer, self.longer_of = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.longer, self.longer_of = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def extend(self, longer: Order) -> None:
         """What the n-grams of the next length, but for those at a word's beginning, shorten to."""
-        mine = np.full(max(int(self.rows.max(initial=-1)), int(longer.rows.max(initial=-1))) + 1, -1)
+        mine = np.full(max(int(self.rows.max(initial=-1)), int(longer.rows.max(initial=-1))) + 1, -1, dtype=np.int32)
         mine[self.rows] = self.gram
         of = mine[longer.rows[longer.some]]
-        self.longer, self.longer_of = np.flatnonzero(of >= 0), of[of >= 0]
+        self.longer, self.longer_of = np.flatnonzero(of >= 0).astype(np.int32), of[of >= 0]
 
     def counts(self, n: np.ndarray, longer: Order | None) -> np.ndarray:
         """Of each n-gram how often it stands in words that are counted n times (by character), or, if there are longer ones and
@@ -303,9 +321,8 @@ class Order:
 
 
 def class_model(sample: Sample, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each order: the probability of each of the sample's characters up to it, whether the class knows each of the order's
-    contexts, and its back-off weight."""
-    p, n = sample.base.copy(), count[sample.letters.word].astype(np.float64)
+    """Of each order: the probability of each of its n-grams, whether the class knows each of its contexts, and its back-off weight."""
+    p, n = sample.base.copy(), count[sample.letters.word].astype(np.float32)
     for order, longer in zip(sample.orders, [*sample.orders[1:], None], strict=True):
         c = order.counts(n, longer)
         cut = np.minimum(np.array([0.0, *discounts(*[float((c == j).sum()) for j in (1, 2, 3, 4)])])[np.minimum(c, 3).astype(np.int64)], c)
@@ -314,8 +331,9 @@ def class_model(sample: Sample, count: np.ndarray) -> Iterator[tuple[np.ndarray,
         weight = np.where(knows, np.bincount(order.context, weights=cut, minlength=len(order.contexts)) / np.maximum(total, 1), 1.0)
         own = (c - cut) / np.maximum(total, 1)[order.context]
         # Unknown contexts have weight 1 and no n-grams: what is shorter tells all.
-        p[order.rows] = weight[order.context[order.gram]] * p[order.rows] + own[order.gram]
-        yield p.copy(), knows, weight
+        p[order.rows] = weight[order.context][order.gram] * p[order.rows] + own[order.gram]
+        # What the n-grams tell, by one place of each.
+        yield p[order.rows[order.some]], knows, weight
 
 
 class Model:
@@ -326,9 +344,9 @@ class Model:
         used = (counts[0] + counts[1])[sample.letters.word] > 0
         self.orders: list[tuple[Table, Table]] = []
         for order, (p0, knows0, w0), (p1, knows1, w1) in zip(sample.orders, class_model(sample, counts[0]), class_model(sample, counts[1]), strict=True):
-            at = order.rows[order.some]
-            known = np.bincount(order.gram, weights=used[order.rows], minlength=len(order.grams)) > 0
-            ratio = (np.log(p1[at]) - np.log(p0[at])).astype(np.float32)
+            known = np.zeros(len(order.grams), dtype=bool)
+            known[order.gram[used[order.rows]]] = True
+            ratio = (np.log(p1) - np.log(p0)).astype(np.float32)
             met = knows0 | knows1
             back = (np.log(np.maximum(w1, 1e-12)) - np.log(np.maximum(w0, 1e-12))).astype(np.float32)
             self.orders.append((Table(order.grams[known], ratio[known]), Table(order.contexts[met], back[met])))
@@ -337,8 +355,9 @@ class Model:
 
     def ratios(self, letters: Letters) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        if not letters.n_words:
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *[self._ratios(part) for part in letters.parts()]])
+
+    def _ratios(self, letters: Letters) -> np.ndarray:
         told = np.zeros(len(letters.at))
         for (_, has, context, gram), (grams, contexts) in zip(letters.hashes(), self.orders, strict=True):
             # A known n-gram tells all; else the back-off from a known context adds to what the shorter ones told.
