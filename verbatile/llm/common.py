@@ -45,13 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_FRESH: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/verbatile-{name}-{uuid.uuid4().hex[:12]}"
     atexit.register(_remove, spark, path)
+    _FRESH.append(path)
     return path
 
 
+def given_paths() -> set[str]:
+    """The paths that fresh_path has given and that are still there."""
+    return set(_FRESH)
+
+
+def discard(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes paths that fresh_path has given. Only for a caller that has written all tables made from them."""
+    for path in paths & set(_FRESH):
+        _remove(spark, path)
+        _FRESH.remove(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():

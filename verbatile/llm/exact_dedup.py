@@ -132,7 +132,8 @@ def maybe_hit(texts: DataFrame, groups: DataFrame) -> DataFrame:
     meet the rows by the piece's number, tells those that surely have not. A full table rules out less, which costs time only."""
     hits = groups.where("group_size > 1").select(*KEY)
     pieces = max(1, min(HIT_BITS >> 15, 1 << max(0, (hits.count() * 16 >> 15).bit_length())))
-    place = F.pmod(F.xxhash64(*KEY), F.lit(pieces << 15))
+    # pieces is a power of two. A place is never null, so no filter on it is pushed below the digests, which would be made twice.
+    place = F.xxhash64(*KEY).bitwiseAND(F.lit((pieces << 15) - 1).cast("bigint"))
     bits = hits.groupBy(F.bitmap_bucket_number(place).alias(P + "piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(P + "bits"))
     at = F.bitmap_bit_position(F.col(P + "place"))
     met = texts.withColumn(P + "place", place).join(F.broadcast(bits), F.bitmap_bucket_number(F.col(P + "place")) == F.col(P + "piece"))
