@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatile.llm.bpe import encode_documents
-from verbatile.llm.common import P, fresh_path, staged
+from verbatile.llm.common import P, discard, fresh_path, given_paths, staged
 from verbatile.llm.exact_dedup import kept_documents
 from verbatile.llm.jaccard_join import jaccard_components
 from verbatile.llm.lid_crf import UNDEFINED, identify
@@ -58,8 +58,10 @@ STAGES = [("language_id", language_id), ("exact_dedup", exact_duplicates), ("ngr
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = given_paths()
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, given_paths() - before - {path})  # what the stage has written on its way, and the input it has read
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
