@@ -86,30 +86,20 @@ def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_T
     found = found if chosen is None else found.where(chosen)
     size = 2 * block_tokens
 
-    def check(file: str, length: int) -> None:
-        if length % 2:
-            raise ValueError(f"odd number of bytes: {file}")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = data.as_buffer()
-                check(file, len(data))
-                for k in range(0, len(data), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k // size], pa.int64()), pa.array([data[k : k + size].to_pybytes()], pa.binary())], ["file", "block", "data"])
-
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                check(file, length)
                 system, where = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
                 with system.open_input_file(where) as f:
                     data = f.read_at(min(size, length - block * size), block * size)
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
 
     schema = "file string, block bigint, data binary"
-    small = found.where((F.col("length") > 0) & (F.col("length") <= whole)).select("file", "content").mapInArrow(cut, schema)
-    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("block")
+    even = F.when(F.col("length") % 2 == 1, F.raise_error(F.concat(F.lit("odd number of bytes: "), "file")).cast("bigint")).otherwise(F.col("length"))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((even - 1) / size))).alias("block")
+    # Cut in the JVM, so that a whole file is never in a Python worker.
+    small = found.where((F.col("length") > 0) & (F.col("length") <= whole)).select("file", "content", number)
+    small = small.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
     large = found.where(F.col("length") > whole).select("file", "length", number).repartition("file", "block").mapInArrow(ranged, schema)
     return small.unionByName(large)
 
