@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbatile.functions import passages
 from verbatile.operators import assembly as A
-from verbatile.operators import corpus, telemetry
+from verbatile.operators import corpus, matching, telemetry
 from verbatile.plans.catalog import CUES, cues, query, read
 from verbatile.plans.repairing import dealt, examples
 from verbatile.plans.reports import MD_LINES, md_lines
@@ -66,7 +66,7 @@ DIRTY = [
 def cleaned_documents(spark, sf_dir):
     docs = dealt(spark, sf_dir, DIRTY).withColumnRenamed("t", "text")
     kinds = docs.select("text").distinct().withColumn("doc_id", F.xxhash64("text"))
-    made, told = A.cleaned(kinds, A.cleaning())
+    made, told = A.cleaned(kinds, A.cleaning(), matching.checkpointed)
     steps = told.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("stage")), ",").alias("steps"))
     out = kinds.select("doc_id", F.col("text").alias("given")).join(made, "doc_id").join(steps, "doc_id", "left").select("given", F.col("text").alias("made"), F.coalesce("steps", F.lit("")).alias("steps"))
     return docs.join(F.broadcast(out), F.col("text") == F.col("given")).select("doc_id", F.col("made").alias("text"), "steps")
