@@ -239,3 +239,42 @@ def unique_names(files: DataFrame, folder: str, name: str, order: str) -> DataFr
     free = F.filter(F.sequence(F.lit(2), F.col("__v_nth") + F.size(taken) + 1), lambda k: ~F.array_contains(taken, k))
     new = F.when(F.col("__v_nth") == 1, F.col(name)).otherwise(F.concat("__v_stem", F.lit(" ("), F.get(free, F.col("__v_nth") - 2).cast("string"), F.lit(")"), "__v_end"))
     return d.withColumn("unique", new).drop(*[c for c in d.columns if c.startswith("__v_")])
+
+
+#: Endings that scans tear off.
+TORN = ("tion", "tions")
+
+
+def evaluated(pairs: DataFrame, lexicon: DataFrame, accepted: DataFrame, rejected: DataFrame, candidates: DataFrame, least_zipf: float = 2.5, least_frequency: int = 1000) -> DataFrame:
+    """pairs (left, right, previous, following) with kind, replacement and confidence of the first rule that fits: `rejected` and `blocked` by
+    a review (no replacement), `reviewed`, `acronym` (none), `protected` term, `suppressed` (none) or `candidate` of the candidate store
+    (broken, replacement, suppressed), evidence for the joined form (`corpus`) or what it derives from (`plural`, `adverb`, `out-verb`), a
+    torn `suffix`; else `open`. lexicon: word (lower case, once), frequency, zipf, known, protected."""
+    d = decided(pairs, accepted, rejected)
+    low_l, low_r = F.lower("left"), F.lower("right")
+    whole = F.concat(low_l, low_r)
+    asked = {
+        "__l": low_l, "__r": low_r, "__w": whole, "__p": F.when(whole.endswith("s"), F.substring(whole, F.lit(1), F.length(whole) - 1)), "__a": F.when(whole.endswith("ly"), F.substring(whole, F.lit(1), F.length(whole) - 2)),
+        "__o": F.when(F.length(F.regexp_extract(whole, "^out(.{3,}?)(?:ed|ing)$", 1)) >= 3, F.regexp_extract(whole, "^out(.{3,}?)(?:ed|ing)$", 1)),
+    }
+    d = d.withColumns({"__v" + k: c for k, c in asked.items()})
+    for k in asked:
+        x = lexicon.select(F.col("word").alias("__w" + k), *[F.col(c).alias(f"__v{k}_{c}") for c in ("frequency", "zipf", "known", "protected")])
+        d = d.join(x, F.col("__v" + k) == F.col("__w" + k), "left").drop("__w" + k)
+    store = candidates.select(F.lower("broken").alias("__v_broken"), F.col("replacement").alias("__v_cand"), F.coalesce("suppressed", F.lit(False)).alias("__v_supp"))
+    d = d.join(store, pair_key(F.col("left"), F.col("right")) == F.col("__v_broken"), "left")
+    flag = lambda k, c: F.coalesce(F.col(f"__v{k}_{c}"), F.lit(False))
+    strong = lambda k: F.coalesce((F.col(f"__v{k}_zipf") >= least_zipf) | (F.col(f"__v{k}_frequency") >= least_frequency), F.lit(False))
+    acronym = lambda c: (F.length(c) > 1) & (F.col(c) == F.upper(c)) & (F.col(c) != F.lower(c))
+    both_protected, both_known = flag("__l", "protected") & flag("__r", "protected"), flag("__l", "known") & flag("__r", "known")
+    free = ~both_protected & ~both_known
+    torn = low_r.isin(*TORN) & (F.length("left") >= 4) & ~flag("__l", "known") & ~flag("__r", "known")
+    kind = (
+        F.when(F.col("decision").isin("rejected", "blocked"), F.col("decision")).when(F.col("decision") == "accepted", "reviewed").when(acronym("left") | acronym("right"), "acronym").when(flag("__w", "protected"), "protected")
+        .when(F.coalesce("__v_supp", F.lit(False)), "suppressed").when(~both_protected & F.col("__v_cand").isNotNull(), "candidate").when(free & strong("__w"), "corpus").when(free & strong("__p"), "plural")
+        .when(free & strong("__a"), "adverb").when(free & strong("__o"), "out-verb").when(free & torn, "suffix").otherwise("open")
+    )
+    joined = F.concat("left", "right")
+    new = F.when(kind == "reviewed", F.col("replacement")).when(kind == "candidate", cased(joined, F.col("__v_cand"))).when(~kind.isin("rejected", "blocked", "acronym", "suppressed", "open"), joined)
+    out = d.withColumns({"kind": kind, "made": new})
+    return out.select(*pairs.columns, "kind", F.col("made").alias("replacement"), F.when(F.col("made").isNotNull(), 97.0).alias("confidence"))
