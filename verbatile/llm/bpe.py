@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import P, hash_spans, mix64, slices
 
 #: Pre-tokens that a worker remembers; beyond it the memory is emptied and filled anew (speed only, results are the same).
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 400_000
 #: Slots per key at each level of the perfect hash.
 GAMMA = 2
 
@@ -98,7 +98,8 @@ class Codec:
         self.bytes = [self.pair.get(a << 32 | b, -1) for a in self.byte for b in self.byte]
         self.decimal = list(map(str, range(len(tokens))))
         self.short = [i.to_bytes(2, "little") for i in range(len(tokens))] if self.narrow else [b""] * len(tokens)
-        self.memo: dict[str, tuple[str, int, bytes, bytes]] = {}
+        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.shorts: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a pre-token: a heap of mergeable neighbours over a linked list of its bytes."""
@@ -133,33 +134,42 @@ class Codec:
             i = after[i]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Fills the memory with distinct pre-tokens."""
+    def ids(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of distinct pre-tokens."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         slots = self.perfect(hash_spans(*packed(raw))).tolist() if raw else []
-        for word, data, slot in zip(words, raw, slots, strict=True):
-            if slot >= 0 and self.tokens[rank := self.by_slot[slot]] == data:
-                ids = [rank]
-            else:
-                ids = self.merge(data)
-            self.memo[word] = (" ".join([self.decimal[i] for i in ids]), len(ids), self.decode(ids), b"".join([self.short[i] for i in ids]))
+        for data, slot in zip(raw, slots, strict=True):
+            yield [rank] if slot >= 0 and self.tokens[rank := self.by_slot[slot]] == data else self.merge(data)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes, bytes]]]:
-        """For each text its pre-tokens' ids (decimal, joined by one space), their number, the decoded bytes, and the ids as
-        little-endian 16-bit numbers if the vocabulary has room in those."""
+    def _remembered(self, texts: list[str], memo: dict, kept: Callable[[list[int]], object]) -> list[list[str]]:
+        """The pre-tokens of each text; memo then has what is kept of the ids of all of them."""
         found = [self.find(t) for t in texts]
-        new = set().union(*found).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo.clear()
+        new = set().union(*found).difference(memo)
+        if len(memo) + len(new) > MEMO_ENTRIES:
+            memo.clear()
             new = set().union(*found)
-        self.learn(list(new))
-        memo = self.memo
-        for words in found:
+        words = list(new)
+        for word, ids in zip(words, self.ids(words), strict=True):
+            memo[word] = kept(ids)
+        return found
+
+    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+        """For each text its pre-tokens' ids (decimal, joined by one space) and decoded bytes."""
+        decimal, memo = self.decimal, self.memo
+        for words in self._remembered(texts, memo, lambda ids: (" ".join([decimal[i] for i in ids]), self.decode(ids))):
             yield [memo[w] for w in words]
 
+    def encode_short(self, texts: list[str]) -> Iterator[bytes]:
+        """For each text its ids as little-endian 16-bit numbers, which the vocabulary must have room in."""
+        if not self.narrow:
+            raise ValueError("the vocabulary has more than 2^16 tokens")
+        short, memo = self.short, self.shorts
+        for words in self._remembered(texts, memo, lambda ids: b"".join([short[i] for i in ids])):
+            yield b"".join(map(memo.__getitem__, words))
+
 
 @lru_cache(maxsize=2)
 def codec(tokens: tuple[bytes, ...], pattern: str) -> Codec:
@@ -181,8 +191,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             for part in slices(batch, "text", 1 << 20):
                 count, ids_sha, out_sha, ids_all, texts = [], [], [], [], []
                 for got in own.encode(part.column(1).to_pylist()):
-                    line, raw = " ".join([x[0] for x in got]), b"".join([x[2] for x in got])
-                    count.append(sum([x[1] for x in got]))
+                    line, raw = " ".join([x[0] for x in got]), b"".join([x[1] for x in got])
+                    count.append(line.count(" ") + 1 if got else 0)
                     ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
                     out_sha.append(hashlib.sha256(raw).hexdigest())
                     if with_ids:

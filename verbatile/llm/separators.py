@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, eod: int, id_col
         own, nth = codec(tokens.value, pattern), 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                n, made = part.num_rows, [b"".join(x[3] for x in ids) for ids in own.encode(part.column(1).to_pylist())]
+                n, made = part.num_rows, list(own.encode_short(part.column(1).to_pylist()))
                 ids = [struct.pack("<?q", i is not None, i or 0) for i in part.column(0).to_pylist()]
                 rows = pa.array(np.tile(np.arange(nth, nth + n), 2))
                 yield pa.RecordBatch.from_arrays([pa.array(["ids"] * n + ["tokens"] * n), rows, pa.array(ids + made, pa.binary())], ["kind", "nth", "data"])
