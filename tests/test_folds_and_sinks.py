@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from verbatile.functions import narration
+from verbatile.functions import narration, passages
 from verbatile.functions import text as T
 from verbatile.operators import folds, markdown, records, spelling
 from verbatile.sinks import documents
@@ -50,8 +50,8 @@ def test_chunks(text):
 
 def test_text(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(narration.mojibake(F.lit("cafÃ©\nplain é"))) == "café\nplain é"
-    assert one(narration.nfkc(F.lit("ﬁ①"))) == "fi1" and one(narration.nfkc(F.lit(None).cast("string"))) is None
+    assert passages.undamaged("cafÃ©\nplain é") == "café\nplain é" and passages.undamaged("plain é") == "plain é"
+    assert passages.normal_form("NFKC")("ﬁ①") == "fi1"
     assert one(narration.paragraphs(F.lit("a\nword\n# Head\n***\n\nlast"))) == ["a word", "Head", "last"]
     assert one(T.repeated_letters(F.lit("aaa III bb ttttt"))) == "a III bb t"
     assert one(T.page_ranges(F.lit("1-3, 7,2"))) == [0, 1, 2, 6]

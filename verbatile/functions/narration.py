@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,31 +45,3 @@ def speech_chunks(c: Column, limit: int = 400, least: int = 40) -> Column:
         return texts.map(lambda t: None if t is None else chunks_of(t, limit, least))
 
     return run(c)
-
-
-def nfkc(c: Column) -> Column:
-    """The compatibility form; text that is ASCII skips Python."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-    return F.when(c.rlike(r"[^\x00-\x7F]"), run(c)).otherwise(c)
-
-
-def repaired(text: str) -> str:
-    """UTF-8 that was once read as Windows-1252, read right; other text is unchanged."""
-    try:
-        return text.encode("cp1252").decode("utf-8")
-    except UnicodeError:
-        return text
-
-
-def mojibake(c: Column) -> Column:
-    """Lines with the marks of UTF-8 read as Windows-1252 are read again."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "\n".join(map(repaired, t.split("\n"))))
-
-    return F.when(c.rlike("[ÂÃâ][\u0080-¿€-™]"), run(c)).otherwise(c)

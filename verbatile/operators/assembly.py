@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from verbatile.functions import headings, lines, passages, subtitles
 from verbatile.functions import text as T
 from verbatile.operators import corpus, folds, markdown, repair
+from verbatile.operators.records import few
 from verbatile.sinks import stores
 
 #: Block types whose neighbouring lines are one block.
@@ -41,7 +42,7 @@ def fused(parts: DataFrame, accepted: DataFrame) -> DataFrame:
     d = d.withColumns({"tail": F.lower(tail), "head": head})
     pair = accepted.select(F.lower("left").alias("__v_l"), F.lower("right").alias("__v_r"), F.col("replacement").alias("__v_new"))
     sits = (F.col("type") == "paragraph") & (F.col("t1") == "blank") & (F.col("t2") == "paragraph")
-    d = d.join(F.broadcast(pair), sits & (F.col("tail") == F.col("__v_l")) & (F.col("head") == F.col("__v_r")), "left")
+    d = d.join(pair, sits & (F.col("tail") == F.col("__v_l")) & (F.col("head") == F.col("__v_r")), "left")
     joins = F.col("__v_new").isNotNull()
     before, two = F.lag(joins, 1).over(along), F.lag(joins, 2).over(along)
     head_gone = F.coalesce(two, F.lit(False))
@@ -198,7 +199,7 @@ def found_voices(hints: DataFrame, voices: DataFrame, aliases: dict[str, str]) -
     none does."""
     key = voice_key(F.col("hint"))
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else F.create_map().cast("map<string,string>")
-    met = hints.join(F.broadcast(voices.select("voice").limit(100_000)), F.contains(voice_key(F.col("voice")), key) & (key != ""), "left")
+    met = hints.join(few(voices.select("voice")), F.contains(voice_key(F.col("voice")), key) & (key != ""), "left")
     best = met.groupBy("hint").agg(F.min(F.struct(voice_key(F.col("voice")) != key, "voice"))["voice"].alias("found"))
     return best.select("hint", F.coalesce(F.try_element_at(table, key), "found").alias("voice"))
 

@@ -135,7 +135,7 @@ def merged_inline(tokens: DataFrame, decisions: DataFrame, key: str, order: str)
     along = Window.partitionBy(key).orderBy(order)
     d = tokens.withColumns({"__v_next": F.lead("token").over(along), "__v_nth": F.row_number().over(along)})
     made = decisions.select(F.lower("left").alias("__v_l"), F.lower("right").alias("__v_r"), F.col("replacement").alias("__v_new"), F.col("rank").alias("__v_rank"))
-    d = d.join(F.broadcast(made), (F.lower("token") == F.col("__v_l")) & (F.lower("__v_next") == F.col("__v_r")), "left").drop("__v_l", "__v_r")
+    d = d.join(made, (F.lower("token") == F.col("__v_l")) & (F.lower("__v_next") == F.col("__v_r")), "left").drop("__v_l", "__v_r")
     # Runs of candidate pairs that overlap: within one, peaks of rank are taken first, then what they leave.
     for _ in range(3):
         rank = F.col("__v_rank")
@@ -158,7 +158,7 @@ def confusions(tokens: DataFrame, rules: DataFrame, key: str, order: str) -> Dat
     d = tokens.withColumns({"__v_p": F.lower(F.lag("token").over(along)), "__v_f": F.lower(F.lead("token").over(along))})
     low = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower)
     r = rules.select(F.lower(F.trim("source")).alias("__v_s"), "suggestion", low("previous").alias("__v_rp"), low("following").alias("__v_rf"), F.coalesce("confidence", F.lit(60.0)).alias("confidence")).where("__v_s <> '' AND suggestion <> ''")
-    met = d.join(F.broadcast(r), F.lower("token") == F.col("__v_s"))
+    met = d.join(r, F.lower("token") == F.col("__v_s"))
     near = F.coalesce(F.array_contains("__v_rp", F.col("__v_p")), F.lit(False)) | F.coalesce(F.array_contains("__v_rf", F.col("__v_f")), F.lit(False))
     return met.where(near).select(key, order, "token", "suggestion", "confidence")
 

@@ -34,10 +34,3 @@ def without_sections(rows: DataFrame, names: list[str]) -> DataFrame:
     d = block_types(rows)
     d = corpus.forward_fill(d, "doc_id", "line", F.when(F.col("block") == "heading", heading_key(F.col("text"))), "section")
     return d.where(~F.coalesce(F.col("section").isin(names), F.lit(False))).drop("section")
-
-
-def periodic_lines(rows: DataFrame, occurrences: int = 3, gap: int = 12, longest: int = 80) -> DataFrame:
-    """doc_id, artifact, n: short lines that come back within a document, never closer than gap lines."""
-    d = rows.select("doc_id", "line", F.trim("text").alias("artifact")).where((F.length("artifact") > 0) & (F.length("artifact") <= longest) & ~F.col("artifact").rlike(r"[.!?]$"))
-    d = d.withColumn("apart", F.col("line") - F.lag("line").over(Window.partitionBy("doc_id", "artifact").orderBy("line")))
-    return d.groupBy("doc_id", "artifact").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("least")).where((F.col("n") >= occurrences) & (F.col("least") >= gap)).drop("least")

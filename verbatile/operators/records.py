@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that may go to every executor, or be one task's.
+FEW = 100_000
+
+
+def few(d: DataFrame, most: int = FEW) -> DataFrame:
+    """d, to be broadcast; an error if it has more rows than that."""
+    n = d.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows")
+    return F.broadcast(d)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new replace rows of old with the same key."""
     return old.join(new.select(*key), key, "left_anti").unionByName(new)

@@ -6,16 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names (aliases) that may be broadcast.
-MOST_NAMES = 100_000
-
-
-def _few(names: DataFrame) -> DataFrame:
-    n = names.limit(MOST_NAMES + 1).count()
-    if n > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    return F.broadcast(names)
-
+from verbatile.operators.records import few
 
 def section_index(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, section_id, level, title, start, end (places in the text), sha256 of each Markdown section, from one heading to the next; a
@@ -42,13 +33,13 @@ def _whole(alias: Column) -> Column:
 
 def present(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, entities: the entities any of whose aliases (entity, alias) a text holds, in any case."""
-    met = texts.join(_few(aliases.where("trim(alias) <> ''")), F.contains(F.lower(text_col), F.lower("alias")))
+    met = texts.join(few(aliases.where("trim(alias) <> ''")), F.contains(F.lower(text_col), F.lower("alias")))
     return met.groupBy(id_col).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
 
 
 def mentions(texts: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: int = 5) -> DataFrame:
     """id_col, name, n, places: how often a text has each name as a whole word, in any case, and where the first ones begin."""
-    met = texts.join(_few(names.select("name").where("trim(name) <> ''").distinct()), F.contains(F.lower(text_col), F.lower("name")))
+    met = texts.join(few(names.select("name").where("trim(name) <> ''").distinct()), F.contains(F.lower(text_col), F.lower("name")))
     cut = F.split(F.col(text_col), F.concat(F.lit(r"(?i)(?=\b\Q"), F.col("name"), F.lit(r"\E\b)")), -1)
     pieces = F.filter(cut, lambda x: x.isNotNull())
     # Pieces begin at the mentions, all but a first one that doesn't; their lengths tell the places.
@@ -62,7 +53,7 @@ def in_context(texts: DataFrame, aliases: DataFrame, around: int = 500, most: in
     """id_col, entity, passages: the first distinct passages of so many characters around mentions of an entity's aliases of three
     letters or more, white space collapsed."""
     long_ = aliases.where(F.length(F.trim("alias")) >= 3).select("entity", F.col("alias").alias("name")).distinct()
-    found = mentions(texts, long_.select("name"), id_col, text_col, 2**31 - 1).join(F.broadcast(long_), "name").select(id_col, "entity", "name", F.explode("places").alias("at"))
+    found = mentions(texts, long_.select("name"), id_col, text_col, 2**31 - 1).join(long_, "name").select(id_col, "entity", "name", F.explode("places").alias("at"))
     lo = F.greatest(F.lit(0), F.col("at") - around)
     passage = F.substring(F.col(text_col), lo + 1, F.col("at") + F.length("name") + around - lo)
     d = found.join(texts.select(id_col, text_col), id_col).select(id_col, "entity", "at", F.trim(F.regexp_replace(passage, r"\s+", " ")).alias("passage"))
@@ -175,7 +166,7 @@ def dealt_voices(speakers: DataFrame, voices: DataFrame, by: str) -> DataFrame:
     one, else those of the style (or all) in turn. A medium has few speakers, so one is dealt at a time."""
     import pandas as pd
 
-    rows = [(r.voice, r.style) for r in _few(voices).orderBy("voice").collect()]
+    rows = [(r.voice, r.style) for r in few(voices).orderBy("voice").collect()]
 
     def deal(d: pd.DataFrame) -> pd.DataFrame:
         used: list[str] = []

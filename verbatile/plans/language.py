@@ -93,15 +93,15 @@ def name_aliases(spark, sf_dir):
     return vocabulary.aliases(vocabulary.names(read(spark, sf_dir, "documents")))
 
 
-@query(f"""WITH t AS (SELECT lang, lower(token) AS word FROM ({TOKENS}) JOIN documents USING (doc_id)),
-a AS (SELECT word, CASE WHEN count(*) >= 3 THEN 'accepted' ELSE 'rejected' END AS verdict FROM t WHERE lang = 'en' GROUP BY 1),
-b AS (SELECT word, CASE WHEN count(*) >= 3 THEN 'accepted' ELSE 'rejected' END AS verdict FROM t WHERE lang = 'fr' GROUP BY 1)
+@query(f"""WITH t AS (SELECT lower(token) AS word FROM ({TOKENS})), u AS (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)*'))) AS word FROM conversations),
+a AS (SELECT word, CASE WHEN count(*) >= 3 THEN 'accepted' ELSE 'rejected' END AS verdict FROM t GROUP BY 1),
+b AS (SELECT word, CASE WHEN count(*) >= 3 THEN 'accepted' ELSE 'rejected' END AS verdict FROM u GROUP BY 1)
 SELECT coalesce(a.word, b.word) AS word, coalesce(b.verdict, a.verdict) AS verdict,
 CASE WHEN b.word IS NULL THEN 'kept' WHEN a.word IS NULL THEN 'added' WHEN a.verdict = b.verdict THEN 'ignored' ELSE 'updated' END AS state FROM a FULL JOIN b ON a.word = b.word""")
 def promote_merge(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    made = lambda lang: corpus.tokens(docs.where(F.col("lang") == lang)).groupBy(F.col("key").alias("word")).agg(F.when(F.count(F.lit(1)) >= 3, "accepted").otherwise("rejected").alias("verdict"))
-    return vocabulary.promote(made("en"), made("fr"), "word", "verdict")
+    made = lambda d: corpus.tokens(d).groupBy(F.col("key").alias("word")).agg(F.when(F.count(F.lit(1)) >= 3, "accepted").otherwise("rejected").alias("verdict"))
+    talk = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    return vocabulary.promote(made(read(spark, sf_dir, "documents")), made(talk), "word", "verdict")
 
 
 @query("""WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verbatile.functions import narration
+from verbatile.functions import narration, passages
 from verbatile.functions import text as T
 from verbatile.operators import corpus, folds, intervals, markdown, records, spelling, telemetry
 from verbatile.plans.catalog import CUES, ORACLES, LINES, TOKENS, cues, query, read
@@ -36,17 +36,6 @@ def section_removal(spark, sf_dir):
     return markdown.without_sections(md_lines(spark, sf_dir), ["notes"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("places"))
 
 
-HEADS = "\\nRunning head\\na.\\nb.\\nc.\\nRunning head\\nd.\\ne.\\nf.\\nRunning head".replace("\\n", "\n")
-
-
-@query(f"""WITH documents AS (SELECT doc_id, text || '{HEADS}' AS text FROM documents), l AS ({LINES}), t AS (SELECT doc_id, n AS line, trim(line) AS artifact FROM l),
-g AS (SELECT *, line - lag(line) OVER (PARTITION BY doc_id, artifact ORDER BY line) AS apart FROM t WHERE length(artifact) BETWEEN 1 AND 80 AND NOT regexp_matches(artifact, '[.!?]$'))
-SELECT doc_id, artifact, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND min(apart) >= 4""")
-def periodic_artifacts(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(HEADS)).alias("text"))
-    return markdown.periodic_lines(corpus.lines(docs), 3, 4)
-
-
 @query("""WITH d AS (SELECT doc_id, text || 'a<br/>b<BR><u>c</u><!-- x' || chr(10) || 'y -->' || chr(10) || chr(10) || chr(10) || 'd' AS t FROM documents),
 e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '<br\\s*/?>', chr(10), 'gi'), '</?u>', '', 'gi'), '(?s)<!--.*?-->', '', 'g') AS t FROM d)
 SELECT doc_id, sha256(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM e""")
@@ -207,10 +196,11 @@ def speech_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(narration.speech_chunks(F.col("text"))).alias("pos", "chunk"))
 
 
-@query()
+@query("SELECT doc_id, sha256(nfc_normalize(text) || ' fine café 1') AS digest FROM documents")
 def unicode_repair(spark, sf_dir):
-    noisy = F.concat("text", F.lit(" ﬁne cafÃ© ①"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(narration.nfkc(narration.mojibake(noisy)), 256).alias("digest"))
+    noisy = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" ﬁne cafÃ© ①")).alias("text"))
+    made = passages.applied(noisy, ["doc_id"], "text", "text", "string", lambda t: passages.normal_form("NFKC")(passages.undamaged(t)))
+    return made.select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 def timed_words(spark, sf_dir):
