@@ -1,8 +1,10 @@
 """Operators 1, 3, 8 and 9, and the pipeline."""
 
+import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from verbatile.llm import bpe, licenses, lid_crf, separators, toxicity_kn
+from verbatile.llm import bpe, licenses, lid_crf, mixing, separators, toxicity_kn
 from verbatile.llm.queries import fold, queries
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -351,7 +353,19 @@ def test_pipeline(spark, sf_dir, make_docs):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     taken = [r.doc_id for r in out.collect()]
-    assert set(taken) <= left and max(taken.count(i) for i in set(taken)) <= 3 and len(taken) > len(left) / 2
+    # The mix by a sequential queue, and the library's tokens.
+    from tests.llm.test_text_operators import fair_queue
+
+    target = {r.doc_id: r.target for r in mixing.mix_documents(now).collect()}
+    told = sorted(mixing.told(now).collect(), key=lambda r: (r.shuffled, r.doc_id))
+    words = fair_queue([(r.doc_id, r.source, r.size, target[r.doc_id]) for r in told], sum(r.size for r in told))
+    size = {r.doc_id: r.size for r in told}
+    assert Counter(taken) == {i: -(-n // size[i]) for i, n in words.items() if n}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(BPE))}, special_tokens={})
+    text = {r.doc_id: r.text for r in rows}
+    for r in out.collect():
+        ids = own.encode_ordinary(text[r.doc_id] or "")
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     for _, stage in stages[:4]:
         assert stage(spark, make_docs([]), sf_dir).collect() == []
 
