@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +68,13 @@ def discard(spark: SparkSession, paths: set[str]) -> None:
         _FRESH.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of tables that nothing refers to any more; it only does where garbage is collected,
+    which a driver with room to spare hardly ever does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None or sc._jsc.sc().isStopped():
@@ -78,9 +85,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, and where it is, for callers who discard it themselves."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -198,33 +210,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return first.unionByName(rest)
 
 
-def dense_sum(parts: DataFrame, chunks: int, width: int) -> np.ndarray:
-    """Sum of the arrays that tasks have emitted as rows (chunk int, data binary: zlib of width little-endian int64).
-
-    Each chunk is summed in one stream, whatever the number of tasks; what comes to the driver is the sum, chunks * width * 8
-    bytes at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(zlib.decompress(data), dtype="<i8")
-                sums[chunk] = sums[chunk] + values if chunk in sums else values
-        for chunk, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())], ["chunk", "data"])
-
-    total = np.zeros(chunks * width, dtype=np.int64)
-    for chunk, data in parts.repartition("chunk").mapInArrow(run, "chunk int, data binary").collect():
-        total[chunk * width : (chunk + 1) * width] = np.frombuffer(zlib.decompress(data), dtype="<i8")
-    return total
-
-
-def dense_parts(values: np.ndarray, chunks: int) -> pa.RecordBatch:
-    """The rows that dense_sum reads, of one task's array."""
-    data = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in np.split(values, chunks)]
-    return pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
-
-
 def hashed_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> tuple[DataFrame, dict]:
     """About per_class rows of each value of the column by (all of a smaller class), chosen by a hash of doc_id, and the
     number of rows of each class. Needs the columns doc_id and by, with at most MOST_CLASSES values of by."""

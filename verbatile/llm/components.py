@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged_at
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,14 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of the edges (a, b)."""
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
+    spark = edges.sparkSession
+    now, path = staged_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star")
     mark = None
     while True:
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == mark or not after[0]:
             break
-        mark, now = after, staged(_small(_large(now)), "star")
+        last = path
+        mark, (now, path) = after, staged_at(_small(_large(now)), "star")
+        discard(spark, {last})
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, signature_trees
-from .common import P, Words, join_groups, mix64, slices, staged
+from .common import P, Words, discard, join_groups, mix64, release, slices, staged, staged_at
 from .components import components
 
 K, PERCENT = 5, 80
@@ -101,7 +101,7 @@ def _scan(texts: DataFrame, schema: str, each, finish=None) -> DataFrame:
 
 def profiles(texts: DataFrame) -> DataFrame:
     """doc_id, n, s1, s2 of each text; rows with a shingle that is frequent in a task (shingle, n); and a task's part of the
-    table of repeated shingles (chunk, data)."""
+    table of repeated shingles (chunk, data). To be staged."""
     names = ["doc_id", "n", "s1", "s2", "shingle", "chunk", "data"]
     kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
 
@@ -131,7 +131,7 @@ def profiles(texts: DataFrame) -> DataFrame:
             tell(state)
             yield from state["told"]
 
-    return staged(_scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingle bigint, chunk int, data binary", each, finish), "shingle-profiles")
+    return _scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingle bigint, chunk int, data binary", each, finish)
 
 
 def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -257,18 +257,25 @@ def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
         found = found.join(groups.where(F.col("members") > group).select("node"), "node")
         labels = staged(components(links), "join-labels")
         rounds += 1
+        release(found.sparkSession)
     return links if links is not None else found.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = profiles(texts)
-    rows = told.where("s1 IS NOT NULL").select("doc_id", "n", "s1", "s2")
+    spark = docs.sparkSession
+    told, told_path = staged_at(profiles(texts), "shingle-profiles")
+    rows = staged(told.where("s1 IS NOT NULL").select("doc_id", "n", "s1", "s2"), "join-rows")
+    table, common = repeats.table(told, TABLE_BITS), common_shingles(told)
+    discard(spark, {told_path})
+    release(spark)
     # A class for each set; nulls first, so that min() would skip them.
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-    found = candidates(texts, classes, repeats.table(told, TABLE_BITS), common_shingles(told), percent)
+    found = candidates(texts, classes, table, common, percent)
+    del table, common
+    release(spark)
     linked = components(links_of(found, percent, group)).select("node", "label")
     met = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = met.groupBy("label").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("component_id"))

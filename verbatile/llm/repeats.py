@@ -24,6 +24,16 @@ def slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (values & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Rising places as their differences: all low bytes, then all higher ones, which are nearly always 0."""
+    return zlib.compress(np.diff(places, prepend=places.dtype.type(0)).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(flat.T).view("<i4").ravel())
+
+
 def task_parts(values: np.ndarray, bits: int = BITS) -> list[tuple[int, bytes]]:
     """What a task tells of its values (uint64, repeats included): for each chunk its slots, those seen more often twice."""
     found, n = np.unique(slots(values, bits), return_counts=True)
@@ -31,7 +41,7 @@ def task_parts(values: np.ndarray, bits: int = BITS) -> list[tuple[int, bytes]]:
     both.sort(kind="stable")
     cut = np.searchsorted(both, np.arange((1 << bits >> CHUNK_BITS) + 1) << CHUNK_BITS)
     local = (both & ((1 << CHUNK_BITS) - 1)).astype("<i4")
-    return [(c, zlib.compress(np.diff(local[a:b], prepend=np.int32(0)).astype("<i4").tobytes(), 1)) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    return [(c, packed(local[a:b])) for c, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
 #: Bytes of the tasks' parts that one stream sums.
@@ -47,7 +57,7 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count = seen.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.uint8))
-                at = np.cumsum(np.frombuffer(zlib.decompress(data), dtype="<i4"))
+                at = unpacked(data)
                 more = at[1:][at[1:] == at[:-1]]
                 count[at] = np.minimum(count[at] + 1, 2)
                 count[more] = 2
@@ -57,7 +67,7 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
         for chunk, count in add(batches):
             at = np.flatnonzero(count)
             local = np.repeat(at, count[at]).astype("<i4")
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.diff(local, prepend=np.int32(0)).astype("<i4").tobytes(), 1)], pa.binary())], ["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed(local)], pa.binary())], ["chunk", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, count in add(batches):
