@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatile.llm.bpe import encode_documents
-from verbatile.llm.common import P, discard, fresh_path, given_paths, staged
+from verbatile.llm.common import P, discard, fresh_path, given_paths, release, staged
 from verbatile.llm.exact_dedup import kept_documents
 from verbatile.llm.jaccard_join import jaccard_components
 from verbatile.llm.lid_crf import UNDEFINED, identify
@@ -28,12 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, also where ids are null or repeat with other texts."""
+    release(spark)
     return kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id (null comes first). Groups are made by a
     key of its own for each row, since ids may be null or repeat."""
+    release(spark)
     row = P + "key"
     keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     found = jaccard_components(keyed, id_col=row).select(F.col("doc_id").alias(row), "component_id")
@@ -44,11 +46,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their targets: documents not taken go, those taken more than once repeat."""
+    release(spark)
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every row."""
+    release(spark)
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
