@@ -21,7 +21,7 @@ NOISE = "\n**Bold** and __more__ , *thin* _line_ ;\n\n\n\nend  of\t\tit !  \nnex
 @query(f"""WITH d AS (SELECT doc_id, text || '{NOISE}' AS t FROM documents),
 f AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '(?m)^\\[\\^[^\\]\\n]+\\]:[^\\n]*\\n?(?:[ \\t]+\\S[^\\n]*\\n?)*', '', 'g'), '\\[\\^[^\\]\\n]+\\]', '', 'g') AS x FROM d),
 s AS (SELECT doc_id, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t]{{2,}}', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+([,.;:!?])', '\\1', 'g') AS x FROM f)
-SELECT doc_id, sha256(x) AS digest, (len(regexp_extract_all(t, '{cleanup.MOJIBAKE}')) + 2 * len(regexp_extract_all(t, '�')))::INT AS damage FROM s""")
+SELECT doc_id, sha256(x) AS digest, (len(regexp_extract_all(t, 'Ã.|Â.|â€.|ï¬.|ðŸ.')) + 2 * len(regexp_extract_all(t, '�')))::INT AS damage FROM s""")
 def prose_cleanup(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(NOISE)).alias("t"))
     return d.select("doc_id", F.sha2(cleanup.spacing(cleanup.without_footnotes(F.col("t"))), 256).alias("digest"), cleanup.mojibake_score(F.col("t")).alias("damage"))
@@ -62,14 +62,17 @@ def digit_letters(spark, sf_dir):
 
 # Vocabulary
 
-DET, COP = quoted(vocabulary.DETERMINERS), quoted(vocabulary.COPULAS)
+# Fixed values, written out here so that the SQL doesn't lean on the operators.
+DET, COP = quoted("a an the this that these those each every".split()), quoted("am are be been being is was were become seem".split())
+MODALS, SUBJECTS = quoted("can could may might must shall should will would".split()), quoted("i you he she it we they".split())
+DEGREES, TITLES = quoted("fairly less more most quite rather so too very".split()), quoted("captain colonel doctor general major mr mrs professor".split())
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
 c AS (SELECT word, coalesce(lag(word) OVER g, '') AS p, coalesce(lead(word) OVER g, '') AS f FROM u WINDOW g AS (PARTITION BY doc_id ORDER BY i)),
-v AS (SELECT word, sum((p = 'to' OR p IN {quoted(vocabulary.MODALS)})::INT * 3 + (p IN {quoted(vocabulary.SUBJECTS)} AND f IN {DET})::INT * 3 + (f IN {DET})::INT * 2) AS verb,
-sum((p IN {quoted(vocabulary.DEGREES)} OR p IN {COP})::INT * 2 + (p IN {DET} AND NOT (f IN {COP} OR f = ''))::INT * 2) AS adjective,
-sum((p IN {quoted(vocabulary.TITLES)} OR f IN {COP})::INT * 3 + (p IN {DET} AND (f IN {COP} OR f = ''))::INT * 2) AS noun FROM c GROUP BY 1),
+v AS (SELECT word, sum((p = 'to' OR p IN {MODALS})::INT * 3 + (p IN {SUBJECTS} AND f IN {DET})::INT * 3 + (f IN {DET})::INT * 2) AS verb,
+sum((p IN {DEGREES} OR p IN {COP})::INT * 2 + (p IN {DET} AND NOT (f IN {COP} OR f = ''))::INT * 2) AS adjective,
+sum((p IN {TITLES} OR f IN {COP})::INT * 3 + (p IN {DET} AND (f IN {COP} OR f = ''))::INT * 2) AS noun FROM c GROUP BY 1),
 m AS (SELECT *, greatest(verb, adjective, noun) AS best, least(greatest(verb, adjective), greatest(adjective, noun), greatest(verb, noun)) AS next FROM v)
 SELECT word, CASE WHEN best = next THEN 'unknown' WHEN best = verb THEN 'verb' WHEN best = adjective THEN 'adjective' ELSE 'noun' END AS class,
 CASE WHEN best = next THEN 0.0 ELSE round(least(0.95, 0.55 + (best - next)::DOUBLE * 0.1), 2) END::DOUBLE AS confidence FROM m""")
@@ -77,7 +80,7 @@ def vote_classify(spark, sf_dir):
     return vocabulary.word_classes(vocabulary.contexts(read(spark, sf_dir, "documents")))
 
 
-NAMES = f"f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{vocabulary.NAME}')) AS name FROM documents), n AS (SELECT name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY 1 HAVING count(*) >= 2)"
+NAMES = f"f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+){{0,3}}')) AS name FROM documents), n AS (SELECT name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY 1 HAVING count(*) >= 2)"
 
 
 @query(f"WITH {NAMES} SELECT name, n, n_docs FROM n")
