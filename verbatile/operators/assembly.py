@@ -17,12 +17,12 @@ from verbatile.operators.records import few
 from verbatile.sinks import stores
 
 #: Block types whose neighbouring lines are one block.
-TOGETHER = ("code", "paragraph", "quote", "table", "list", "blank")
+TOGETHER = ("code", "indented", "html", "paragraph", "quote", "table", "list", "blank")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """doc_id, block (from 0), type, start, end, text of Markdown lines (doc_id, line, text): lines of one type that follow each other are
-    one block, but headings, rules and footnotes, which are one each. Editable are those that are neither code nor rules nor blank."""
+    one block, but headings, rules and footnotes, which are one each. Editable are those that hold text: no code, markup, rules, references or blanks."""
     along = Window.partitionBy("doc_id").orderBy("line")
     d = markdown.block_types(rows)
     alone = ~F.col("block").isin(*TOGETHER)
@@ -30,7 +30,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     d = d.withColumn("nth", F.sum(F.when(new, 1).otherwise(0)).over(along) - 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     d = d.groupBy("doc_id", "nth").agg(F.first("block").alias("type"), F.min("line").alias("start"), F.max("line").alias("end"), text.alias("text"))
-    return d.select("doc_id", F.col("nth").alias("block"), "type", "start", "end", "text", (~F.col("type").isin("code", "rule", "blank")).alias("editable"))
+    return d.select("doc_id", F.col("nth").alias("block"), "type", "start", "end", "text", (~F.col("type").isin("code", "indented", "comment", "declaration", "html", "rule", "blank", "reference")).alias("editable"))
 
 
 def fused(parts: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ FENCE = r"^\s*(```|~~~)"
 HEADING = r"^#{1,6}\s+\S"
 #: Block types and their patterns; the first that matches counts.
 BLOCKS = [
-    ("blank", r"^\s*$"), ("heading", HEADING), ("rule", r"^\s*(-{3,}|\*{3,}|_{3,})\s*$"), ("table", r"^\s*\|.*\|\s*$"),
-    ("footnote", r"^\[\^[^\]]+\]:"), ("list", r"^\s*([-*+]|\d+[.)])\s+\S"), ("quote", r"^\s*>"),
+    ("blank", r"^\s*$"), ("indented", r"^(?: {4}|\t)\s*\S"), ("comment", r"^\s*<!--.*-->\s*$"), ("declaration", r"^\s*<[!?]"), ("html", r"^\s*</?[A-Za-z][^>]*>"), ("heading", HEADING),
+    ("rule", r"^\s*(-{3,}|\*{3,}|_{3,})\s*$"), ("quote", r"^\s*>"), ("list", r"^\s*([-*+]|\d+[.)])\s+\S"), ("table", r"^\s*\|.*\|\s*$"), ("footnote", r"^\[\^[^\]]+\]:"),
+    ("reference", r"^\s{0,3}\[[^\]^][^\]]*\]:\s*\S"), ("image", r"^\s*!\[[^\]]*\]\([^)]*\)\s*$"), ("link", r"^\s*\[[^\]]*\]\([^)]*\)\s*$"),
 ]
 
 

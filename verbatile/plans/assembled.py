@@ -12,9 +12,9 @@ from verbatile.plans.repairing import dealt, examples
 from verbatile.plans.reports import MD_LINES, md_lines
 
 
-@query(f"""WITH {MD_LINES}, n AS (SELECT *, coalesce(lag(block) OVER w <> block, true) OR block NOT IN ('code', 'paragraph', 'quote', 'table', 'list', 'blank') AS new FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+@query(f"""WITH {MD_LINES}, n AS (SELECT *, coalesce(lag(block) OVER w <> block, true) OR block NOT IN ('code', 'indented', 'html', 'paragraph', 'quote', 'table', 'list', 'blank') AS new FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
 g AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS nth FROM n)
-SELECT doc_id, nth::BIGINT AS block, any_value(block) AS type, (max(line) - min(line) + 1)::BIGINT AS lines, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest, any_value(block NOT IN ('code', 'rule', 'blank')) AS editable FROM g GROUP BY 1, 2""")
+SELECT doc_id, nth::BIGINT AS block, any_value(block) AS type, (max(line) - min(line) + 1)::BIGINT AS lines, sha256(string_agg(text, chr(10) ORDER BY line)) AS digest, any_value(block NOT IN ('code', 'indented', 'comment', 'declaration', 'html', 'rule', 'blank', 'reference')) AS editable FROM g GROUP BY 1, 2""")
 def markdown_blocks(spark, sf_dir):
     d = A.blocks(md_lines(spark, sf_dir))
     return d.select("doc_id", "block", "type", (F.col("end") - F.col("start") + 1).cast("bigint").alias("lines"), F.sha2("text", 256).alias("digest"), "editable")

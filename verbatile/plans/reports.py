@@ -13,13 +13,15 @@ from verbatile.sinks import documents
 
 # Markdown. The documents have none, so the same lines are put behind each text on both sides.
 
-MD = "\n# Chapter 1\nbody\n\n| a | b |\n- item\n> quote\n***\n```\n# no heading\n```\n## Notes ##\nsmall print\n[^1]: foot\n# Chapter 2\nRunning head\nend of it"
+MD = "\n# Chapter 1\nbody\n\n| a | b |\n- item\n> quote\n***\n```\n# no heading\n```\n    indented\n<!-- c -->\n<!DOCTYPE x>\n<div>x</div>\n![i](u)\n[l](u)\n[r]: http://x\n## Notes ##\nsmall print\n[^1]: foot\n# Chapter 2\nRunning head\nend of it"
 MD_LINES = f"""documents AS (SELECT doc_id, text || '{MD}' AS text FROM documents), l AS ({LINES}),
 x AS (SELECT doc_id, n AS line, line AS text, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM l),
 y AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM x),
-b AS (SELECT doc_id, line, text, CASE WHEN inside OR fence THEN 'code' WHEN regexp_matches(text, '^\\s*$') THEN 'blank' WHEN regexp_matches(text, '^#{{1,6}}\\s+\\S') THEN 'heading'
-WHEN regexp_matches(text, '^\\s*(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') THEN 'rule' WHEN regexp_matches(text, '^\\s*\\|.*\\|\\s*$') THEN 'table' WHEN regexp_matches(text, '^\\[\\^[^\\]]+\\]:') THEN 'footnote'
-WHEN regexp_matches(text, '^\\s*([-*+]|\\d+[.)])\\s+\\S') THEN 'list' WHEN regexp_matches(text, '^\\s*>') THEN 'quote' ELSE 'paragraph' END AS block FROM y)"""
+b AS (SELECT doc_id, line, text, CASE WHEN inside OR fence THEN 'code' WHEN regexp_matches(text, '^\\s*$') THEN 'blank' WHEN regexp_matches(text, '^( {{4}}|\\t)\\s*\\S') THEN 'indented' WHEN regexp_matches(text, '^\\s*<!--.*-->\\s*$') THEN 'comment'
+WHEN regexp_matches(text, '^\\s*<[!?]') THEN 'declaration' WHEN regexp_matches(text, '^\\s*</?[A-Za-z][^>]*>') THEN 'html' WHEN regexp_matches(text, '^#{{1,6}}\\s+\\S') THEN 'heading'
+WHEN regexp_matches(text, '^\\s*(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') THEN 'rule' WHEN regexp_matches(text, '^\\s*>') THEN 'quote' WHEN regexp_matches(text, '^\\s*([-*+]|\\d+[.)])\\s+\\S') THEN 'list'
+WHEN regexp_matches(text, '^\\s*\\|.*\\|\\s*$') THEN 'table' WHEN regexp_matches(text, '^\\[\\^[^\\]]+\\]:') THEN 'footnote' WHEN regexp_matches(text, '^\\s{{0,3}}\\[[^\\]^][^\\]]*\\]:\\s*\\S') THEN 'reference'
+WHEN regexp_matches(text, '^\\s*!\\[[^\\]]*\\]\\([^)]*\\)\\s*$') THEN 'image' WHEN regexp_matches(text, '^\\s*\\[[^\\]]*\\]\\([^)]*\\)\\s*$') THEN 'link' ELSE 'paragraph' END AS block FROM y)"""
 
 
 def md_lines(spark, sf_dir):
