@@ -137,3 +137,11 @@ def test_rebalanced(spark):
     got = rows_of(folds.rebalanced(d, "k"))
     assert got == [(0, 2.4, "x"), (2.4, 3.4, "y" * 20), (3.4, 5, "z"), (9, 9.1, "q" * 20)]
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_whole_ass_files(spark):
+    d = cues_of(spark, [(0, 1.5, "b", "one\ntwo"), (2, 3, "a", "x"), (4, 5, None, "y")])
+    body = documents.ass_document(d, "k").first().body
+    assert body.startswith("[Script Info]\n") and body.endswith("\n")
+    assert [x.split(",")[0] for x in body.splitlines() if x.startswith("Style:")] == ["Style: Default", "Style: a", "Style: b"]
+    assert [x for x in body.splitlines() if x.startswith("Dialogue:")][0] == "Dialogue: 0,0:00:00.00,0:00:01.50,b,,0,0,0,,one\\Ntwo"

@@ -199,3 +199,13 @@ def alignment_route(explicit: Column, confidence: Column, language: Column, mode
     fallback."""
     table = F.create_map(*[F.lit(x) for kv in models.items() for x in kv])
     return F.coalesce(explicit, F.when(F.coalesce(confidence, F.lit(0.0)) < 0.5, fallback), F.try_element_at(table, subtitles.language_tag(language)), F.lit(fallback))
+
+
+def report(cues: DataFrame, key: str, longest: float = 12.0, shortest: float = 0.5, fastest: float = 20.0, chars: int = 84, width: int = 42, lines: int = 2) -> DataFrame:
+    """key, issues (a map from kind to number, of timing and text), total and passed for each medium's cues (key, start, end, text)."""
+    timing = intervals.cue_checks(cues.withColumn("text", F.coalesce("text", F.lit(""))), key, longest, shortest, fastest)
+    kinds = [c for c in timing.columns if c != key]
+    told = timing.unpivot([key], kinds, "issue", "n").unionByName(text_issues(cues, key, chars, width, lines)).where("n > 0")
+    whole = told.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue", "n")))).alias("issues"), F.sum("n").alias("total"))
+    d = cues.select(key).distinct().join(whole, key, "left")
+    return d.select(key, F.coalesce("issues", F.create_map().cast("map<string,bigint>")).alias("issues"), F.coalesce("total", F.lit(0)).alias("total"), F.col("total").isNull().alias("passed"))

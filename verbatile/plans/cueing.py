@@ -268,3 +268,17 @@ def cue_history(spark, sf_dir):
         F.array_join(S.ordered_union(F.array(F.lit("a"), F.lit("b")), F.when(i % 3 == 0, F.array(F.lit("b"), F.lit("c")))), ",").alias("ids"),
         S.bounded_offset(i % 41 - 20.0, 10.0).alias("shift"), "start", "end",
     )
+
+
+@query(f"""WITH {CUES}, r AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+i AS (SELECT user_id, unnest(list_filter([CASE WHEN start < reach THEN 'overlap' END, CASE WHEN "end" - start > 600 THEN 'long_duration' END, CASE WHEN "end" - start < 120 THEN 'short_duration' END,
+CASE WHEN length(event_type) / ("end" - start) > 0.05 THEN 'fast' END, CASE WHEN event_type = 'view' THEN 'incomplete_ending' END, CASE WHEN length(event_type) + (event_type = 'view')::INT > 7 THEN 'long_text' END], lambda x: x IS NOT NULL)) AS issue FROM r),
+n AS (SELECT user_id, issue, count(*) AS n FROM i GROUP BY 1, 2)
+SELECT user_id, string_agg(issue || ':' || n, ',' ORDER BY issue) AS issues, sum(n)::BIGINT AS total, false AS passed FROM n GROUP BY 1""")
+def subtitle_report(spark, sf_dir):
+    d = cues(spark, sf_dir).withColumn("text", F.when(F.col("event_type") == "view", "view,").otherwise(F.col("event_type")))
+    timed = C.report(d.withColumn("text", F.col("event_type")), "user_id", 600.0, 120.0, 0.05, 10**6)
+    texts = C.text_issues(d, "user_id", 7)
+    out = timed.select("user_id", F.explode("issues").alias("issue", "n")).where("issue IN ('overlap', 'long_duration', 'short_duration', 'fast', 'invalid_duration')").unionByName(texts)
+    made = out.groupBy("user_id").agg(F.array_sort(F.collect_list(F.concat("issue", F.lit(":"), F.col("n").cast("string")))).alias("l"), F.sum("n").alias("total"))
+    return made.join(timed.select("user_id", "passed"), "user_id").select("user_id", F.array_join("l", ",").alias("issues"), "total", "passed")

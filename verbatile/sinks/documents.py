@@ -73,3 +73,13 @@ def write_partitions(d: DataFrame, path: str, by: str) -> None:
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def ass_document(cues: DataFrame, key: str, font: str = "Arial", size: int = 48) -> DataFrame:
+    """A whole Advanced SubStation file for each key: head, one style for each speaker (by name; null speakers have the default one), events."""
+    styles = cues.select(key, F.coalesce("speaker", F.lit("Default")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_set("s")).alias("s"))
+    line = F.transform("s", lambda s: F.concat(F.lit("Style: "), s, F.lit(f",{font},{size},&H00FFFFFF,0,0,0,0,100,100,0,0,1,2,0,2,10,10,10,1")))
+    head = "[Script Info]\nScriptType: v4.00+\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\n"
+    events = "\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+    d = ass(cues, key).join(styles, key)
+    return d.select(key, F.concat(F.lit(head), F.array_join(line, "\n"), F.lit(events), "body", F.lit("\n")).alias("body"))
