@@ -122,7 +122,7 @@ def profiles(texts: DataFrame) -> DataFrame:
         state["held"] = state.get("held", 0) + sum(map(len, sets))
         found = [sums(s) for s in sets]
         yield rows(len(sets), doc_id=part.column(0), n=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([a for a, _ in found], pa.int64()), s2=pa.array([b for _, b in found], pa.int64()))
-        if state["held"] > 3_000_000:  # bounded memory
+        if state["held"] > 8_000_000:  # bounded memory; what is frequent is told by as many texts as that allows
             tell(state)
             yield from state.pop("told")
 
