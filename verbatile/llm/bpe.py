@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import P, hash_spans, mix64, slices
 
 #: Pre-tokens that a worker remembers; beyond it the memory is emptied and filled anew (speed only, results are the same).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 #: Slots per key at each level of the perfect hash.
 GAMMA = 2
 
