@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import P, hash_spans, mix64, slices
 
 #: Pre-tokens that a worker remembers; beyond it the memory is emptied and filled anew (speed only, results are the same).
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 400_000
 #: Slots per key at each level of the perfect hash.
 GAMMA = 2
 
@@ -144,6 +144,11 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
+    def forget(self) -> None:
+        """Empties the memory: a worker lives on behind its task, and what it holds is lacking elsewhere."""
+        self.memo.clear()
+        self.shorts.clear()
+
     def _remembered(self, texts: list[str], memo: dict, kept: Callable[[list[int]], object]) -> list[list[str]]:
         """The pre-tokens of each text; memo then has what is kept of the ids of all of them."""
         found = [self.find(t) for t in texts]
@@ -202,5 +207,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 if with_ids:
                     columns += [pa.array(ids_all, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids)
+        own.forget()
 
     return docs.select(F.col(id_col).cast("bigint").alias(P + "id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

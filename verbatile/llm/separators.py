@@ -53,6 +53,7 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, eod: int, id_col
                 rows = pa.array(np.tile(np.arange(nth, nth + n), 2))
                 yield pa.RecordBatch.from_arrays([pa.array(["ids"] * n + ["tokens"] * n), rows, pa.array(ids + made, pa.binary())], ["kind", "nth", "data"])
                 nth += n
+        own.forget()
 
     made = docs.select(F.col(id_col).cast("bigint").alias(P + "id"), F.col(text_col).alias("text")).mapInArrow(run, "kind string, nth bigint, data binary")
     separator = np.array([eod], dtype="<u2").tobytes().decode("latin-1")
