@@ -53,15 +53,21 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
     whose sums (counts up to 2, so of bounded size) are summed again, STREAM_FAN at a time, until one is left."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        seen: dict[int, np.ndarray] = {}
+        # Rows come by chunk, so one chunk's counts are held, however many chunks a task has.
+        now, count = None, np.zeros(0, dtype=np.uint8)
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count = seen.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.uint8))
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield now, count
+                    now, count = chunk, np.zeros(1 << CHUNK_BITS, dtype=np.uint8)
+                data = data.as_py()
                 at = unpacked(data)
                 more = at[1:][at[1:] == at[:-1]]
                 count[at] = np.minimum(count[at] + 1, 2)
                 count[more] = 2
-        yield from seen.items()
+        if now is not None:
+            yield now, count
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, count in add(batches):
@@ -79,9 +85,9 @@ def table(parts: DataFrame, bits: int = BITS) -> np.ndarray:
     streams = -(-size // (STREAM_BYTES * (1 << bits >> CHUNK_BITS)))
     while streams > 1:
         dealt = told.withColumn("stream", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(streams)))
-        told = staged(dealt.repartition("chunk", "stream").select("chunk", "data").mapInArrow(merge, "chunk int, data binary"), "table-sums")
+        told = staged(dealt.repartition("chunk", "stream").sortWithinPartitions("chunk", "stream").select("chunk", "data").mapInArrow(merge, "chunk int, data binary"), "table-sums")
         streams = streams // STREAM_FAN
-    summed = told.repartition("chunk").mapInArrow(run, "chunk int, data binary")
+    summed = told.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "chunk int, data binary")
     rows = summed.collect()
     while rows:  # each row is freed as it is read
         chunk, data = rows.pop()
