@@ -32,15 +32,17 @@ def body_of(line: Column) -> Column:
     return F.trim(t)
 
 
-def is_false_heading(body: Column) -> Column:
+def is_false_heading(body: Column, never: tuple[str, ...] = (NUMBERED, NAMED)) -> Column:
     """Prose that a converter took for a heading: nothing, a quotation, a part of a sentence, an exclamation of one or two words, a
-    time of day. Numbered and named headings never are."""
+    time of day. What matches one of never isn't: by default, numbered and named headings."""
     t = F.trim(body)
     opens, ends = F.substring(t, 1, 1), F.right(t, F.lit(1))
     word = r"[A-Z][A-Za-z'’-]*"
     exclaimed, time = rf"\A{word}(\s+{word})?[.!?…]\z", r"\A\d{1,2}(:\d{2}){1,2}(…|\.\.\.)?\z"
     prose = opens.isin("“", '"', "‘", "'", "—") | ends.isin("—", ",", ";", ":") | opens.rlike("[a-z]") | t.rlike(exclaimed) | t.rlike(time)
-    return F.coalesce((t == "") | (prose & ~t.rlike(NUMBERED) & ~t.rlike(NAMED)), F.lit(True))
+    for pattern in never:
+        prose = prose & ~t.rlike(pattern)
+    return F.coalesce((t == "") | prose, F.lit(True))
 
 
 def _number(c: Column) -> Column:

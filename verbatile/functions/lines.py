@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ornaments that separate scenes, symbols that scans make, what publishers and authors write.
+# Ornaments that separate scenes, symbols and clusters that scans make, spaces of any script (Zs), what publishers and authors write.
 ORNAMENTS = r"\u2500-\u27BF\u2B00-\u2BFF\uFFF0-\uFFFF"
 SYMBOLS = r"[><~=|/@#^&\\]{4,}"
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+CLUSTER = "(?i)[bcdfghjklmnpqrstvwxyz]{8,}"
 PUBLISHER = r"(?i)J-Novel Club|Yen Press|Light Novel|Publisher|Published|ISBN|ISSN|Story by|Written by|Illustrated by|Illustration by|Author|Illustrator|20\d{2}.*All rights reserved"
 TIMELINE = r"(?i)Time[ -]?Line|Character Profile|Glossary|Appendix"
 AUTHOR = r"(?i)Afterword|Author'?s? (?:Note|Notes|Comment|Remarks)|Epilogue - Author"
@@ -28,13 +30,24 @@ def is_separator(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), rf"[{ORNAMENTS}\s*_~`.,;:!?=+-]+", "") == ""
 
 
-def is_scan_noise(c: Column) -> Column:
-    """A line of ten characters or more with hardly a letter and a run of symbols, or mostly made of consonant clusters; headings aren't."""
+def re2_line(c: Column) -> Column:
+    """A line as DuckDB's regular expressions read it: a vertical tab is no white space."""
+    return F.translate(c, "\x0b", "\x01")
+
+
+def without_outer_spaces(c: Column) -> Column:
+    """Without the spaces of any script around it, as DuckDB's trim()."""
+    return F.trim(c, F.lit(SPACES))
+
+
+def is_scan_noise(c: Column, symbols: str = SYMBOLS, cluster: str = CLUSTER, least: int = 1) -> Column:
+    """A line of ten characters or more with hardly a letter and a run of symbols, or one of least or more mostly made of consonant clusters;
+    headings aren't."""
     t = _t(c)
     n = F.length(t)
     share = _n(t, r"\p{L}") / n
-    clustered = F.aggregate(F.regexp_extract_all(t, F.lit("(?i)[bcdfghjklmnpqrstvwxyz]{8,}"), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
-    return (t != "") & ~t.rlike(r"^#{1,6}\s") & ((n >= 10) & (share < 0.12) & t.rlike(SYMBOLS) | (clustered > 0.5 * n))
+    clustered = F.aggregate(F.regexp_extract_all(t, F.lit(cluster), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
+    return (t != "") & ~t.rlike(r"^#{1,6}\s") & ((n >= 10) & (share < 0.12) & t.rlike(symbols) | (n >= least) & (clustered > 0.5 * n))
 
 
 def is_dump_noise(c: Column) -> Column:
@@ -78,11 +91,12 @@ def is_authors_note(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(r"^#+\s+") & _t(c).rlike(AUTHOR)
 
 
-def is_capitals(c: Column, least: int = 2, most: int | None = None) -> Column:
-    """More than 85 % capitals among the letters, and so many words."""
+def is_capitals(c: Column, least: int = 2, most: int | None = None, word: str | None = None) -> Column:
+    """More than 85 % capitals among the letters of ASCII, and so many words. word: what counts as one in the line as it is; by default, what
+    spaces separate once characters foreign to such headings are left out."""
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9\s,.:()\-/]", ""))
-    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    return (_n(t, "[A-Za-z]") > 0) & (_n(t, "[A-Z]") > 0.85 * _n(t, "[A-Za-z]")) & (words >= least if most is None else words <= most)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) if word is None else _n(F.coalesce(c, F.lit("")), word)
+    return (_n(t, "[A-Za-z]") > 0) & (100 * _n(t, "[A-Z]") > 85 * _n(t, "[A-Za-z]")) & (words >= least if most is None else words <= most)
 
 
 def is_readable_picture(c: Column) -> Column:
