@@ -116,3 +116,23 @@ def test_tables_are_summed_in_a_tree(spark, monkeypatch):
     assert (repeats.table(parts) == once).all()
     every, n = np.unique(np.concatenate(values), return_counts=True)
     assert (repeats.maybe_repeated(once, every) == (n > 1)).all()
+
+
+def test_full_table_costs_no_sets(make_docs, monkeypatch):
+    """A table that tells of every shingle that it may be repeated, as when the corpus is far too large for it: sets are written of the classes
+    that share a prefix shingle with another, not of all, and no more than a fifth of the others."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:7]] + [(200, rows[3][1])]
+    written, staged = {}, jaccard_join.staged
+
+    def told(df, name):
+        out = staged(df, name)
+        written[name] = (df.columns, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", told)
+    monkeypatch.setattr(repeats, "table", lambda parts, bits: np.full(1 << 18, 255, dtype=np.uint8))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(make_docs(rows)).collect()}
+    assert got == brute(rows)
+    assert [n for columns, n in written.values() if "set" in columns] == [14]

@@ -210,6 +210,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return first.unionByName(rest)
 
 
+def maybe_among(rows: DataFrame, few: DataFrame, keys: list[str], most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose keys may be those of a row of few: surely all of these, and some others. A table of 16 to 32 bits for each row of few,
+    most_bits at most, in broadcast pieces of 4 KB that meet the rows by the piece's number; a fuller table rules out less."""
+    pieces = max(1, min(most_bits >> 15, 1 << max(0, (few.count() * 16 >> 15).bit_length())))
+    # pieces is a power of two. A place is never null, so no filter on it is pushed below the keys, which would be made twice.
+    place = F.xxhash64(*keys).bitwiseAND(F.lit((pieces << 15) - 1).cast("bigint"))
+    bits = few.select(*keys).groupBy(F.bitmap_bucket_number(place).alias(P + "piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(P + "bits"))
+    at = F.bitmap_bit_position(F.col(P + "place"))
+    met = rows.withColumn(P + "place", place).join(F.broadcast(bits), F.bitmap_bucket_number(F.col(P + "place")) == F.col(P + "piece"))
+    byte = F.conv(F.hex(F.substring(F.col(P + "bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop(P + "place", P + "piece", P + "bits")
+
+
 def hashed_sample(df: DataFrame, by: str, per_class: int, seed: int = 17) -> tuple[DataFrame, dict]:
     """About per_class rows of each value of the column by (all of a smaller class), chosen by a hash of doc_id, and the
     number of rows of each class. Needs the columns doc_id and by, with at most MOST_CLASSES values of by."""

@@ -5,7 +5,9 @@
 2. Candidate classes. If two sets are similar, their first n - ceil(0.8 n) + 1 shingles, in any order that is the same for
    all, share one. The order puts shingles first that surely occur once (a bit table of fixed size tells), and the common
    ones last, so that most documents have nothing in their prefix that another could share. Prefix shingles of two or more
-   classes tie them together; the connected components of these ties hold all links.
+   classes tie them together; the connected components of these ties hold all links. Only prefixes are written for this, a
+   fifth of the shingles at most; whole sets are made again from the texts of classes that are tied to another. So a table
+   that is too small for the corpus costs prefixes, not sets.
 3. Each component is joined by signature trees (see signature_trees), which give a forest of its links. A component beyond
    GROUP classes is first cut into blocks at random, which joins nearly all of its near copies; only what is still apart
    from something that it shares a shingle with goes on, in smaller components. What is left after ROUNDS of that is joined
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, signature_trees
-from .common import P, Words, discard, join_groups, mix64, release, slices, staged, staged_at
+from .common import P, Words, discard, join_groups, maybe_among, mix64, release, slices, staged, staged_at
 from .components import components
 
 K, PERCENT = 5, 80
@@ -144,29 +146,44 @@ def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """node, n, prefix (its shingles that may be in the prefix of another class) and set, of the classes that have such a one."""
+    """node and prefix (its shingles that may be in the prefix of another class), of the classes that have such a one."""
     sent = texts.sparkSession.sparkContext.broadcast((table, *common))
 
     def each(part, sets, state):
-        rows, n, s1, s2, first, data = [], [], [], [], [], []
+        rows, s1, s2, first = [], [], [], []
         for i, s in enumerate(sets):
             p = prefix(s, *sent.value, percent)
             if len(p):
                 a, b = sums(s)
                 rows.append(i)
-                n.append(len(s))
                 s1.append(a)
                 s2.append(b)
                 first.append(p.view(np.int64))
-                data.append(s.astype("<u8").tobytes())
         if rows:
-            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "prefix", "set"])
+            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "prefix"])
 
-    found = _scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, set binary", each)
+    found = staged(of_classes(_scan(texts, "doc_id bigint, s1 bigint, s2 bigint, prefix array<bigint>", each), classes).select("node", "prefix"), "join-candidates")
+    sent.destroy()
+    return found
+
+
+def of_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (doc_id, s1, s2) that stand for a class, with its node."""
     same = [F.col(c).eqNullSafe(F.col(P + c)) for c in ("doc_id", "s1", "s2")]
-    own = classes.select("node", *[F.col(c).alias(P + c) for c in ("doc_id", "s1", "s2")])
-    return staged(found.join(own, same).select("node", "n", "prefix", "set"), "join-candidates")
+    return found.join(classes.select("node", *[F.col(c).alias(P + c) for c in ("doc_id", "s1", "s2")]), same)
+
+
+def whole_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and set of the classes, from their texts alone; staged."""
+
+    def each(part, sets, state):
+        found = [sums(s) for s in sets]
+        columns = [part.column(0), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "set"])
+
+    found = _scan(maybe_among(texts, classes, ["doc_id"]), "doc_id bigint, s1 bigint, s2 bigint, set binary", each)
+    return staged(of_classes(found, classes).select("node", "set"), "join-sets")
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -225,13 +242,18 @@ def _joined(held: dict, percent: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], ["a", "b"])
 
 
-def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
-    """A forest of all links between candidate classes."""
-    links, labels, rounds = None, None, 0
+def links_of(found: DataFrame, sets_of, percent: int, group: int) -> DataFrame:
+    """A forest of all links between candidate classes. sets_of: gives node and set of the nodes in a table."""
+    links, labels, sets, rounds = None, None, None, 0
     while True:
         edges = ties(found, labels)
         if edges.isEmpty():
             break
+        release(found.sparkSession)
+        if sets is None:
+            tied = edges.select(F.col("a").alias("node")).distinct()
+            found, sets = found.join(tied, "node", "left_semi"), sets_of(tied)
+            release(found.sparkSession)
         blocks = F.ceil(F.col("members") / group)
         block = F.pmod(F.xxhash64("node", F.lit(rounds)), blocks)
         big = True
@@ -239,11 +261,11 @@ def links_of(found: DataFrame, percent: int, group: int) -> DataFrame:
             # Whole components, or random blocks of those that are too large.
             groups = staged(grouped(edges), "join-members")
             big = not groups.where(F.col("members") > group).isEmpty()
-            rows = labelled(groups.withColumnRenamed("label", "grp").join(found.select("node", "set"), "node"), labels)
+            rows = labelled(groups.withColumnRenamed("label", "grp").join(sets, "node"), labels)
             made = tree_links(rows.select("grp", block.alias("part"), "node", "label", F.lit(None).cast("int").alias("side"), "set"), percent)
         else:
             # By shingle. Pairs of blocks: (i, j) with i <= j as part i * blocks + j.
-            rows = postings(found, labels).withColumnRenamed("shingle", "grp").join(found.select("node", "set"), "node")
+            rows = postings(found, labels).withColumnRenamed("shingle", "grp").join(sets, "node")
             pair = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda j: F.least(block, j) * blocks + F.greatest(block, j))
             spread = rows.select("grp", F.explode(pair).alias("part"), "node", "label", "set", block.alias("own"), blocks.alias("blocks"))
             low, high = F.floor(F.col("part") / F.col("blocks")), F.col("part") % F.col("blocks")
@@ -276,7 +298,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     found = candidates(texts, classes, table, common, percent)
     del table, common
     release(spark)
-    linked = components(links_of(found, percent, group)).select("node", "label")
+    linked = components(links_of(found, lambda nodes: whole_sets(texts, classes.join(nodes, "node", "left_semi")), percent, group)).select("node", "label")
     met = classes.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = met.groupBy("label").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("component_id"))
     named = met.join(least, "label").select("s1", "s2", "copies", "component_id")
