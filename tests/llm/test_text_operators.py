@@ -94,6 +94,29 @@ def test_kept_documents(make_docs, digest):
     assert rows == [(0, "c"), (1, "b"), (1, "d"), (2, "a"), (3, "ee"), (5, "")]
 
 
+def test_names_that_functions_use_are_there():
+    """A helper that moves to another module is imported where it was: exact_dedup, and with it the pipeline, once ran into a NameError."""
+    import builtins
+    import dis
+    import importlib
+    import pkgutil
+    import types
+
+    import verbatile.llm
+
+    def used(code):
+        names = {i.argval for i in dis.get_instructions(code) if i.opname == "LOAD_GLOBAL"}
+        return names.union(*[used(c) for c in code.co_consts if isinstance(c, types.CodeType)])
+
+    lacking = []
+    for name in ["corpus_pipeline", *[f"verbatile.llm.{m.name}" for m in pkgutil.iter_modules(verbatile.llm.__path__)]]:
+        module = importlib.import_module(name)
+        with open(module.__file__, encoding="utf-8") as f:
+            code = compile(f.read(), name, "exec")
+        lacking += [(name, n) for n in sorted(used(code)) if not hasattr(module, n) and not hasattr(builtins, n)]
+    assert lacking == []
+
+
 def test_hit_filter_and_many_copies(make_docs, monkeypatch):
     """Rows that surely aren't hits are left out, hits never; groups join alike broadcast or not."""
     docs = make_docs([(i, f"t{i}" if i % 4 else "same") for i in range(2000)] + [(5000 + i, f"t{i}") for i in range(1, 40)])

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, fresh_path, join_groups, staged
+from .common import P, fresh_path, join_groups, maybe_among, staged
 
 #: Digests that one state store is sized for, and the most stores. A store has about 4 MB of files however little it holds, so
 #: their number follows the rows, not the shuffle partitions; it stays as it is for the life of a checkpoint.
