@@ -286,6 +286,26 @@ def test_bpe_matches_the_library(docs):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_bpe_merges_short_words_in_lockstep(monkeypatch, seed):
+    """Words of all sizes, and ranks in any order (a merge may bring up a lower rank), as the library has them; only long words go one by one."""
+    draw = random.Random(seed or 0)
+    if seed is None:
+        tokens, letters = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), "abcdefghinorstuéß日 "
+    else:
+        longer = {"".join(draw.choices("abc", k=draw.randint(2, 6))).encode() for _ in range(400)}
+        tokens, letters = [*map(bytes, zip(range(256))), *sorted(longer)], "abc"
+        draw.shuffle(tokens)
+    words = sorted({"".join(draw.choices(letters, k=n)) for n in range(1, 75) for _ in range(40)} | {c * n for c in letters[:3] for n in range(1, 70)})
+    own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    codec, single, one_by_one = bpe.Codec(tuple(tokens), r"(?s).+"), bpe.Codec.merge, []
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, word: one_by_one.append(len(word)) or single(self, word))
+    for word, got in zip(words, codec.encode(words), strict=True):
+        want = own.encode_ordinary(word)
+        assert [int.from_bytes(got[i : i + 2], "little") for i in range(0, len(got), 2)] == want and codec.decode(want) == word.encode()
+    assert min(one_by_one) > 32
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     import numpy as np
 
