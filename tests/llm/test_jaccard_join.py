@@ -136,3 +136,54 @@ def test_full_table_costs_no_sets(make_docs, monkeypatch):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(make_docs(rows)).collect()}
     assert got == brute(rows)
     assert [n for columns, n in written.values() if "set" in columns] == [14]
+
+
+def test_passages_in_common_cost_no_sets(make_docs, monkeypatch):
+    """Texts that share passages with the next one, so that ties alone would make one component of all: with a full table, sets are still
+    written of near copies only."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passages = [[word() for _ in range(20)] for _ in range(61)]
+    rows = [(i, " ".join(passages[i] + [word() for _ in range(80)] + passages[i + 1])) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:7]]
+    written, staged = {}, jaccard_join.staged
+
+    def told(df, name):
+        out = staged(df, name)
+        written[name] = (df.columns, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", told)
+    monkeypatch.setattr(repeats, "table", lambda parts, bits: np.full(1 << 18, 255, dtype=np.uint8))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(make_docs(rows)).collect()}
+    assert got == brute(rows)
+    assert [n for columns, n in written.values() if "set" in columns] == [14]
+
+
+def test_stars_of_long_lists(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST", 2)
+    rows = corpus(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(make_docs(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_never_part_similar_sets():
+    r = np.random.default_rng(8)
+    kept = parted = 0
+    for _ in range(3_000):
+        n = int(r.choice([1, 3, 31, 32, 63, 64, 65, 500, 1024, 3000]))
+        a = np.unique(r.integers(0, 2**63, size=n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.choice([0.02, 0.1, 0.5, 1])], r.integers(0, 2**63, size=int(0.1 * n) + 1, dtype=np.uint64)]))
+        may = jaccard_join.may_be_similar((len(a), jaccard_join.sketch(a)), (len(b), jaccard_join.sketch(b)), 80)
+        similar = signature_trees.enough(len(a), len(b), len(np.intersect1d(a, b)), 80)
+        assert may or not similar
+        kept, parted = kept + similar, parted + (not may)
+    assert kept > 300 and parted > 300
+
+
+def test_packed_keys():
+    r = np.random.default_rng(9)
+    for n in (1, 2, 5_000):
+        keys, place = np.sort(r.integers(0, 1 << jaccard_join.KEY_BITS, n)), r.integers(0, 1 << 16, n)
+        got = jaccard_join._unpacked(jaccard_join._packed(keys, place))
+        assert (got[0] == keys).all() and (got[1] == place).all()

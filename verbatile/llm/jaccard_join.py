@@ -2,19 +2,22 @@
 
 1. Every text is lower-cased (A-Z), cut into words and shingled; equal sets become one class (two 64-bit sums tell sets
    apart), represented by the smallest id.
-2. Candidate classes. If two sets are similar, their first n - ceil(0.8 n) + 1 shingles, in any order that is the same for
-   all, share one. The order puts shingles first that surely occur once (a bit table of fixed size tells), and the common
-   ones last, so that most documents have nothing in their prefix that another could share. Prefix shingles of two or more
-   classes tie them together; the connected components of these ties hold all links. Only prefixes are written for this, a
-   fifth of the shingles at most; whole sets are made again from the texts of classes that are tied to another. So a table
-   that is too small for the corpus costs prefixes, not sets.
-3. Each component is joined by signature trees (see signature_trees), which give a forest of its links. A component beyond
+2. Texts that may be similar to another. Of a text's n shingles another that is similar lacks n - ceil(0.8 n) at most. Half of the
+   shingles (by one bit) are dealt by hash ranges, 36 bits of each, and each range tells which of its own are in one text only; a text
+   with too many of those has no link and goes no further. This holds however large the corpus is; nothing of it is broadcast.
+3. Candidate classes. If two sets are similar, their first n - ceil(0.8 n) + 1 shingles, in any order that is the same for
+   all, share one. The order puts shingles first that surely occur once among what is left (a bit table of fixed size tells), and the
+   common ones last, so that most documents have nothing in their prefix that another could share. Pairs of classes with a prefix
+   shingle in common are tied, unless sizes or bitmaps of the sets rule out that they are similar (of a shingle of more than LIST
+   classes, all are tied to the smallest); the connected components of these ties hold all links. Only prefixes are written for
+   this, a fifth of the shingles at most; whole sets are made again from the texts of classes that are tied to another.
+4. Each component is joined by signature trees (see signature_trees), which give a forest of its links. A component beyond
    GROUP classes is first cut into blocks at random, which joins nearly all of its near copies; only what is still apart
    from something that it shares a shingle with goes on, in smaller components. What is left after ROUNDS of that is joined
    shingle by shingle: each one's classes together, in pairs of blocks where more than GROUP have it.
-4. Connected components of the links.
+5. Connected components of the links.
 
-No group is in one task, no pairs of a group are listed, and no candidate or link is left out.
+No group is in one task, no pairs of a large group are listed, and no candidate or link is left out.
 
 Edge cases: with fewer words than K, the whole sequence is one shingle; without words or text the set is empty and linked
 with nothing, each such document being its own component; rows that share an id share a component only if linked; a null id
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,11 @@ GROUP, ROUNDS, COMMON = 5_000, 3, 200_000
 TABLE_BITS = 29
 #: A shingle is a candidate for the common ones if that many texts of one task have it.
 OFTEN = 4
+#: High bits of a shingle by which texts that share nothing are told (another's shingle may have the same), and those that deal them out.
+KEY_BITS, BUCKET_BITS = 36, 9
+BUCKETS = 1 << BUCKET_BITS
+#: Classes with one prefix shingle that are paired, at most; more are tied in a star.
+LIST = 128
 
 
 def shingle_sets(words: Words, k: int = K) -> list[np.ndarray]:
@@ -102,38 +111,149 @@ def _scan(texts: DataFrame, schema: str, each, finish=None) -> DataFrame:
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """doc_id, n, s1, s2 of each text; rows with a shingle that is frequent in a task (shingle, n); and a task's part of the
-    table of repeated shingles (chunk, data). To be staged."""
-    names = ["doc_id", "n", "s1", "s2", "shingle", "chunk", "data"]
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    """doc_id, n, s1, s2, block, place of each text (a block: texts of one task, place: which of them); and what each block has of the half of
+    all shingles that is looked at by uncommon(): rows block, bucket, data (see _packed), and with bucket -1 the block's n. To be staged."""
+    names = ["doc_id", "n", "s1", "s2", "block", "place", "bucket", "data"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.binary()]
 
     def rows(count: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, kind) for c, kind in zip(names, kinds, strict=True)], names)
+        made = {c: x if isinstance(x, pa.Array) else pa.array(x, kinds[names.index(c)]) for c, x in given.items()}
+        return pa.RecordBatch.from_arrays([made.get(c, pa.nulls(count, kind)) for c, kind in zip(names, kinds, strict=True)], names)
+
+    def tell(state):
+        sets = state["sets"]
+        values, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        half = (values >> np.uint64(20)) & np.uint64(1) == 0
+        keys, place = (values[half] >> np.uint64(64 - KEY_BITS)).astype(np.int64), place[half]
+        order = np.argsort(keys)
+        keys, place = keys[order], place[order]
+        cut = np.searchsorted(keys, np.arange(BUCKETS + 1) << (KEY_BITS - BUCKET_BITS))
+        told = [(i, _packed(keys[x:y], place[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        told.append((-1, np.array([len(s) for s in sets], dtype="<u4").tobytes()))
+        yield rows(len(told), block=[state["block"]] * len(told), bucket=[i for i, _ in told], data=[d for _, d in told])
+        state.update(sets=[], held=0, block=state["block"] + 1)
+
+    def each(part, sets, state):
+        state.setdefault("block", TaskContext.get().partitionId() << 32)
+        for at in range(0, len(sets), 1 << 14):
+            some, docs = sets[at : at + (1 << 14)], part.column(0)[at : at + (1 << 14)]
+            held = state.setdefault("sets", [])
+            found = [sums(s) for s in some]
+            first = len(held)
+            held += some
+            yield rows(len(some), doc_id=docs, n=[len(s) for s in some], s1=[x for x, _ in found], s2=[y for _, y in found], block=[state["block"]] * len(some), place=range(first, len(held)))
+            state["held"] = state.get("held", 0) + sum(map(len, some))
+            if state["held"] > 4_000_000 or len(held) > 40_000:  # bounded memory, and two bytes a place
+                yield from tell(state)
+
+    def finish(state):
+        if state.get("sets"):
+            yield from tell(state)
+
+    return _scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, block bigint, place int, bucket int, data binary", each, finish)
+
+
+def _packed(keys: np.ndarray, place: np.ndarray) -> bytes:
+    """Rising keys as their differences, and the place of each, byte by byte of all: high bytes are mostly 0."""
+    n = len(keys)
+    step = np.diff(keys, prepend=keys[:1]).astype("<u8").view(np.uint8).reshape(n, 8)[:, :5].T.tobytes()
+    flat = np.int64([n, keys[0]]).tobytes() + step + place.astype("<u2").view(np.uint8).reshape(n, 2).T.tobytes()
+    return len(flat).to_bytes(4, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    flat = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+    n, first = np.frombuffer(flat, dtype="<i8", count=2).tolist()
+    step = np.zeros((n, 8), dtype=np.uint8)
+    step[:, :5] = np.frombuffer(flat, dtype=np.uint8, count=5 * n, offset=16).reshape(5, n).T
+    place = np.ascontiguousarray(np.frombuffer(flat, dtype=np.uint8, offset=16 + 5 * n).reshape(2, n).T).view("<u2").ravel()
+    return np.cumsum(step.view("<i8").ravel()) + first, place
+
+
+def uncommon(told: DataFrame, percent: int) -> DataFrame:
+    """block, place of the texts that may be similar to another: at most n - ceil(percent n / 100) of their shingles are surely in no
+    other text. Each bucket of keys finds those of its own and tells every block how many each of its texts has."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_bucket(held):
+            parts = [_unpacked(d) for _, d in held]
+            keys = np.concatenate([k for k, _ in parts])
+            order = np.argsort(keys, kind="stable")
+            up = keys[order]
+            same = up[1:] == up[:-1]
+            single = np.ones(len(up), dtype=bool)
+            single[1:] &= ~same
+            single[:-1] &= ~same
+            once = np.empty_like(single)
+            once[order] = single
+            at, counts = 0, []
+            for _, place in parts:
+                n = np.minimum(np.bincount(place[once[at : at + len(place)]]), 255).astype(np.uint8).tobytes()
+                counts.append(len(n).to_bytes(4, "little") + pa.compress(n, codec="zstd", asbytes=True) if n else None)
+                at += len(place)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([-2] * len(held), pa.int32()), pa.array(counts, pa.binary())], ["block", "bucket", "data"])
+
+        now, held = None, []
+        for batch in batches:
+            for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and held:
+                    yield from of_bucket(held)
+                    held = []
+                now = bucket
+                held.append((block, data))
+        if held:
+            yield from of_bucket(held)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_block(block, size, sums):
+            least = -(-percent * size // 100)
+            may = np.flatnonzero((size > 0) & (sums <= size - least))
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(may), pa.int64()), pa.array(may.astype(np.int32))], ["block", "place"])
+
+        now, sums = None, None
+        for batch in batches:
+            for block, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket == -1:  # comes last of its block
+                    size = np.frombuffer(data, dtype="<u4").astype(np.int64)
+                    yield of_block(block, size, sums[: len(size)] if now == block else np.zeros(len(size), dtype=np.int64))
+                elif data is not None:
+                    if now != block:
+                        now, sums = block, np.zeros(1 << 16, dtype=np.int64)
+                    n = np.frombuffer(pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True), dtype=np.uint8)
+                    sums[: len(n)] += n
+
+    kind = "block bigint, bucket int, data binary"
+    records = told.where("bucket IS NOT NULL").select("block", "bucket", "data")
+    counts = records.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(alone, kind)
+    dealt = counts.unionByName(records.where("bucket = -1")).repartition("block").sortWithinPartitions("block", "bucket")
+    return dealt.mapInArrow(total, "block bigint, place int")
+
+
+def repeats_of(texts: DataFrame) -> DataFrame:
+    """Rows with a shingle that is frequent in a task (shingle, n), and a task's part of the table of repeated shingles (chunk, data).
+    To be staged."""
 
     def tell(state):
         value, n = np.unique(np.concatenate(state["sets"]), return_counts=True)
         parts = repeats.task_parts(np.repeat(value, np.minimum(n, 2)), TABLE_BITS)
-        state["told"].append(rows(len(parts), chunk=pa.array([c for c, _ in parts], pa.int32()), data=pa.array([d for _, d in parts], pa.binary())))
         often = n >= OFTEN
-        state["told"].append(rows(int(often.sum()), shingle=pa.array(value[often].view(np.int64)), n=pa.array(n[often].astype(np.int64))))
-        state["sets"], state["held"] = [], 0
+        few, many = len(parts), int(often.sum())
+        columns = [pa.concat_arrays([pa.nulls(few, pa.int64()), pa.array(value[often].view(np.int64))]), pa.concat_arrays([pa.nulls(few, pa.int64()), pa.array(n[often].astype(np.int64))])]
+        columns += [pa.array([c for c, _ in parts] + [None] * many, pa.int32()), pa.array([d for _, d in parts] + [None] * many, pa.binary())]
+        state.update(sets=[], held=0)
+        yield pa.RecordBatch.from_arrays(columns, ["shingle", "n", "chunk", "data"])
 
     def each(part, sets, state):
-        state.setdefault("told", [])
         state.setdefault("sets", []).extend(sets)
         state["held"] = state.get("held", 0) + sum(map(len, sets))
-        found = [sums(s) for s in sets]
-        yield rows(len(sets), doc_id=part.column(0), n=pa.array([len(s) for s in sets], pa.int64()), s1=pa.array([a for a, _ in found], pa.int64()), s2=pa.array([b for _, b in found], pa.int64()))
         if state["held"] > 8_000_000:  # bounded memory; what is frequent is told by as many texts as that allows
-            tell(state)
-            yield from state.pop("told")
+            yield from tell(state)
 
     def finish(state):
-        if state.get("sets"):
-            tell(state)
-            yield from state["told"]
+        if state.get("held"):
+            yield from tell(state)
 
-    return _scan(texts, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingle bigint, chunk int, data binary", each, finish)
+    return _scan(texts, "shingle bigint, n bigint, chunk int, data binary", each, finish)
 
 
 def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +266,11 @@ def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """node and prefix (its shingles that may be in the prefix of another class), of the classes that have such a one."""
+    """node, prefix (its shingles that may be in the prefix of another class), n and sketch of the classes that have such a one."""
     sent = texts.sparkSession.sparkContext.broadcast((table, *common))
 
     def each(part, sets, state):
-        rows, s1, s2, first = [], [], [], []
+        rows, s1, s2, first, size, marks = [], [], [], [], [], []
         for i, s in enumerate(sets):
             p = prefix(s, *sent.value, percent)
             if len(p):
@@ -159,11 +279,14 @@ def candidates(texts: DataFrame, classes: DataFrame, table: np.ndarray, common:
                 s1.append(a)
                 s2.append(b)
                 first.append(p.view(np.int64))
+                size.append(len(s))
+                marks.append(sketch(s))
         if rows:
-            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "prefix"])
+            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "prefix", "n", "sketch"])
 
-    found = staged(of_classes(_scan(texts, "doc_id bigint, s1 bigint, s2 bigint, prefix array<bigint>", each), classes).select("node", "prefix"), "join-candidates")
+    kind = "doc_id bigint, s1 bigint, s2 bigint, prefix array<bigint>, n bigint, sketch binary"
+    found = staged(of_classes(_scan(texts, kind, each), classes).select("node", "prefix", "n", "sketch"), "join-candidates")
     sent.destroy()
     return found
 
@@ -193,18 +316,74 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bitmap of a set: n to 2 n bits, a power of two within 64 and 2^14."""
+    bits = 1 << min(14, max(6, int(len(s)).bit_length()))
+    marks = np.zeros(bits, dtype=bool)
+    marks[(s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def may_be_similar(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
+    """False only if the sets (size, sketch) surely are not: two sets share at most the bits of both and the smaller excess."""
+    (n, x), (m, y) = ((size, np.frombuffer(marks, dtype="<u8")) for size, marks in (a, b))
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both, in_x, in_y = (int(np.bitwise_count(bits).sum()) for bits in (x & y, x, y))
+    return (100 + percent) * (both + min(n - in_x, m - in_y)) >= percent * (n + m)
+
+
 def postings(found: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """node, label, shingle of prefix shingles whose nodes have different labels; m: the shingle's smallest node, members: their
+    """node, n, label, shingle of prefix shingles whose nodes have different labels; m: the shingle's smallest node, members: their
     number."""
-    told = labelled(found.select("node", F.explode("prefix").alias("shingle")), labels)
+    told = labelled(found.select("node", "n", F.explode("prefix").alias("shingle")), labels)
     shared = told.groupBy("shingle").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     return told.join(shared.where("lo < hi").select("shingle", "m", "members"), "shingle")
 
 
-def ties(found: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Edges between nodes that share a prefix shingle: each with the smallest node of the shingle. With labels, only
-    shingles whose nodes have different ones count."""
-    return staged(postings(found, labels).select(F.col("node").alias("a"), F.col("m").alias("b")).distinct(), "join-ties")
+def ties(found: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes that share a prefix shingle. Of a shingle's nodes each pair with different labels is an edge if sizes
+    and sketches allow that it is similar; where more than LIST have it, each is tied to the smallest."""
+    rows = postings(found, labels)
+    paired = rows.where(F.col("members") <= LIST).select("shingle", "node", "label", "n").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    pairs = paired.mapInArrow(lambda batches: _pairs(batches, percent), "a bigint, b bigint").distinct()
+    marks = found.select("node", "n", "sketch").distinct()  # rows of one id may have one text
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("node").alias(side), F.struct("n", "sketch").alias(side + "s")), side)
+    stars = rows.where(F.col("members") > LIST).where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+    return staged(pairs.select("a", "b", "as", "bs").mapInArrow(lambda batches: _similar(batches, percent), "a bigint, b bigint").unionByName(stars), "join-ties")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (shingle, node, label, n) by shingle and n, the pairs of a shingle whose sizes and labels allow a link."""
+
+    def of(shingle, node, label, n):
+        for step in range(1, LIST):
+            i = np.flatnonzero(shingle[step:] == shingle[:-step]) if step < len(shingle) else ()
+            if not len(i):
+                return
+            i = i[(label[i] != label[i + step]) & (100 * n[i] >= percent * n[i + step])]
+            if len(i):
+                both = np.unique(np.sort(np.stack([node[i], node[i + step]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], ["a", "b"])
+
+    held = [np.zeros(0, dtype=np.int64)] * 4
+    for batch in batches:
+        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last shingle may go on
+        yield from of(*(h[:cut] for h in held))
+        held = [h[cut:] for h in held]
+    yield from of(*held)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = ([(x["n"], x["sketch"]) for x in batch.column(c).to_pylist()] for c in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array([may_be_similar(x, y, percent) for x, y in zip(one, two, strict=True)], pa.bool_()))
 
 
 def grouped(edges: DataFrame) -> DataFrame:
@@ -246,12 +425,12 @@ def links_of(found: DataFrame, sets_of, percent: int, group: int) -> DataFrame:
     """A forest of all links between candidate classes. sets_of: gives node and set of the nodes in a table."""
     links, labels, sets, rounds = None, None, None, 0
     while True:
-        edges = ties(found, labels)
+        edges = ties(found, labels, percent)
         if edges.isEmpty():
             break
         release(found.sparkSession)
         if sets is None:
-            tied = edges.select(F.col("a").alias("node")).distinct()
+            tied = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             found, sets = found.join(tied, "node", "left_semi"), sets_of(tied)
             release(found.sparkSession)
         blocks = F.ceil(F.col("members") / group)
@@ -276,7 +455,7 @@ def links_of(found: DataFrame, sets_of, percent: int, group: int) -> DataFrame:
         if rounds >= ROUNDS or not big:
             break
         # Components that were joined whole are done; the others go on with what the links have told.
-        found = found.join(groups.where(F.col("members") > group).select("node"), "node")
+        found = found.join(groups.where(F.col("members") > group).select("node"), "node", "left_semi")
         labels = staged(components(links), "join-labels")
         rounds += 1
         release(found.sparkSession)
@@ -288,14 +467,19 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, group: int = GRO
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     told, told_path = staged_at(profiles(texts), "shingle-profiles")
-    rows = staged(told.where("s1 IS NOT NULL").select("doc_id", "n", "s1", "s2"), "join-rows")
-    table, common = repeats.table(told, TABLE_BITS), common_shingles(told)
+    may = uncommon(told, percent).withColumn("may", F.lit(True))
+    rows = staged(told.where("s1 IS NOT NULL").join(may, ["block", "place"], "left").select("doc_id", "n", "s1", "s2", "may"), "join-rows")
     discard(spark, {told_path})
     release(spark)
     # A class for each set; nulls first, so that min() would skip them.
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("may").alias("may"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
-    found = candidates(texts, classes, table, common, percent)
+    few = classes.where("may")
+    some = maybe_among(texts, few, ["doc_id"])
+    told, told_path = staged_at(repeats_of(some), "shingle-repeats")
+    table, common = repeats.table(told, TABLE_BITS), common_shingles(told)
+    discard(spark, {told_path})
+    found = candidates(some, few, table, common, percent)
     del table, common
     release(spark)
     linked = components(links_of(found, lambda nodes: whole_sets(texts, classes.join(nodes, "node", "left_semi")), percent, group)).select("node", "label")
