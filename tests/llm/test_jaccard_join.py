@@ -187,3 +187,25 @@ def test_packed_keys():
         keys, place = np.sort(r.integers(0, 1 << jaccard_join.KEY_BITS, n)), r.integers(0, 1 << 16, n)
         got = jaccard_join._unpacked(jaccard_join._packed(keys, place))
         assert (got[0] == keys).all() and (got[1] == place).all()
+
+
+def test_pipeline_stage_writes_sets_of_near_copies_only(spark, make_docs, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passages = [[word() for _ in range(20)] for _ in range(31)]
+    rows = [(i, " ".join(passages[i] + [word() for _ in range(80)] + passages[i + 1])) for i in range(30)]
+    rows += [(100 + i, t + " more") for i, t in rows[:4]]
+    written, staged = {}, jaccard_join.staged
+
+    def told(df, name):
+        out = staged(df, name)
+        written[name] = (df.columns, out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", told)
+    monkeypatch.setattr(repeats, "table", lambda parts, bits: np.full(1 << 18, 255, dtype=np.uint8))
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()
+    assert sorted(x.doc_id for x in kept) == list(range(30))
+    assert [n for columns, n in written.values() if "set" in columns] == [8]
